@@ -1,0 +1,295 @@
+"""Personal data: base patterns plus candidate gradient boosting, with SQL functions only.
+
+Base spans are leftmost, non-overlapping matches of four fixed patterns, checked
+once each (octets, Luhn, digit counts).  On top of them high-recall generators
+propose candidates, which may overlap: obfuscated addresses, other phone, card
+and network forms, identity numbers and secrets.  Boosted regression trees judge
+a candidate by format and context features, and a threshold calibrated for each
+kind selects what is added; base spans stay, and nothing is added over them.
+
+The trees are fitted on the driver to a fixed table of example sentences, whose
+candidates and features come from the same SQL, and become CASE expressions.
+They cost the same at every table size and depend on no data.
+
+Patterns start a match only where a maximal run of their first class starts (or
+where the last match ended) and take possessive steps, so that long runs cost
+linear time and no stack; matches are those of the plain patterns.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BASE = ("email", "ip", "card", "phone")
+EXTRA = ("iban", "secret", "ssn")
+KINDS = BASE + EXTRA
+
+#: kind -> pattern, cheap test of a text that could match, check of a match ``v`` with digits ``d``.
+_BASE = {
+    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(text, '@')", "true"),
+    "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "digits AND contains(text, '.')", r"v RLIKE '^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$'"),
+    "card": (r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", "digits", "{luhn}"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "contains(text, '+')", r"length(regexp_replace(v, '[^0-9]', '')) BETWEEN 9 AND 15"),
+}
+
+#: Generators: name -> kind, pattern, test.  Bounded repeats only.
+_GENERATORS = {
+    "email_words": ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}", "text RLIKE '(?i)@|[(\\\\[]at[)\\\\]]| dot '"),
+    "ip_marks": ("ip", r"(?<![0-9.])(?:[0-9]{1,3}(?:\.|\[\.\]|\(\.\))){3}[0-9]{1,3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "digits"),
+    "card_marks": ("card", r"(?<![0-9])[0-9]{4}(?:[._/ -]?[0-9]{4}){2}[._/ -]?[0-9]{1,7}(?![0-9])", "digits"),
+    "phone_plain": ("phone", r"(?<![0-9A-Za-z+])(?:(?:00|\+)[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,4}(?![0-9A-Za-z])", "digits"),
+    "ssn": ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digits AND contains(text, '-')"),
+    "iban": ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "digits"),
+    "secret": ("secret", r"(?i)(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)[\"']? ?[:=]{1,2} ?[\"']?[A-Za-z0-9_+/-]{8,128}", "contains(text, '=') OR contains(text, ':')"),
+}
+
+_SPAN = "array<struct<s:int,e:int,v:string>>"
+CONTEXT = 24
+BLOCK = 512
+
+_LUHN = """length(regexp_replace({v}, '[^0-9]', '')) BETWEEN 13 AND 19 AND aggregate(sequence(1, length(regexp_replace({v}, '[^0-9]', ''))), 0, (a, i) ->
+  a + aggregate(array(int(substring(reverse(regexp_replace({v}, '[^0-9]', '')), i, 1)) * if(i % 2 = 0, 2, 1)), 0, (b, x) -> b + if(x > 9, x - 9, x))) % 10 = 0"""
+
+
+def _text(pattern: str) -> str:
+    """A SQL string literal."""
+    return "r'" + pattern + "'" if "'" not in pattern else "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _spans(m: str, p: str) -> str:
+    """SQL: spans (code points, end exclusive) of matches m, given the pieces p between them.
+
+    Positions are running sums, kept in blocks so that no array is copied for each of many matches.
+    """
+    none = f"CAST(array() AS {_SPAN})"
+    pairs = f"zip_with(slice({p}, 1, size({m})), {m}, (a, b) -> struct(length(a) AS g, length(b) AS n, b AS v))"
+    inner = f"aggregate(slice(z, k * {BLOCK} + 1, {BLOCK}), struct(A.pos AS pos, {none} AS out), (B, x) -> struct(B.pos + x.g + x.n AS pos, array_append(B.out, struct(B.pos + x.g AS s, B.pos + x.g + x.n AS e, x.v AS v)) AS out))"
+    outer = f"aggregate(sequence(0, (size({m}) - 1) div {BLOCK}), struct(0 AS pos, CAST(array() AS array<{_SPAN}>) AS out), (A, k) -> element_at(transform(array({inner}), y -> struct(y.pos AS pos, array_append(A.out, y.out) AS out)), 1), A -> flatten(A.out))"
+    return f"if(size({m}) = 0, {none}, element_at(transform(array({pairs}), z -> {outer}), 1))"
+
+
+def _matched(df: DataFrame, found: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds a span array for each name -> (pattern, test)."""
+    kept = df.columns
+    df = df.select("*", *[F.expr(f"CASE WHEN {test} THEN regexp_extract_all(text, {_text(p)}, 0) ELSE CAST(array() AS array<string>) END").alias(f"{n}_m") for n, (p, test) in found.items()])
+    df = df.select("*", *[F.expr(f"CASE WHEN size({n}_m) > 0 THEN split(text, {_text(p)}, -1) ELSE CAST(array() AS array<string>) END").alias(f"{n}_p") for n, (p, _) in found.items()])
+    return df.select(*kept, *[F.expr(_spans(f"{n}_m", f"{n}_p")).alias(n) for n in found])
+
+
+#: Features of a candidate c (g: generator, s, e, v, l: text before, r: text after); small whole numbers.
+FEATURES = {
+    "generator": "c.g",
+    "digits": "length(regexp_replace(c.v, '[^0-9]', ''))",
+    "length": "least(length(c.v), 60)",
+    "marks": "length(regexp_replace(c.v, '[A-Za-z0-9]', ''))",
+    "runs": "size(split(regexp_replace(trim(regexp_replace(c.v, '[^0-9]+', ' ')), ' +', ' '), ' '))",
+    "same_digit": r"int(c.v RLIKE '([0-9])(?:[^0-9]*\\1){6}')",
+    "checks": "int(" + _LUHN.format(v="c.v") + ")",
+    "octets": r"int(regexp_replace(c.v, '[\\[\\]()]', '') RLIKE '^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$' OR c.v RLIKE '[0-9A-Fa-f]:.*[A-Fa-f]')",
+    "plus": "int(c.v LIKE '+%' OR c.v LIKE '00%')",
+    "domain": r"int(c.v RLIKE '(?i)(\\.|dot[)\\]]?) ?(com|org|net|edu|gov|info|io|co|us|uk|de|fr|es|it|eu|ch)$')",
+    "disguise": r"int(c.v RLIKE '(?i)[(\\[](at|dot)[)\\]]| at .* dot |[\\[(]\\.[)\\]]')",
+    "mixed": "int(c.v RLIKE '[0-9]' AND regexp_replace(c.v, '^[A-Za-z_-]+', '') RLIKE '[A-Za-z]')",
+    "joined": r"int(c.l RLIKE '[A-Za-z0-9_]$|[0-9][.,/-]$') + int(c.r RLIKE '^[A-Za-z0-9_]|^[.,/-][0-9]')",
+    "word_contact": r"int(c.l RLIKE '(?i)(mail|e-mail|contact|write|reach|phone|call|tel|mobile|cell|fax|dial|sms|text|whatsapp)[^A-Za-z]*([a-z]+ )?$')",
+    "word_money": r"int(c.l RLIKE '(?i)(card|visa|master|amex|credit|debit|account|iban|bank|pay)[a-z]*[^A-Za-z]*([a-z]+ )?$')",
+    "word_identity": r"int(c.l RLIKE '(?i)(ssn|social|security|identity|taxpayer|passport)[a-z]*[^A-Za-z]*([a-z]+ )?$')",
+    "word_network": r"int(c.l RLIKE '(?i)(ip|host|server|address|from|login|ping|client|addr)[^A-Za-z]*([a-z]+ )?$')",
+    "word_count": r"int(c.l RLIKE '(?i)(version|release|section|page|pages|figure|table|chapter|order|part|isbn|issue|build|item|serial|rev|no|v)[.:]? *$')",
+    "shape": r"int(c.v RLIKE '^\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}$')",
+    "dateish": r"int(c.v RLIKE '(19|20)[0-9]{2}[-/ .]?(0[1-9]|1[0-2])|^[0-9]{2}[/.][0-9]{2}')",
+}
+
+
+def _candidates(df: DataFrame) -> DataFrame:
+    """Adds ``c``: the generators' candidates with context and features, those over base spans left out."""
+    df = _matched(df, {n: (p, t) for n, (_, p, t) in _GENERATORS.items()})
+    every = ", ".join(f"transform({n}, x -> struct({i} AS g, '{_GENERATORS[n][0]}' AS kind, x.s AS s, x.e AS e, x.v AS v))" for i, n in enumerate(_GENERATORS))
+    base = " OR ".join(f"exists({k}, b -> b.s < x.e AND x.s < b.e)" for k in BASE)
+    df = df.select(*[c for c in df.columns if c not in _GENERATORS], F.expr(f"filter(concat({every}), x -> NOT ({base}))").alias("c"))
+    df = df.withColumn("c", F.expr(f"transform(c, x -> struct(x.g AS g, x.kind AS kind, x.s AS s, x.e AS e, x.v AS v, substring(text, greatest(x.s - {CONTEXT}, 0) + 1, x.s - greatest(x.s - {CONTEXT}, 0)) AS l, substring(text, x.e + 1, 8) AS r))"))
+    return df.withColumn("c", F.expr("transform(c, c -> struct(c.g AS g, c.kind AS kind, c.s AS s, c.e AS e, " + ", ".join(f"{sql} AS {name}" for name, sql in FEATURES.items()) + "))"))
+
+
+# ---- the trees
+
+
+@dataclass
+class Model:
+    score: str  # SQL over candidate c
+    thresholds: dict[str, float]
+
+
+def _examples() -> list[tuple[str, str, int]]:
+    """(sentence, kind, label): every candidate of the kind in the sentence has the label."""
+    out: list[tuple[str, str, int]] = []
+
+    def add(kind, label, frames, values):
+        for i, v in enumerate(values):
+            for k in range(3):
+                out.append((frames[(i + k) % len(frames)].replace("#", v), kind, label))
+
+    names, hosts = ("ann.lee", "j_smith", "kim42", "office"), ("example", "mail7", "acme-shop", "uni")
+    add("email", 1, ("write to # today", "contact: #", "and # then", "(#)", "e-mail # or not"), [f"{n} {a} {h} {d} {t}" for n, h, a, d, t in zip(names * 3, hosts * 3, ("(at)", "[at]", "at", "(at)", "[at]"), ("(dot)", "[dot]", "dot", "[dot]", "(dot)"), ("com", "org", "de", "net", "fr"))] + ["kim (at) uni.edu", "a.b [at] example.com", "joe @ example.com", "joe @ mail . org"])
+    add("email", 0, ("we met # later", "price #", "look at #", "the # end"), ["us at noon. Then", "3 @ 4.50", "one at home. And", "she at last. But", "5 @ 1.25", "up @ night. Go", "x at y dot product z", "@ work . now"])
+    add("ip", 1, ("host # is up", "from # came", "ip #", "and # again"), ["10[.]0[.]0[.]7", "192[.]168[.]1[.]20", "8(.)8(.)4(.)4", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80:0:0:0:202:b3ff:fe1e:8329", "172[.]16[.]9[.]9"])
+    add("ip", 0, ("version #", "section # says", "time # ok", "build #"), ["1[.]2[.]3[.]999", "300[.]1[.]1[.]400", "12:30:11:05:01:02:03:04", "1:2:3:4:5:6:7:8", "999(.)1(.)2(.)3"])
+    cards = ["4111111111111111", "5500005555555559", "378282246310005", "6011111111111117", "3530111333300000", "4012888888881881"]
+    add("card", 1, ("card #", "pay by # now", "visa: #", "and # then", "my # end"), [s.join((c[:4], c[4:8], c[8:12], c[12:])) for c, s in zip(cards * 2, "._/._/_./_./")])
+    add("card", 0, ("order #", "serial #", "and # then", "part no #", "isbn #"), ["1234.5678.9012.3456", "2020/0101/2021/0202", "1111_2222_3333_4445", "1000.2000.3000.4001", "9999/8888/7777/6661", "2023/1201/2023/1231", "1234567890123456", "4111111111111112", "0000000000000001", "20230101202302021", "1111222233334444"])
+    add("phone", 1, ("call # now", "phone: #", "tel #", "and # then", "reach me # or"), ["555-123-4567", "(212) 555-0187", "212.555.0187", "0049 30 901 8200", "(044) 555-8658", "020 7946 0958", "030 555 1234", "(415) 555 2671", "415-555-2671", "001 212 555 0187"])
+    add("phone", 0, ("pages #", "part no #", "version #", "and # of", "table #"), ["2021-10-2020", "100 200 300", "10/2020 1234", "1999-2003 5000", "12 345 678", "2020 2021 2022", "10.1000/1234", "2019/2020 2021", "3000 4000 5000", "99 000 000"])
+    add("ssn", 1, ("ssn #", "social security #", "id # given", "and # then", "ssn: #"), ["123-45-6789", "219-09-9999", "457-55-5462", "078-05-1120"])
+    add("ssn", 0, ("part no #", "serial #", "order #", "isbn #"), ["000-00-0000", "123-45-0000", "100-20-3000", "999-99-9999"])
+    add("iban", 1, ("iban #", "account: #", "pay to # soon", "and # then", "bank #"), ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606", "ES91 2100 0418 4502 0005 1332"])
+    add("iban", 0, ("part no #", "serial #", "build #", "item #"), ["AB12CDEFGHIJKLMN", "XX00 AAAA BBBB CCCC", "PN99MODELTYPELONG", "AA11BBBBCCCCDDDD"])
+    add("secret", 1, ("my #", "set # now", "and # then", "{#}"), ['token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e06', "password: hunter2trombone9", "api_key=AKx81jJ29zmQp04TT", "secret = 9b0b3c6a43eb78aa99cbd7049c57", "pwd=Tr0ub4dor3xyz", "access_key: A1b2C3d4E5f6G7h8"])
+    add("secret", 0, ("the #", "a # is", "use # there", "(#)"), ["password: required", "token = identifier", "secret: everything", "token: separated-by-commas", "password = something", "pwd = directory"])
+    return out
+
+
+def _fit(rows: list[tuple[list[float], int]], trees: int = 24, depth: int = 3, rate: float = 0.3) -> list:
+    """Gradient boosting of the log loss by exact greedy splits; equal feature rows are merged first."""
+    merged: dict[tuple, list[float]] = {}
+    for x, y in rows:
+        m = merged.setdefault(tuple(x), [0.0, 0.0])
+        m[0] += 1
+        m[1] += y
+    xs, ws, ys = list(merged), [m[0] for m in merged.values()], [m[1] for m in merged.values()]
+    score = [0.0] * len(xs)
+
+    def leaf(idx, g, h):
+        return rate * -sum(g[i] for i in idx) / (sum(h[i] for i in idx) + 1.0)
+
+    def grow(idx, g, h, left):
+        best = (1e-6, None, None)
+        G, H = sum(g[i] for i in idx), sum(h[i] for i in idx)
+        if left and len(idx) > 1:
+            for f in range(len(xs[0])):
+                gl = hl = 0.0
+                order = sorted(idx, key=lambda i: xs[i][f])
+                for a, b in zip(order, order[1:]):
+                    gl, hl = gl + g[a], hl + h[a]
+                    if xs[a][f] != xs[b][f]:
+                        gain = gl * gl / (hl + 1) + (G - gl) ** 2 / (H - hl + 1) - G * G / (H + 1)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, f, (xs[a][f] + xs[b][f]) / 2)
+        if best[1] is None:
+            return leaf(idx, g, h)
+        _, f, cut = best
+        return (f, cut, grow([i for i in idx if xs[i][f] <= cut], g, h, left - 1), grow([i for i in idx if xs[i][f] > cut], g, h, left - 1))
+
+    grown = []
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        tree = grow(list(range(len(xs))), [w * q - y for w, q, y in zip(ws, p, ys)], [w * q * (1 - q) for w, q in zip(ws, p)], depth)
+        grown.append(tree)
+        score = [s + _value(tree, x) for s, x in zip(score, xs)]
+    return grown
+
+
+def _value(tree, x) -> float:
+    while isinstance(tree, tuple):
+        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def _case(tree) -> str:
+    if not isinstance(tree, tuple):
+        return f"{tree:.6f}D"
+    return f"if(c.{list(FEATURES)[tree[0]]} <= {tree[1]}, {_case(tree[2])}, {_case(tree[3])})"
+
+
+def train(spark: SparkSession) -> Model:
+    """Trees fitted to three quarters of the examples, thresholds calibrated on the rest.
+
+    A kind's threshold is the lowest score at which at least 95 % of the selected
+    calibration candidates are labelled 1; a kind without such a score is not added.
+    """
+    examples = _examples()
+    values = ", ".join(f"({i}, {_text(t)})" for i, (t, _, _) in enumerate(examples))
+    got = _candidates(_base(spark.sql(f"SELECT * FROM VALUES {values} AS t(doc_id, text)"))).select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.*").collect()
+    fit, hold = [], []
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["g"], r["s"])):
+        _, kind, label = examples[r["doc_id"]]
+        if r["kind"] == kind:
+            (hold if r["doc_id"] % 4 == 3 else fit).append((kind, [float(r[f]) for f in FEATURES], label))
+    trees = _fit([(x, y) for _, x, y in fit])
+    thresholds = {}
+    for kind in KINDS:
+        scored = sorted(((sum(_value(t, x) for t in trees), y) for k, x, y in hold if k == kind), reverse=True)
+        right = 0
+        for n, (s, y) in enumerate(scored, 1):
+            right += y
+            if right >= 0.95 * n and s > 0:
+                thresholds[kind] = s - 1e-4
+    return Model(" + ".join(_case(t) for t in trees), thresholds)
+
+
+# ---- the operator
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    """doc columns plus the checked base spans, one array a kind; ``text`` is never null here."""
+    df = docs.withColumn("digits", F.expr("text RLIKE '[0-9]'"))
+    df = _matched(df, {k: (p, t) for k, (p, t, _) in _BASE.items()})
+    checked = [F.expr(f"filter({k}, x -> {check.replace('{luhn}', _LUHN.format(v='x.v')).replace('length(regexp_replace(v', 'length(regexp_replace(x.v').replace('v RLIKE', 'x.v RLIKE')})").alias(k) for k, (_, _, check) in _BASE.items()]
+    return df.select(*[c for c in df.columns if c not in BASE], *checked)
+
+
+def _found(docs: DataFrame, model: Model) -> DataFrame:
+    """doc columns plus the base arrays and ``added`` (kind, s, e)."""
+    df = _candidates(_base(docs))
+    limit = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {v:.6f}D" for k, v in sorted(model.thresholds.items())) + " ELSE 1e9D END"
+    df = df.withColumn("c", F.expr(f"filter(transform(c, c -> struct({model.score} - {limit} AS over, c.kind AS kind, c.s AS s, c.e AS e)), x -> x.over >= 0)"))
+    # of overlapping candidates the surest stays, at equal scores the one that is first by kind and place
+    beaten = "exists(c, y -> y.s < x.e AND x.s < y.e AND (y.over > x.over OR y.over = x.over AND (y.s < x.s OR y.s = x.s AND (y.e > x.e OR y.e = x.e AND y.kind < x.kind))))"
+    return df.withColumn("added", F.expr(f"transform(filter(c, x -> NOT {beaten}), x -> struct(x.kind AS kind, x.s AS s, x.e AS e))")).drop("c", "digits")
+
+
+def _in_order() -> str:
+    """SQL: all spans of a row by kind as listed, then start."""
+    parts = []
+    for k in KINDS:
+        mine = f"transform(filter(added, x -> x.kind = '{k}'), x -> struct(x.s AS s, x.e AS e))"
+        if k in BASE:
+            mine = f"concat(transform({k}, x -> struct(x.s AS s, x.e AS e)), {mine})"
+        parts.append(f"transform(array_sort({mine}), x -> struct('{k}' AS kind, x.s AS s, x.e AS e))")
+    return f"concat({', '.join(parts)})"
+
+
+def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, spans (array of kind, s, e; by kind as listed, then start), n_base spans of each base kind.
+
+    A null text counts as empty.  Rows are judged one by one: repeated rows give
+    repeated results, a null doc_id is passed through, other columns are ignored.
+    """
+    model = model or train(docs.sparkSession)
+    df = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), model)
+    base = "concat(" + ", ".join(f"transform({k}, x -> struct('{k}' AS kind, x.s AS s, x.e AS e))" for k in BASE) + ")"
+    return df.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.expr(base).alias("base"), F.expr(_in_order()).alias("spans"))
+
+
+def digest(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """find() with its spans as kind:start:end texts: doc_id, the counts, base_sha256, spans, n_added."""
+    joined = "array_join(transform({0}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
+    return find(docs, model).select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs with every span of its text replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    All columns stay and only ``text`` changes; a null text stays null.
+    """
+    model = model or train(docs.sparkSession)
+    inner = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = _found(inner, model).withColumn("spans", F.expr(f"array_sort(transform({_in_order()}, x -> struct(x.s AS s, -x.e AS back, x.kind AS kind)))"))
+    cut = """aggregate(spans, struct(0 AS pos, CAST(array() AS array<string>) AS out),
+      (a, x) -> struct(greatest(a.pos, -x.back) AS pos, if(x.s >= a.pos, concat(a.out, array(substring(text, a.pos + 1, x.s - a.pos), concat('[', upper(x.kind), ']'))), a.out) AS out),
+      a -> concat(array_join(a.out, ''), substring(text, a.pos + 1)))"""
+    done = df.withColumn("redacted", F.expr(f"CASE WHEN __row.text IS NULL THEN NULL WHEN size(spans) = 0 THEN text ELSE {cut} END"))
+    return done.select(*[F.col("redacted").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])

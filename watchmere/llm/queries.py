@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license, media, quality, toxicity
+from . import langid, license, media, mixing, pii, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -27,10 +31,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op5_license, op6_langid, op8_media)}
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op5_license, op6_langid, op7_mixing, op8_media, op9_substring)}
 
-SQL: dict[str, str] = {}
+SQL = {"op7_mixing": mixing.SQL, "op9_substring": substring.SQL}
