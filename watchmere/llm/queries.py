@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license, media, mixing, pii, quality, substring, toxicity
+from . import decontam, langid, license, media, mixing, neardup, pii, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(_table(spark, sf_dir, "documents"))
+
+
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,10 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op5_license, op6_langid, op7_mixing, op8_media, op9_substring)}
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_neardup, op5_license, op6_langid, op7_mixing, op8_media, op9_substring, op10_decontam)}
 
-SQL = {"op7_mixing": mixing.SQL, "op9_substring": substring.SQL}
+SQL = {"op4_neardup": neardup.SQL, "op7_mixing": mixing.SQL, "op9_substring": substring.SQL}

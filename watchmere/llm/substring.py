@@ -30,11 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .work import Work
+from .work import Work, one_per_id, sort_globally
 
 WINDOW, GRAM = 20, 6
 _U = np.uint64
-LOWEST = -(1 << 63)
 DUPLICATE, BOUNDARY = 0, 1
 
 
@@ -91,11 +90,6 @@ def _index(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "a long, u long, doc long, place long")
 
 
-def _sorted(df: DataFrame, *columns: str) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
-
-
 def _parse(index: DataFrame) -> DataFrame:
     """doc, place, kind (DUPLICATE or BOUNDARY) of the blocks that are one or the other."""
 
@@ -142,7 +136,7 @@ def _parse(index: DataFrame) -> DataFrame:
         if held is not None:  # another may follow in the next task's range
             yield out([held[0]], [held[1]], [BOUNDARY])
 
-    return _sorted(index, "a", "u", "doc", "place").mapInArrow(run, "doc long, place long, kind int")
+    return sort_globally(index, "a", "u", "doc", "place").mapInArrow(run, "doc long, place long, kind int")
 
 
 def _boundary_windows(joined: DataFrame, window: int) -> DataFrame:
@@ -208,7 +202,7 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
         if last is not None:
             yield edge(3, last)
 
-    return _sorted(windows, "w1", "w2", "doc", "word").withColumn("task", F.spark_partition_id()).mapInArrow(run, "doc long, place long, kind int, w1 long, w2 long, task int")
+    return sort_globally(windows, "w1", "w2", "doc", "word").withColumn("task", F.spark_partition_id()).mapInArrow(run, "doc long, place long, kind int, w1 long, w2 long, task int")
 
 
 def _remove(joined: DataFrame, window: int, text_out: bool) -> DataFrame:
@@ -251,11 +245,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_out: boo
     Other columns are ignored; an empty table gives an empty one.
     """
     spark, work = docs.sparkSession, Work(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"))
-    if docs.groupBy("doc").count().filter("count > 1").limit(1).collect():
-        docs = work.save(docs.groupBy("doc_id", "doc").agg(F.min("text").alias("text"), F.count("*").alias("times")), "once")
-    else:
-        docs = docs.withColumn("times", F.lit(1).cast("long"))
+    docs = one_per_id(docs, work)
     parsed = work.save(_parse(_index(docs.select("doc", "text"), window, gram)), "blocks")
     work.release()
     boundary = parsed.filter(F.col("kind") == BOUNDARY).groupBy("doc").agg(F.collect_list("place").alias("places"))

@@ -37,3 +37,26 @@ class Work:
         jvm = getattr(self.spark, "_jvm", None)
         if jvm is not None:
             jvm.System.gc()
+
+
+LOWEST = -(1 << 63)
+
+
+def one_per_id(docs: DataFrame, work: Work) -> DataFrame:
+    """doc_id, doc (the id, a null one as LOWEST), text (a null one as empty) and times.
+
+    Rows that repeat an id become one with the smallest of their texts, and times
+    says how many there were.  Only ids are shuffled to see whether any repeats.
+    """
+    from pyspark.sql import functions as F
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if docs.groupBy("doc").count().filter("count > 1").limit(1).collect():
+        return work.save(docs.groupBy("doc_id", "doc").agg(F.min("text").alias("text"), F.count("*").alias("times")), "once")
+    return docs.withColumn("times", F.lit(1).cast("long"))
+
+
+def sort_globally(df: DataFrame, *columns: str) -> DataFrame:
+    """df range partitioned by columns and sorted by them: equal leading columns may span tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
