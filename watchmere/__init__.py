@@ -1,0 +1 @@
+"""Security-log analytics on Spark DataFrames: parsing, enrichment, detection, risk, search and streaming."""

@@ -13,10 +13,11 @@ the full sets.
 
 In a bucket every member is first checked against the smallest.  Only buckets in
 which such a check failed are looked at again: samples of the parts that are not
-linked yet are checked against samples of the bucket's largest part, in rounds,
-and at last all pairs of the parts that are left, so no link in a bucket is lost
-while a bucket of n near copies costs about n checks.  Sketches and set sizes
-rule out hopeless pairs (an estimate more than five deviations too low) first.
+linked yet are checked against samples of the bucket's largest part, in rounds
+(each bucket draws its own), and at last what is left is compared with all other
+parts in blocks, so no link in a bucket is lost while a bucket of n near copies
+costs about n checks.  Sketches and set sizes rule out hopeless pairs (an estimate
+more than five deviations too low) before texts are looked at.
 
 Classes and buckets are found by global sorts, range partitioned by all columns,
 so a class or bucket that a third of all rows share is spread over tasks; its
@@ -38,6 +39,7 @@ COORDS, ROWS = 240, 6
 ESTIMATE = 0.60
 SAMPLE_ROUNDS = 3
 SPREAD = 4096
+BLOCK = 2048
 DOCS = 4096
 
 _U = np.uint64
@@ -300,21 +302,67 @@ def _bucket_parts(stars: DataFrame, failed: DataFrame, labels: DataFrame, work:
 
 def _sampled(parts: DataFrame, seed: int) -> DataFrame:
     """Pairs of samples: of each part of a bucket with its largest part."""
-    picks = [F.min(F.struct(F.xxhash64("x", F.lit(seed * 8 + i)), "x"))["x"].alias(f"p{i}") for i in range(3)]
+    picks = [F.min(F.struct(F.xxhash64("x", "key", F.lit(seed * 8 + i)), "x"))["x"].alias(f"p{i}") for i in range(3)]
     groups = parts.groupBy("key", "label").agg(F.count("*").alias("n"), *picks).select("key", "label", "n", F.array_distinct(F.array("p0", "p1", "p2")).alias("picks"))
     top = groups.groupBy("key").agg(F.max_by(F.struct("label", "picks"), F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", "top")
     pairs = groups.join(top, "key").filter("label <> top.label").select(F.explode("picks").alias("a"), F.col("top.picks").alias("tops")).select("a", F.explode("tops").alias("b"))
     return pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("c")).distinct()
 
 
-def _all_left(parts: DataFrame) -> DataFrame:
-    """All pairs of members of different parts of a bucket."""
+def _all_left(parts: DataFrame, reps: DataFrame) -> DataFrame:
+    """All pairs of members of different parts of a bucket whose sizes and sketches allow PERCENT.
+
+    The members outside a bucket's largest part are compared with all others in
+    blocks of BLOCK by BLOCK rows; hopeless pairs are never made, and a pair that
+    shares several buckets is made in the first of them only.
+    """
     groups = parts.groupBy("key", "label").agg(F.count("*").alias("n"))
-    top = groups.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", "top")
-    some = parts.join(top, "key")
-    one = some.filter("label <> top").select("key", F.col("x").alias("a"), F.col("label").alias("la"))
-    other = some.select("key", F.col("x").alias("b"), F.col("label").alias("lb"))
-    return one.join(other, "key").filter("la <> lb").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("c")).distinct()
+    top = groups.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("parts > 1")
+    shape = top.select("key", "top", F.ceil(F.col("all") / BLOCK).alias("rows"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("columns"))
+    some = parts.join(shape, "key").join(reps.select(F.col("doc").alias("x"), "n", "sk", "bands"), "x").withColumn("asks", F.col("label") != F.col("top"))
+
+    def cells(role: int, across: str, along: str) -> DataFrame:
+        chosen = some.filter("asks") if role == 0 else some
+        mine, other = F.pmod(F.xxhash64("x"), F.col(across)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(along) - 1))
+        return chosen.select("key", "x", "label", "n", "sk", "bands", "asks", F.lit(role).alias("role"), mine.alias("column" if role == 0 else "row"), other.alias("row" if role == 0 else "column"))
+
+    grid = cells(0, "columns", "rows").unionByName(cells(1, "rows", "columns")).repartition("key", "row", "column").sortWithinPartitions("key", "row", "column", "role")
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, own, q = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "row", "column", "role", "x", "label", "n", "asks")}
+            sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.uint8).reshape(-1, COORDS)
+            bands = batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS // ROWS)
+            xs, cs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                here = (col["key"][i], col["row"][i], col["column"][i])
+                if here != at:
+                    at, own, q = here, [], None
+                if col["role"][i] == 0:
+                    own.append((col["x"][i], col["label"][i], col["n"][i], sk[i], bands[i]))
+                    continue
+                if not own:
+                    continue
+                if q is None:
+                    q = [np.array([o[k] for o in own]) for k in range(5)]
+                n, x = col["n"][i], col["x"][i]
+                ok = (q[1] != col["label"][i]) & (np.minimum(q[2], n) * 100 >= np.maximum(q[2], n) * PERCENT)
+                if col["asks"][i]:
+                    ok &= q[0] < x  # both ask: once is enough
+                ok = np.flatnonzero(ok)
+                ok = ok[(q[3][ok] == sk[i]).mean(axis=1) >= ESTIMATE]
+                if len(ok):
+                    shared = q[4][ok] == bands[i]
+                    ok = ok[q[4][ok, shared.argmax(axis=1)] == here[0]]
+                    xs.append(np.maximum(q[0][ok], x)), cs.append(np.minimum(q[0][ok], x))
+            yield pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate(xs)), "c": pa.array(np.concatenate(cs))})
+
+    return grid.mapInArrow(run, "x long, c long")
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -355,9 +403,9 @@ def group(docs: DataFrame) -> DataFrame:
     while failed.limit(1).count():
         parts = _bucket_parts(stars, failed, labels, work) if not seed else work.save(parts.select("key", "x").join(labels.withColumnRenamed("node", "x"), "x", "left").select("key", "x", F.coalesce("label", "x").alias("label")), "parts")
         last = seed >= SAMPLE_ROUNDS
-        pairs = _all_left(parts) if last else _sampled(parts, seed)
+        pairs = _all_left(parts, reps) if last else _sampled(parts, seed)
         fresh = work.save(pairs.join(tested, ["x", "c"], "left_anti"), "fresh")
-        more = work.save(_verify(work.save(_likely(fresh, sk), "likely"), texts), "links")
+        more = work.save(_verify(fresh if last else work.save(_likely(fresh, sk), "likely"), texts), "links")
         if more.limit(1).count():
             links = work.save(links.unionAll(more), "links")
             labels = components(links, work)
