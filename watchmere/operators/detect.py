@@ -25,6 +25,7 @@ from . import alerts as A
 
 EVIDENCE = 5
 MESSAGE = 160
+HIT = ("rule_ord", "entity", "entity_type", "evidence", "group", "value")
 
 
 def block(df: DataFrame, fields: dict) -> Column:
@@ -107,7 +108,9 @@ def _hits(events: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
 
     first = F.struct(context(events).alias("context"), resolve(events, "honeypot").cast("boolean").alias("first_honeypot"), resolve(events, "event.business_hours").cast("boolean").alias("first_business_hours"))
     cells = F.array_compact(F.array(*[cell(i, r) for i, r in rules]))
-    return events.select(F.col("`@timestamp`").alias("ts"), F.col("_seq").alias("seq"), first.alias("first"), F.explode(cells).alias("h")).select("ts", "seq", "first", "h.*")
+    # the context goes through the generator whole: pruned to single fields around it, the optimizer loses their struct
+    carried = events.select(F.col("`@timestamp`").alias("ts"), F.col("_seq").alias("seq"), first.alias("first"), cells.alias("cells"))
+    return carried.select(F.explode(F.transform("cells", lambda c: F.struct(F.col("ts"), F.col("seq"), F.col("first"), *[c[f].alias(f) for f in HIT]))).alias("h")).select("h.*")
 
 
 def _alerts(df: DataFrame, rules: list[tuple[int, Rule]], description) -> DataFrame:
