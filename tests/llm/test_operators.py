@@ -1,0 +1,176 @@
+"""The document operators: brute force on small fixtures, and odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from watchmere.llm import decontam, langid, license, media, mixing, neardup, pii, quality, queries, substring, toxicity
+
+from ..conftest import SMALL
+from ..rows import duck_rows, spark_rows
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in ("documents", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_rows_as_sql(spark, duck, name):
+    rows, names = duck_rows(duck, queries.SQL[name])
+    found = queries.QUERIES[name](spark, SMALL)
+    assert sorted(found.columns) == names
+    assert spark_rows(found) == rows
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, ties, and an extra column."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = " ".join(rng.choices(words, k=60))
+    texts = [None, "", " ", "a", base, base, base + " more", "x" * 50_000, " ".join(rng.choices(words, k=8000)), "ÄÖ ß éa@b.co 1.2.3.4 😀 4111 1111 1111 1111"]
+    texts += [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(20)]
+    rows = [(i, t, rng.choice(["de", "en", None]), rng.choice(["s", None]), len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", score int, n int").cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, None if i == 3 else (i // 2) % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+
+
+def _luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        d = int(d) * (2 if k % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def _base_spans(text):
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub(r"\D", "", m)) <= 19 and _luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub(r"\D", "", m)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m.group())]
+
+
+def test_pii_base_spans(spark, odd):
+    for docs in (odd, spark.read.parquet(f"{SMALL}/documents.parquet")):
+        got = {r["doc_id"]: r for r in pii.digest(docs).collect()}
+        for r in docs.select("doc_id", "text").collect():
+            want = _base_spans(r["text"] or "")
+            row = got[r["doc_id"]]
+            text = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+            assert row["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), (r["doc_id"], text)
+            for kind in ("email", "ip", "card", "phone"):
+                assert row[f"n_{kind}"] == sum(k == kind for k, _, _ in want)
+            assert set(text.split(",")) <= set(row["spans"].split(",")) | {""}
+
+
+def test_neardup_brute_force(odd):
+    def shingles(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if x]
+        return ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) if w else set()
+
+    sets = {r["doc_id"]: shingles(r["text"]) for r in odd.collect()}
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    got = {r["doc_id"]: r for r in neardup.group(odd).collect()}
+    assert {i: (len(s), root[i], root[i] == i) for i, s in sets.items()} == {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()}
+
+
+def test_substring_brute_force(odd):
+    words = {r["doc_id"]: [w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w] for r in odd.collect()}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - 19):
+            first.setdefault(tuple(words[d][i : i + 20]), (d, i))
+    got = {r["doc_id"]: r for r in substring.dedup(odd).withColumnRenamed("kept", "kept_sha256").collect()}
+    for d, w in words.items():
+        gone = {k for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] != (d, i) for k in range(i, i + 20)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_media_round_trip(odd):
+    got = {r["doc_id"]: r for r in media.round_trip(odd).collect()}
+    for r in odd.collect():
+        data = (r["text"] or "").encode()
+        padded = data + b"\0" * ((-len(data)) % 64 or (0 if data else 64))
+        row = got[r["doc_id"]]
+        assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+def test_classifiers_score_every_document(odd, labels):
+    for df in (toxicity.classify(odd, labels), quality.classify(odd, labels)):
+        rows = df.collect()
+        assert len(rows) == odd.count()
+        for r in rows:
+            assert 0 <= r["score"] <= 1
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_held_out_accuracy(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for df, mark in ((toxicity.classify(docs, marks), "toxic"), (quality.classify(docs, marks), "quality")):
+        rows = df.join(marks.select("doc_id", mark).dropna(), "doc_id").filter("held_out").collect()
+        assert sum(r["predicted"] == r[mark] for r in rows) >= 0.8 * len(rows), mark
+    rows = langid.identify(docs).join(docs.select("doc_id", "lang").dropna(), "doc_id").filter("held_out AND lang_pred <> 'und'").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_language_of_odd_texts(odd):
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd).collect()}
+    assert got[0] == got[1] == got[2] == "und" and len(got) == odd.count()
+
+
+def test_empty_tables(spark, odd, labels):
+    none, few = odd.limit(0), spark.createDataFrame([], "item_id long, text string")
+    found = [pii.digest(none), toxicity.classify(none, labels.limit(0)), quality.classify(none, labels.limit(0)), neardup.group(none), license.scan(none), langid.identify(none), mixing.replicate(none), media.round_trip(none), substring.dedup(none), decontam.scan(none, few), decontam.scan(odd, few)]
+    assert [df.count() for df in found] == [0] * len(found)
+
+
+def test_scans_of_odd_texts(spark, odd):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "w1")], "item_id long, text string")
+    assert license.scan(odd).count() == 0
+    decontam.scan(odd, bench).collect()
+    assert {r["doc_id"] for r in mixing.replicate(odd).collect()} <= set(range(30))
+
+
+def test_planted_license_and_benchmark(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").dropna().limit(2).collect()
+    planted = spark.createDataFrame([(900_000 + i, f"some words before {r['text']} and some after", "en", "s", 1) for i, r in enumerate(items)], SCHEMA)
+    hits = {(r["doc_id"], r["item_id"]) for r in decontam.scan(docs.select("doc_id", "text", "lang", "source", "n_chars").union(planted), spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
+    assert {(900_000 + i, r["item_id"]) for i, r in enumerate(items)} <= hits
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        assert out.count() <= n
+    assert corpus_pipeline.redact_pii(spark, docs, SMALL).count() == n
