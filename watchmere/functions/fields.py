@@ -98,29 +98,33 @@ def shown(df: DataFrame, path: str) -> Column:
 
 
 def with_fields(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """df with leaves added or replaced; structs that are missing are made."""
+    """df with leaves added or replaced; structs that are missing are made, and a null struct becomes one of nulls.
+
+    A struct is put together once from its fields: one withField after another would
+    double the expression with every nested leaf.
+    """
     by_top: dict[str, dict[str, Column]] = {}
     for path, value in values.items():
         top, _, rest = path.partition(".")
         by_top.setdefault(top, {})[rest] = value
-    out = {}
-    for top, leaves in by_top.items():
-        if "" in leaves:
-            out[top] = leaves[""]
-        elif top not in df.columns:
-            out[top] = _struct(leaves)
-        else:
-            column = F.col(f"`{top}`")
-            field = df.schema[top].dataType
-            for rest, value in leaves.items():
-                head, _, tail = rest.partition(".")
-                if tail and (not isinstance(field, T.StructType) or head not in field.names):
-                    siblings = {r.partition(".")[2]: v for r, v in leaves.items() if r.partition(".")[0] == head}
-                    column = column.withField(head, _struct(siblings))
-                else:
-                    column = column.withField(rest, value)
-            out[top] = column
-    return df.withColumns(out)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns({top: leaves[""] if "" in leaves else _rebuilt(F.col(f"`{top}`"), types.get(top), leaves) for top, leaves in by_top.items()})
+
+
+def _rebuilt(column: Column, type_: T.DataType | None, leaves: dict[str, Column]) -> Column:
+    if not isinstance(type_, T.StructType):
+        return _struct(leaves)
+    groups: dict[str, dict[str, Column]] = {}
+    for path, value in leaves.items():
+        head, _, tail = path.partition(".")
+        groups.setdefault(head, {})[tail] = value
+    old = {f.name: f.dataType for f in type_.fields}
+    parts = []
+    for name in [*old, *[g for g in groups if g not in old]]:
+        sub = groups.get(name)
+        part = column.getField(name) if sub is None else sub[""] if "" in sub else _rebuilt(column.getField(name), old.get(name), sub)
+        parts.append(part.alias(name))
+    return F.struct(*parts)
 
 
 def _struct(leaves: dict[str, Column]) -> Column:
