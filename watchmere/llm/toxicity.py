@@ -29,6 +29,7 @@ STEPS, STRIDE, HID, EMB = 16, 8, 8, 12
 VOCAB, LEAST_DOCS, GRAMS, GRAM_BITS = 4096, 4, 8192, 20
 ROUNDS, BATCH, RATE = 5, 128, 0.012
 GROUP = 4096
+GRAM_DOCS = 128
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -232,13 +233,20 @@ def train(rows: list[tuple[bytes, int]], seed: int = 3) -> Net | None:
     common = np.flatnonzero(n >= LEAST_DOCS)
     common = common[np.lexsort((-n[common], -np.abs(odds[common])))[:VOCAB]]
     # the same for grams: documents that hold each
-    per = np.diff(text.tri_first)[word]
-    begin = np.concatenate([[0], np.cumsum(per)])
-    held = text.tri[np.arange(begin[-1]) + np.repeat(text.tri_first[word] - begin[:-1], per)].astype(np.int64)
-    held = np.unique(held * len(rows) + np.repeat(of, per))
-    gram, of = held // len(rows), held % len(rows)
-    gn = np.bincount(gram, minlength=1 << GRAM_BITS)
-    gram_odds = log_odds(gn, np.bincount(gram, weights=y[of], minlength=1 << GRAM_BITS))
+    # counted over GRAM_DOCS documents at a time, which bounds the driver's memory
+    order = np.argsort(of, kind="stable")
+    word, of = word[order], of[order]
+    gn, gram_pos = np.zeros(1 << GRAM_BITS, np.int64), np.zeros(1 << GRAM_BITS)
+    edges = np.searchsorted(of, np.arange(0, len(rows) + GRAM_DOCS, GRAM_DOCS))
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        per = np.diff(text.tri_first)[word[lo:hi]]
+        begin = np.concatenate([[0], np.cumsum(per)])
+        held = text.tri[np.arange(begin[-1]) + np.repeat(text.tri_first[word[lo:hi]] - begin[:-1], per)].astype(np.int64)
+        held = np.unique(held * len(rows) + np.repeat(of[lo:hi], per))
+        gram, holder = held // len(rows), held % len(rows)
+        gn += np.bincount(gram, minlength=1 << GRAM_BITS)
+        gram_pos += np.bincount(gram, weights=y[holder], minlength=1 << GRAM_BITS)
+    gram_odds = log_odds(gn, gram_pos)
     gram_odds[gn < LEAST_DOCS] = gram_odds[0] = 0
     grams = np.flatnonzero(gn >= LEAST_DOCS)
     grams = grams[grams > 0]
