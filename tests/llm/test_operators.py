@@ -166,6 +166,23 @@ def test_planted_license_and_benchmark(spark):
     assert {(900_000 + i, r["item_id"]) for i, r in enumerate(items)} <= hits
 
 
+def test_long_benchmark_items(spark):
+    """Verbatim and edited copies of items much longer than a passage, anywhere in a document."""
+    rng = random.Random(8)
+    items = [[f"v{rng.randrange(3000)}" for _ in range(n)] for n in (70, 107, 120, 170, 300, 900)]
+    texts = []
+    for item in items:
+        around = [f"o{rng.randrange(5000)}" for _ in range(rng.randrange(1, 400))]
+        edited = [f"o{rng.randrange(5000)}" if k % 10 == 3 else w for k, w in enumerate(item)]
+        texts += [around + item + around[::-1], around[:7] + edited + around, item[: len(item) // 3] + around]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontam.scan(docs, bench).collect()}
+    assert rows.keys() == {(3 * i + j, i) for i in range(len(items)) for j in (0, 1)}
+    assert all(rows[3 * i, i] == 1.0 for i in range(len(items)))
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == [3 * i + 2 for i in range(len(items))]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     n = docs.count()
