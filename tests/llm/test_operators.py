@@ -183,6 +183,20 @@ def test_long_benchmark_items(spark):
     assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == [3 * i + 2 for i in range(len(items))]
 
 
+def test_benchmark_items_that_the_cosine_misses(spark):
+    """Verbatim copies of short items, of items of common words, and between words that weigh much more."""
+    rng = random.Random(9)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(6000)]
+    items = [[rng.choice(common) for _ in range(rng.randint(5, 12))] for _ in range(20)] + [rng.choices(common, k=25) + rng.choices(rare, k=1) for _ in range(20)]
+    items.append(rng.sample(rare, 900))
+    texts = [rng.sample(rare, 150) + item + rng.sample(rare, 150) for item in items[:-1]] + [rng.choices(common + rare[:200], k=60) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    rows = decontam.scan(docs, bench).collect()
+    assert {(i, i) for i in range(40)} <= {(r["doc_id"], r["item_id"]) for r in rows if r["lcs"] == 1.0}
+    assert {r["doc_id"] for r in rows if r["item_id"] >= 20} <= set(range(40))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     n = docs.count()
