@@ -197,6 +197,18 @@ def test_benchmark_items_that_the_cosine_misses(spark):
     assert {r["doc_id"] for r in rows if r["item_id"] >= 20} <= set(range(40))
 
 
+def test_sample_of_passages_does_not_depend_on_layout(spark, monkeypatch):
+    """The passages that define the search are the same however rows fall into partitions, batches and blocks."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").filter("text IS NOT NULL")
+    terms = decontam.Terms(decontam._hashes(" ".join(r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect())))
+    work, seen = decontam.Work(spark), []
+    monkeypatch.setattr(decontam, "SAMPLE", 256)
+    for layout in (docs.coalesce(1), docs.repartition(7), docs.orderBy("text")):
+        df, n, sample = decontam._survey(layout, terms, work)
+        seen.append((df.tolist(), n, sorted(r["passage"] for r in sample.collect())))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][2]) == 256
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     n = docs.count()
