@@ -197,6 +197,16 @@ def test_benchmark_items_that_the_cosine_misses(spark):
     assert {r["doc_id"] for r in rows if r["item_id"] >= 20} <= set(range(40))
 
 
+@pytest.mark.parametrize("more", [[], ["what is the name of the river in this old town"]])
+def test_items_of_few_words(spark, more):
+    items = ["Who was first?", "yes", "...", "of the", *more]
+    texts = ["they asked who was, FIRST of all", "who was the first", "Yes.", "yesterday of, the", "of\nall the", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {tuple(r) for r in decontam.scan(docs, bench).collect()} == {(0, 0, None, 1.0, 1.0), (2, 1, None, 1.0, 1.0), (3, 3, None, 1.0, 1.0)}
+    assert [r["doc_id"] for r in decontam.clean(docs, bench).orderBy("doc_id").collect()] == [1, 4, 5, 6]
+
+
 def test_sample_of_passages_does_not_depend_on_layout(spark, monkeypatch):
     """The passages that define the search are the same however rows fall into partitions, batches and blocks."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").filter("text IS NOT NULL")
