@@ -11,13 +11,13 @@ Bands of ``ROWS`` coordinates give bucket keys.  At a similarity of 0.75 a pair
 misses all ``COORDS / ROWS`` bands once in 2,500; every candidate is verified on
 the full sets.
 
-In a bucket every member is first checked against the smallest.  Only buckets in
-which such a check failed are looked at again: samples of the parts that are not
-linked yet are checked against samples of the bucket's largest part, in rounds
-(each bucket draws its own), and at last what is left is compared with all other
-parts in blocks, so no link in a bucket is lost while a bucket of n near copies
-costs about n checks.  Sketches and set sizes rule out hopeless pairs (an estimate
-more than five deviations too low) before texts are looked at.
+In a bucket every member is first checked against the smallest, and the links found
+give components.  Buckets whose members are then in several components are looked
+at again, whole: members outside a bucket's largest component meet all others in a
+grid of blocks.  A block carries its documents' full sets, so links are confirmed
+where the rows meet and no row is made per pair; sizes and sketches rule out
+hopeless pairs (an estimate four deviations too low) before sets are compared, and
+pairs that the block has linked already are passed over.
 
 Classes and buckets are found by global sorts, range partitioned by all columns,
 so a class or bucket that a third of all rows share is spread over tasks; its
@@ -32,14 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .work import LOWEST, Work, one_per_id, sort_globally
+from .work import LOWEST, Work, one_per_id, sort_globally, spare_name
 
 WORDS, PERCENT = 5, 75
 COORDS, ROWS = 240, 6
-ESTIMATE = 0.60
-SAMPLE_ROUNDS = 3
-SPREAD = 4096
-BLOCK = 2048
+ESTIMATE = 0.64
+PARTNERS = 64
+BLOCK, MOST_BLOCK, BLOCKS = 256, 1024, 64
 DOCS = 4096
 
 _U = np.uint64
@@ -104,7 +103,7 @@ def _parts(b: kernel.Block):
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """s1, s2 (digest of the set), doc, n, bands, sk (a byte a coordinate) of every document."""
+    """s1, s2 (digest of the set), doc, n and bands of every document."""
 
     def run(batches):
         import pyarrow as pa
@@ -118,21 +117,40 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     with np.errstate(over="ignore"):
                         sums = [np.concatenate([[_U(0)], np.cumsum(kernel.mix(sets + _U(c)), dtype=_U)]) for c in (1 << 60, 1 << 61)]
                         s1, s2 = ((t[first[1:]] - t[first[:-1]]).view(np.int64) for t in sums)
-                    sk = sketch(sets, first)
-                    keys = band_keys(sk).reshape(-1)
+                    keys = band_keys(sketch(sets, first)).reshape(-1)
                     some = n > 0
                     offsets = np.concatenate([[0], np.cumsum(np.where(some, COORDS // ROWS, 0))]).astype(np.int32)
                     yield pa.RecordBatch.from_pydict({
                         "s1": pa.array(s1), "s2": pa.array(s2), "doc": ids.slice(lo, len(n)), "n": pa.array(n.astype(np.int64)),
                         "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[np.repeat(some, COORDS // ROWS)])),
+                    })
+
+    return docs.mapInArrow(run, "s1 long, s2 long, doc long, n long, bands array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc, n, bands, sk (a byte a coordinate) and the set itself (8 bytes a shingle, sorted) of every document."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column("doc")
+            for b in kernel.blocks(batch.column("text")):
+                for lo, buf, offs in _parts(b):
+                    sets, first = shingles(buf, offs)
+                    sk, n = sketch(sets, first), np.diff(first)
+                    yield pa.RecordBatch.from_pydict({
+                        "doc": ids.slice(lo, len(n)), "n": pa.array(n.astype(np.int64)), "bands": pa.array(list(band_keys(sk)), pa.list_(pa.int64())),
                         "sk": pa.array([x.tobytes() for x in (kernel.mix(sk) & _U(255)).astype(np.uint8)], pa.binary()),
+                        "set": pa.array([sets[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()),
                     })
 
-    return docs.mapInArrow(run, "s1 long, s2 long, doc long, n long, bands array<long>, sk binary")
+    return docs.mapInArrow(run, "doc long, n long, bands array<long>, sk binary, set binary")
 
 
 def _classes(sketches: DataFrame) -> DataFrame:
-    """doc, n, rep (smallest id of the class within the task), bands and sk of reps only, and before.
+    """doc, n, rep (smallest id of the class within the task), bands of reps only, and before.
 
     The first row of a task also carries its set's digest in s1, s2 with before = 0,
     and one more row (doc null) the last with before = 1.
@@ -141,7 +159,7 @@ def _classes(sketches: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("bands", pa.list_(pa.int64())), ("sk", pa.binary()), ("task", pa.int32()), ("edge", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+        schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("bands", pa.list_(pa.int64())), ("task", pa.int32()), ("edge", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
         last = None
         for batch in batches:
             if not batch.num_rows:
@@ -163,13 +181,13 @@ def _classes(sketches: DataFrame) -> DataFrame:
                 edge[0] = 0
             import pyarrow.compute as pc
 
-            bands, sk = (pc.if_else(mask, pa.scalar(None, batch.schema.field(c).type), batch.column(c)) for c in ("bands", "sk"))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(rep), bands.cast(pa.list_(pa.int64())), sk.cast(pa.binary()), batch.column("task"), pa.array(edge), pa.array(s1), pa.array(s2)], schema=schema)
+            bands = pc.if_else(mask, pa.scalar(None, batch.schema.field("bands").type), batch.column("bands"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(rep), bands.cast(pa.list_(pa.int64())), batch.column("task"), pa.array(edge), pa.array(s1), pa.array(s2)], schema=schema)
         if last is not None:
             yield pa.RecordBatch.from_pylist([{"n": int(last[3]), "rep": int(last[2]), "task": last[4], "edge": 1, "s1": int(last[0]), "s2": int(last[1])}], schema=schema)
 
-    ordered = sort_globally(sketches, "s1", "s2", "n", "doc").select("s1", "s2", "doc", "n", "bands", "sk", F.spark_partition_id().alias("task"))
-    return ordered.mapInArrow(run, "doc long, n long, rep long, bands array<long>, sk binary, task int, edge int, s1 long, s2 long")
+    ordered = sort_globally(sketches, "s1", "s2", "n", "doc").select("s1", "s2", "doc", "n", "bands", F.spark_partition_id().alias("task"))
+    return ordered.mapInArrow(run, "doc long, n long, rep long, bands array<long>, task int, edge int, s1 long, s2 long")
 
 
 def _stars(keys: DataFrame) -> DataFrame:
@@ -224,31 +242,14 @@ def _stitch(edges: list, same) -> list[tuple]:
     return out
 
 
-def _likely(pairs: DataFrame, sk: DataFrame) -> DataFrame:
-    """The pairs whose sizes and sketches allow PERCENT."""
-    a = sk.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sk").alias("kx"))
-    b = sk.select(F.col("rep").alias("c"), F.col("n").alias("nc"), F.col("sk").alias("kc"))
-    joined = pairs.join(a, "x").join(b, "c").filter(F.least("nx", "nc") * 100 >= F.greatest("nx", "nc") * PERCENT)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDS) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "c"]).filter(pa.array((x == y).mean(axis=1) >= ESTIMATE))
-
-    return joined.select("x", "c", "kx", "kc").mapInArrow(run, "x long, c long")
-
-
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (x, c) whose full sets have PERCENT of their union in common.
 
-    A centre's text meets those of its partners in one of SPREAD groups, first in
-    sort order; a task holds one centre's set at a time.
+    A centre's partners are dealt into groups of about PARTNERS; its text meets each
+    group's, first in sort order, and a task holds one centre's set at a time.
     """
-    spread = pairs.select("x", "c", F.pmod(F.xxhash64("x"), F.lit(SPREAD)).alias("g"))
+    groups = pairs.groupBy("c").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
+    spread = pairs.join(groups, "c").select("x", "c", F.pmod(F.xxhash64("x"), F.col("groups")).alias("g"))
     roles = spread.select(F.col("x").alias("doc"), "c", "g", F.lit(1).alias("role")).unionAll(spread.select(F.col("c").alias("doc"), "c", "g", F.lit(0).alias("role")).distinct())
     rows = roles.join(texts, "doc").repartition("c", "g").sortWithinPartitions("c", "g", "role")
 
@@ -266,103 +267,131 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         k, own = lo + i, sets[first[i] : first[i + 1]]
                         if role[k] == 0:
                             centre, mine = (c[k], g[k]), own.copy()
-                        elif centre == (c[k], g[k]) and len(own):
-                            common = int((mine[np.minimum(np.searchsorted(mine, own), len(mine) - 1)] == own).sum()) if len(mine) else 0
-                            if 100 * common >= PERCENT * (len(own) + len(mine) - common):
-                                xs.append(doc[k]), cs.append(c[k])
+                        elif centre == (c[k], g[k]) and linked(mine, own):
+                            xs.append(doc[k]), cs.append(c[k])
             yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "c": pa.array(cs, pa.int64())})
 
     return rows.select("c", "g", "role", "doc", "text").mapInArrow(run, "x long, c long")
 
 
-def components(edges: DataFrame, work: Work) -> DataFrame:
-    """node, label (smallest node that it is linked with) of every node of the edges x, c: alternating stars."""
-    e = work.save(edges.select(F.greatest("x", "c").alias("hi"), F.least("x", "c").alias("lo")).filter("hi <> lo").distinct(), "edges")
-    mark = None
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have PERCENT of their union in common."""
+    if not len(a) or not len(b):
+        return False
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
+    """node, label (smallest node that it is linked with) of every node of the edges x, c that isn't the smallest: alternating stars."""
+    table = f"{name}-edges"
+    e = work.save(edges.select(F.greatest("x", "c").alias("hi"), F.least("x", "c").alias("lo")).filter("hi <> lo").distinct(), table)
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % (1 << 31))).first()
-        if now == mark or not now[0]:
+        # done when every node points to one other and none that is pointed to points on
+        heads = e.groupBy("hi").agg(F.min("lo").alias("a"), F.max("lo").alias("b"))
+        if not heads.join(e.select(F.col("lo").alias("hi"), F.lit(True).alias("on")).distinct(), "hi", "left").filter("on OR a <> b").limit(1).count():
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
-        mark = now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = work.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = work.save(both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
-        low = work.save(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
-        small = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = work.save(small.unionAll(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = work.save(both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), f"{name}-large")
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
+        e = work.save(small.distinct(), table, replace=True)
+        work.drop(f"{name}-large")
 
-def _bucket_parts(stars: DataFrame, failed: DataFrame, labels: DataFrame, work: Work) -> DataFrame:
-    """key, x, label: members of the buckets in which a check failed, with what they are linked to by now."""
-    keys = stars.join(failed, ["x", "c"]).select("key").distinct()
-    inside = stars.join(keys, "key")
-    members = inside.select("key", "x").unionAll(inside.select("key", F.col("c").alias("x")).distinct())
-    return work.save(members.join(labels.withColumnRenamed("node", "x"), "x", "left").select("key", "x", F.coalesce("label", "x").alias("label")), "parts")
 
+def _unsettled(stars: DataFrame, labels: DataFrame, work: Work) -> DataFrame:
+    """key, x, label, asks, rows, columns: members of the buckets whose members have several labels.
 
-def _sampled(parts: DataFrame, seed: int) -> DataFrame:
-    """Pairs of samples: of each part of a bucket with its largest part."""
-    picks = [F.min(F.struct(F.xxhash64("x", "key", F.lit(seed * 8 + i)), "x"))["x"].alias(f"p{i}") for i in range(3)]
-    groups = parts.groupBy("key", "label").agg(F.count("*").alias("n"), *picks).select("key", "label", "n", F.array_distinct(F.array("p0", "p1", "p2")).alias("picks"))
-    top = groups.groupBy("key").agg(F.max_by(F.struct("label", "picks"), F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", "top")
-    pairs = groups.join(top, "key").filter("label <> top.label").select(F.explode("picks").alias("a"), F.col("top.picks").alias("tops")).select("a", F.explode("tops").alias("b"))
-    return pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("c")).distinct()
-
-
-def _all_left(parts: DataFrame, reps: DataFrame) -> DataFrame:
-    """All pairs of members of different parts of a bucket whose sizes and sketches allow PERCENT.
-
-    The members outside a bucket's largest part are compared with all others in
-    blocks of BLOCK by BLOCK rows; hopeless pairs are never made, and a pair that
-    shares several buckets is made in the first of them only.
+    asks: it is outside the bucket's largest part.  rows and columns are the blocks that
+    all members and the asking ones are dealt into.
     """
+    members = stars.select("key", "x").unionAll(stars.select("key", F.col("c").alias("x")).distinct())
+    parts = work.save(members.join(labels.withColumnRenamed("node", "x"), "x", "left").select("key", "x", F.coalesce("label", "x").alias("label")), "parts")
     groups = parts.groupBy("key", "label").agg(F.count("*").alias("n"))
-    top = groups.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("parts > 1")
-    shape = top.select("key", "top", F.ceil(F.col("all") / BLOCK).alias("rows"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("columns"))
-    some = parts.join(shape, "key").join(reps.select(F.col("doc").alias("x"), "n", "sk", "bands"), "x").withColumn("asks", F.col("label") != F.col("top"))
+    shape = groups.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("parts > 1")
+    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.col("all") / BLOCKS))
+    shape = shape.select("key", "top", F.ceil(F.col("all") / block).alias("rows"), F.ceil((F.col("all") - F.col("most")) / block).alias("columns"))
+    found = work.save(parts.join(shape, "key").select("key", "x", "label", (F.col("label") != F.col("top")).alias("asks"), "rows", "columns"), "unsettled")
+    work.drop("parts")
+    return found
+
+
+class _Cell:
+    """The asking documents of one block of a bucket, and what the block has linked so far."""
+
+    def __init__(self):
+        self.rows, self.ready, self.parent = [], False, {}
+
+    def add(self, *row):
+        self.rows.append(row)
+
+    def root(self, label: int) -> int:
+        while label in self.parent:
+            label = self.parent[label]
+        return label
+
+    def meet(self, key: int, x: int, label: int, n: int, sk: np.ndarray, bands: np.ndarray, own: np.ndarray, asks: bool) -> list[tuple[int, int]]:
+        """Labels that links of document x with the block's tie together."""
+        if not self.rows:
+            return []
+        if not self.ready:
+            self.x, self.label, self.n, self.sk, self.bands = (np.array([r[k] for r in self.rows]) for k in range(5))
+            self.roots, self.ready = self.label.copy(), True
+        mine = self.root(label)
+        ok = (self.roots != mine) & (np.minimum(self.n, n) * 100 >= np.maximum(self.n, n) * PERCENT)
+        if asks:
+            ok &= self.x < x  # both ask: once is enough
+        at = np.flatnonzero(ok)
+        at = at[(self.sk[at] == sk).sum(axis=1) >= ESTIMATE * COORDS]
+        if not len(at):
+            return []
+        shared = self.bands[at] == bands  # a pair that shares several buckets is compared in the first
+        at = at[self.bands[at, shared.argmax(axis=1)] == key]
+        out = []
+        for j in at.tolist():
+            if self.roots[j] != mine and linked(self.rows[j][5], own):
+                out.append((int(self.label[j]), label))
+                old, new = max(mine, int(self.roots[j])), min(mine, int(self.roots[j]))
+                self.parent[old] = mine = new
+                self.roots[self.roots == old] = new
+        return out
+
+
+def _grid(some: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, c: pairs of labels that links inside the buckets tie together; every pair of members of different parts is judged."""
 
     def cells(role: int, across: str, along: str) -> DataFrame:
         chosen = some.filter("asks") if role == 0 else some
         mine, other = F.pmod(F.xxhash64("x"), F.col(across)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(along) - 1))
-        return chosen.select("key", "x", "label", "n", "sk", "bands", "asks", F.lit(role).alias("role"), mine.alias("column" if role == 0 else "row"), other.alias("row" if role == 0 else "column"))
+        return chosen.select("key", F.col("x").alias("doc"), "label", "asks", F.lit(role).alias("role"), mine.alias("column" if role == 0 else "row"), other.alias("row" if role == 0 else "column"))
 
-    grid = cells(0, "columns", "rows").unionByName(cells(1, "rows", "columns")).repartition("key", "row", "column").sortWithinPartitions("key", "row", "column", "role")
+    rows = cells(0, "columns", "rows").unionByName(cells(1, "rows", "columns")).join(sets, "doc")
+    rows = rows.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column", "role")
 
     def run(batches):
         import pyarrow as pa
 
-        at, own, q = None, [], None
+        at, cell = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "row", "column", "role", "x", "label", "n", "asks")}
-            sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.uint8).reshape(-1, COORDS)
+            col = {n: batch.column(n).to_pylist() for n in ("key", "row", "column", "role", "doc", "label", "asks", "n")}
+            sk = [np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column("sk")]
+            own = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("set")]
             bands = batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS // ROWS)
-            xs, cs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = []
             for i in range(batch.num_rows):
                 here = (col["key"][i], col["row"][i], col["column"][i])
                 if here != at:
-                    at, own, q = here, [], None
+                    at, cell = here, _Cell()
                 if col["role"][i] == 0:
-                    own.append((col["x"][i], col["label"][i], col["n"][i], sk[i], bands[i]))
-                    continue
-                if not own:
-                    continue
-                if q is None:
-                    q = [np.array([o[k] for o in own]) for k in range(5)]
-                n, x = col["n"][i], col["x"][i]
-                ok = (q[1] != col["label"][i]) & (np.minimum(q[2], n) * 100 >= np.maximum(q[2], n) * PERCENT)
-                if col["asks"][i]:
-                    ok &= q[0] < x  # both ask: once is enough
-                ok = np.flatnonzero(ok)
-                ok = ok[(q[3][ok] == sk[i]).mean(axis=1) >= ESTIMATE]
-                if len(ok):
-                    shared = q[4][ok] == bands[i]
-                    ok = ok[q[4][ok, shared.argmax(axis=1)] == here[0]]
-                    xs.append(np.maximum(q[0][ok], x)), cs.append(np.minimum(q[0][ok], x))
-            yield pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate(xs)), "c": pa.array(np.concatenate(cs))})
-
-    return grid.mapInArrow(run, "x long, c long")
+                    cell.add(col["doc"][i], col["label"][i], col["n"][i], sk[i].copy(), bands[i].copy(), own[i].copy())
+                else:
+                    found += cell.meet(here[0], col["doc"][i], col["label"][i], col["n"][i], sk[i], bands[i], own[i], col["asks"][i])
+            yield pa.RecordBatch.from_pydict({"x": pa.array([a for a, _ in found], pa.int64()), "c": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.mapInArrow(run, "x long, c long")
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -378,6 +407,7 @@ def group(docs: DataFrame) -> DataFrame:
     docs = one_per_id(docs, work)
     sketches = work.save(_sketches(docs.select("doc", "text")), "sketches")
     classes = work.save(_classes(sketches), "classes")
+    work.drop("sketches")
     work.release()
     edges = [{**r.asDict(), "head": r["rep"]} for r in classes.filter("edge >= 0").select("task", "edge", "rep", "n", "s1", "s2").collect()]  # two rows a task
     stitched = [(r["rep"], head) for r, head in _stitch(edges, lambda p, q: (p["s1"], p["s2"], p["n"]) == (q["s1"], q["s2"], q["n"])) if r["n"]]
@@ -391,49 +421,50 @@ def group(docs: DataFrame) -> DataFrame:
     if joints:
         stars = stars.unionAll(spark.createDataFrame(joints, "key long, x long, c long"))
     stars = stars.select("key", F.greatest("x", "c").alias("x"), F.least("x", "c").alias("c"))
-    sk = reps.select(F.col("doc").alias("rep"), "n", "sk")
-    inside = stars.select(F.col("x").alias("doc")).unionAll(stars.select(F.col("c").alias("doc"))).distinct()
+    pairs = work.save(stars.select("x", "c").distinct(), "pairs")
+    inside = pairs.select(F.col("x").alias("doc")).unionAll(pairs.select(F.col("c").alias("doc"))).distinct()
     texts = work.save(docs.select("doc", "text").join(inside, "doc"), "texts")
     work.release()
-    tested = work.save(stars.select("x", "c").distinct(), "tested")
-    links = work.save(_verify(work.save(_likely(tested, sk), "likely"), texts).unionAll(spark.createDataFrame(stitched, "x long, c long")), "links")
-    labels = components(links, work)
-    failed = work.save(tested.join(links, ["x", "c"], "left_anti"), "failed")
-    seed = 0
-    while failed.limit(1).count():
-        parts = _bucket_parts(stars, failed, labels, work) if not seed else work.save(parts.select("key", "x").join(labels.withColumnRenamed("node", "x"), "x", "left").select("key", "x", F.coalesce("label", "x").alias("label")), "parts")
-        last = seed >= SAMPLE_ROUNDS
-        pairs = _all_left(parts, reps) if last else _sampled(parts, seed)
-        fresh = work.save(pairs.join(tested, ["x", "c"], "left_anti"), "fresh")
-        more = work.save(_verify(fresh if last else work.save(_likely(fresh, sk), "likely"), texts), "links")
-        if more.limit(1).count():
-            links = work.save(links.unionAll(more), "links")
-            labels = components(links, work)
-        elif not last:
-            seed = SAMPLE_ROUNDS - 1  # sampling finds no more: all the rest is next
-        if last:
-            break
-        tested = work.save(tested.unionAll(fresh), "tested")
-        seed += 1
+    links = _verify(pairs, texts)
+    if stitched:
+        links = links.unionAll(spark.createDataFrame(stitched, "x long, c long"))
+    labels = components(links, work, "first")
+    work.drop("pairs")
+    some = _unsettled(stars, labels, work)
+    if some.limit(1).count():
+        sets = work.save(_sets(texts.join(some.select(F.col("x").alias("doc")).distinct(), "doc")), "sets")
+        more = components(_grid(some, sets), work, "second")
+        # nodes of more are labels (or documents that had none), never nodes of labels
+        joined = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("whole")), "label", "left")
+        labels = work.save(joined.select("node", F.coalesce("whole", "label").alias("label")).unionAll(more), "labels")
+        work.drop("sets", "first-edges", "second-edges")
+    work.drop("texts", "stars", "unsettled")
+    work.release()
     if stitched:
         reps_of = F.coalesce("whole", "rep")
         classes = classes.join(F.broadcast(spark.createDataFrame(stitched, "rep long, whole long").distinct()), "rep", "left")  # a row a task at most
     else:
         reps_of = F.col("rep")
     out = classes.select("doc", "n", reps_of.alias("node")).join(labels, "node", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component"))
-    if "times" in docs.columns and docs.filter("times > 1").limit(1).count():
+    if docs.filter("times > 1").limit(1).count():
         out = out.join(docs.select("doc", "times"), "doc").select("doc", "n_shingles", "component", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     known = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     return out.select(known("doc").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs of each group's smallest id, all columns; of rows that repeat an id one stays."""
-    chosen = group(docs).filter("kept").select(F.coalesce("doc_id", F.lit(LOWEST)).alias("__doc")).distinct()
-    out = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).join(chosen, "__doc", "left_semi")
+    """The rows of docs of each group's smallest id, all columns; of rows that repeat an id one stays.
+
+    That is the one of smallest text (a null one as empty), at ties of smallest hash of
+    all columns.  Wordless texts stay; a null id is an id like others; an empty table
+    gives an empty one.
+    """
+    mark = spare_name(docs.columns, "doc")
+    chosen = group(docs).filter("kept").select(F.coalesce("doc_id", F.lit(LOWEST)).alias(mark)).distinct()
+    out = docs.withColumn(mark, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).join(chosen, mark, "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.groupBy("__doc").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("r")).select("r.*")
-    return out.drop("__doc")
+        out = out.groupBy(mark).agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("r")).select("r.*")
+    return out.select(*docs.columns)
 
 
 #: DuckDB SQL of the op4 query over documents.

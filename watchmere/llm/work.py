@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -10,33 +12,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (as in tests), a local one that this session keeps using."""
+    """The shared folder in spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a folder of its own that
+    goes when Python ends; on a cluster that is an error, as executors couldn't share it.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="watchmere-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
 class Work:
-    """A folder of Parquet tables that cut lineage: what is read back survives lost executors and isn't computed again."""
+    """A folder of Parquet tables that cut lineage: what is read back survives lost executors and isn't computed again.
+
+    A table goes as soon as drop() names it; those that a returned DataFrame still reads stay.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.count = spark, f"{folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}", 0
+        self.tables: dict[str, list[str]] = {}
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", replace: bool = False) -> DataFrame:
+        """df, written and read back; replace: earlier tables of this name go afterwards."""
         self.count += 1
         path = f"{self.path}/{self.count}-{name}"
         schema = df.schema
         df.write.parquet(path)
+        if replace:
+            self.drop(name)
+        self.tables.setdefault(name, []).append(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names; nothing may read them any more."""
+        for name in names:
+            for path in self.tables.pop(name, []):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def release(self) -> None:
         """Let go of the shuffle files of finished jobs now rather than at the driver's next garbage collection."""
         gc.collect()
-        jvm = getattr(self.spark, "_jvm", None)
-        if jvm is not None:
-            jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 LOWEST = -(1 << 63)
@@ -56,6 +78,14 @@ def one_per_id(docs: DataFrame, work: Work) -> DataFrame:
     return docs.withColumn("times", F.lit(1).cast("long"))
 
 
+def spare_name(columns: list[str], name: str) -> str:
+    """name, with underscores in front until no column has it (Spark's names don't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def sort_globally(df: DataFrame, *columns: str) -> DataFrame:
     """df range partitioned by columns and sorted by them: equal leading columns may span tasks."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
