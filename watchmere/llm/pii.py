@@ -36,15 +36,15 @@ _BASE = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "contains(text, '+')", r"length(regexp_replace(v, '[^0-9]', '')) BETWEEN 9 AND 15"),
 }
 
-#: Generators: name -> kind, pattern, test.  Bounded repeats only.
+#: Generators: name -> kind, pattern, test.  Repeats are bounded by the form itself or possessive.
 _GENERATORS = {
-    "email_words": ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}", "text RLIKE '(?i)@|[(\\\\[]at[)\\\\]]| dot '"),
+    "email_words": ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++){1,4}", "text RLIKE '(?i)@|[(\\\\[]at[)\\\\]]| dot '"),
     "ip_marks": ("ip", r"(?<![0-9.])(?:[0-9]{1,3}(?:\.|\[\.\]|\(\.\))){3}[0-9]{1,3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "digits"),
     "card_marks": ("card", r"(?<![0-9])[0-9]{4}(?:[._/ -]?[0-9]{4}){2}[._/ -]?[0-9]{1,7}(?![0-9])", "digits"),
     "phone_plain": ("phone", r"(?<![0-9A-Za-z+])(?:(?:00|\+)[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,4}(?![0-9A-Za-z])", "digits"),
     "ssn": ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digits AND contains(text, '-')"),
     "iban": ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "digits"),
-    "secret": ("secret", r"(?i)(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)[\"']? ?[:=]{1,2} ?[\"']?[A-Za-z0-9_+/-]{8,128}", "contains(text, '=') OR contains(text, ':')"),
+    "secret": ("secret", r"(?i)(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)[\"']? ?[:=]{1,2} ?[\"']?[A-Za-z0-9_+/-]{8,}+(?:[.~][A-Za-z0-9_+/-]++)*+=*+", "contains(text, '=') OR contains(text, ':')"),
 }
 
 _SPAN = "array<struct<s:int,e:int,v:string>>"
@@ -124,14 +124,14 @@ class Model:
     thresholds: dict[str, float]
 
 
-def _examples() -> list[tuple[str, str, int]]:
-    """(sentence, kind, label): every candidate of the kind in the sentence has the label."""
-    out: list[tuple[str, str, int]] = []
+def _examples() -> list[tuple[str, str, int, int]]:
+    """(sentence, kind, label, value's number): every candidate of the kind in the sentence has the label."""
+    out: list[tuple[str, str, int, int]] = []
 
     def add(kind, label, frames, values):
         for i, v in enumerate(values):
             for k in range(3):
-                out.append((frames[(i + k) % len(frames)].replace("#", v), kind, label))
+                out.append((frames[(i + k) % len(frames)].replace("#", v), kind, label, i))
 
     names, hosts = ("ann.lee", "j_smith", "kim42", "office"), ("example", "mail7", "acme-shop", "uni")
     add("email", 1, ("write to # today", "contact: #", "and # then", "(#)", "e-mail # or not"), [f"{n} {a} {h} {d} {t}" for n, h, a, d, t in zip(names * 3, hosts * 3, ("(at)", "[at]", "at", "(at)", "[at]"), ("(dot)", "[dot]", "dot", "[dot]", "(dot)"), ("com", "org", "de", "net", "fr"))] + ["kim (at) uni.edu", "a.b [at] example.com", "joe @ example.com", "joe @ mail . org"])
@@ -204,30 +204,65 @@ def _case(tree) -> str:
     return f"if(c.{list(FEATURES)[tree[0]]} <= {tree[1]}, {_case(tree[2])}, {_case(tree[3])})"
 
 
-def train(spark: SparkSession) -> Model:
-    """Trees fitted to three quarters of the examples, thresholds calibrated on the rest.
+FOLDS = 3
+#: Share of the selected that must be right in calibration.
+PRECISION = 0.95
 
-    A kind's threshold is the lowest score at which at least 95 % of the selected
-    calibration candidates are labelled 1; a kind without such a score is not added.
-    """
+
+def _judged(spark: SparkSession) -> list[tuple[str, list[float], int, int]]:
+    """(kind, features, label, fold) of the examples' candidates; the sentences around one value share a fold."""
     examples = _examples()
-    values = ", ".join(f"({i}, {_text(t)})" for i, (t, _, _) in enumerate(examples))
+    values = ", ".join(f"({i}, {_text(t)})" for i, (t, *_) in enumerate(examples))
     got = _candidates(_base(spark.sql(f"SELECT * FROM VALUES {values} AS t(doc_id, text)"))).select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.*").collect()
-    fit, hold = [], []
+    out = []
     for r in sorted(got, key=lambda r: (r["doc_id"], r["g"], r["s"])):
-        _, kind, label = examples[r["doc_id"]]
+        _, kind, label, value = examples[r["doc_id"]]
         if r["kind"] == kind:
-            (hold if r["doc_id"] % 4 == 3 else fit).append((kind, [float(r[f]) for f in FEATURES], label))
-    trees = _fit([(x, y) for _, x, y in fit])
-    thresholds = {}
+            out.append((kind, [float(r[f]) for f in FEATURES], label, value % FOLDS))
+    return out
+
+
+def _unseen_scores(rows: list[tuple[str, list[float], int, int]]) -> list[tuple[str, float, int]]:
+    """(kind, score, label) of every candidate, by trees that were fitted to other values only."""
+    out = []
+    for fold in range(FOLDS):
+        trees = _fit([(x, y) for _, x, y, f in rows if f != fold])
+        out += [(kind, sum(_value(t, x) for t in trees), y) for kind, x, y, f in rows if f == fold]
+    return out
+
+
+def _thresholds(scored: list[tuple[str, float, int]]) -> dict[str, float]:
+    found = {}
     for kind in KINDS:
-        scored = sorted(((sum(_value(t, x) for t in trees), y) for k, x, y in hold if k == kind), reverse=True)
-        right = 0
-        for n, (s, y) in enumerate(scored, 1):
+        mine, right = sorted(((s, y) for k, s, y in scored if k == kind), reverse=True), 0
+        for n, (s, y) in enumerate(mine, 1):
             right += y
-            if right >= 0.95 * n and s > 0:
-                thresholds[kind] = s - 1e-4
-    return Model(" + ".join(_case(t) for t in trees), thresholds)
+            tied = n < len(mine) and mine[n][0] > s - 2e-4  # equal scores are taken together
+            if right >= PRECISION * n and s > 0 and not tied:
+                found[kind] = s - 1e-4
+    return found
+
+
+def train(spark: SparkSession) -> Model:
+    """Trees fitted to all examples, thresholds calibrated on values that the scoring trees had not seen.
+
+    A kind's threshold is the lowest score at which at least PRECISION of the selected
+    candidates are labelled 1; a kind without such a score is not added.
+    """
+    rows = _judged(spark)
+    trees = _fit([(x, y) for _, x, y, _ in rows])
+    return Model(" + ".join(_case(t) for t in trees), _thresholds(_unseen_scores(rows)))
+
+
+def calibration(spark: SparkSession) -> dict[str, tuple[float, float]]:
+    """Precision and recall of the added spans of each kind among the examples' candidates, on unseen values."""
+    scored = _unseen_scores(_judged(spark))
+    limits, out = _thresholds(scored), {}
+    for kind in KINDS:
+        mine = [(s >= limits.get(kind, math.inf), y) for k, s, y in scored if k == kind]
+        taken, right, wanted = sum(t for t, _ in mine), sum(y for t, y in mine if t), sum(y for _, y in mine)
+        out[kind] = (right / taken if taken else 1.0, right / wanted if wanted else 1.0)
+    return out
 
 
 # ---- the operator
@@ -283,13 +318,15 @@ def digest(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with every span of its text replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    All columns stay and only ``text`` changes; a null text stays null.
+    All columns stay and only ``text`` changes; a null text stays null, an empty one
+    empty.  Rows are judged one by one, whatever their ids; an empty table gives an
+    empty one.
     """
     model = model or train(docs.sparkSession)
-    inner = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    inner = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = _found(inner, model).withColumn("spans", F.expr(f"array_sort(transform({_in_order()}, x -> struct(x.s AS s, -x.e AS back, x.kind AS kind)))"))
     cut = """aggregate(spans, struct(0 AS pos, CAST(array() AS array<string>) AS out),
       (a, x) -> struct(greatest(a.pos, -x.back) AS pos, if(x.s >= a.pos, concat(a.out, array(substring(text, a.pos + 1, x.s - a.pos), concat('[', upper(x.kind), ']'))), a.out) AS out),
       a -> concat(array_join(a.out, ''), substring(text, a.pos + 1)))"""
-    done = df.withColumn("redacted", F.expr(f"CASE WHEN __row.text IS NULL THEN NULL WHEN size(spans) = 0 THEN text ELSE {cut} END"))
-    return done.select(*[F.col("redacted").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
+    done = df.withColumn("redacted", F.expr(f"CASE WHEN row.text IS NULL THEN NULL WHEN size(spans) = 0 THEN text ELSE {cut} END"))
+    return done.select(*[F.col("redacted").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
