@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from . import kernel
 
-#: Learning takes this many documents of each class at most ...
+#: Learning takes this many documents of each class at most, of any length.
 PER_CLASS = 1200
-#: ... and none of more bytes than this (scoring takes every document whole).
-LONGEST = 60_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, held_out_of: int = 5, held_out: int = 0) -> list[tuple[bytes, int]]:
@@ -18,7 +16,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
 
     The ids with the smallest hashes are taken, so the sample doesn't depend on
     partitions or order.  Rows with a null id, label or text, or a label other
-    than 0 and 1, teach nothing; an id with several labels counts by the largest.
+    than 0 and 1, teach nothing; an id with several labels counts by the largest, one
+    with several texts by the smallest.
     Only the chosen ids (2 * per_class at most) are broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (kernel.crc_bucket(F.col("doc_id"), held_out_of) != held_out))
@@ -33,6 +32,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
         return []
     spark = docs.sparkSession
     small = spark.createDataFrame(list(ids.items()), "doc_id long, label int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
-    got = texts.join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "label").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    got = texts.join(F.broadcast(small), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).orderBy("doc_id").select("text", "label").collect()
     return [(r["text"].encode(), r["label"]) for r in got]
