@@ -8,8 +8,7 @@ document; the document's mean and maximum over its chunks go through a small
 dense layer to one probability.
 
 Learning (Adam, log loss) uses ``labelled.PER_CLASS`` documents of each class at
-most and ``TRAIN_CHUNKS`` chunks of each, spread over its length; scoring covers
-every chunk of every document.
+most; learning and scoring both cover every chunk of a document.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ from pyspark.sql import functions as F
 from . import kernel, labelled
 
 WIDTH, FILTERS, HALF, HIDDEN = 4, 16, 128, 16
-TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 10, 14, 64, 0.01
+EPOCHS, BATCH, RATE = 9, 64, 0.01
 PIECE = 1 << 15
+#: Chunks that learning convolves at a time, which bounds its memory.
+TRAIN_PIECE = 1024
 
 
 @dataclass
@@ -68,11 +69,11 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5) -> Net | None:
     chunks, owner = [], []
     for i, (text, _) in enumerate(rows):
         n = max(1, -(-len(text) // HALF) - 1)
-        for c in np.unique(np.linspace(0, n - 1, min(n, TRAIN_CHUNKS)).astype(int)):
-            piece = text[c * HALF : c * HALF + size + WIDTH - 1]
-            chunks.append(np.frombuffer(piece.ljust(size + WIDTH - 1, b"\0"), np.uint8))
-            owner.append(i)
-    chunks, owner = np.array(chunks), np.array(owner)
+        padded = np.zeros(max((n + 1) * HALF, len(text)) + WIDTH - 1, np.uint8)
+        padded[: len(text)] = np.frombuffer(text, np.uint8)
+        chunks.append(np.lib.stride_tricks.sliding_window_view(padded, size + WIDTH - 1)[: n * HALF : HALF])
+        owner += [i] * n
+    chunks, owner = np.concatenate(chunks), np.array(owner)
     first = np.searchsorted(owner, np.arange(len(rows) + 1))
     net, state, rng = fresh(seed), {"t": 0}, np.random.default_rng(seed)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
@@ -85,11 +86,14 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5) -> Net | None:
             own = np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
             begin = np.searchsorted(own, np.arange(len(docs)))
             x = chunks[take]
-            conv = net.tables[0][x[:, :size]]
-            for j in range(1, WIDTH):
-                conv += net.tables[j][x[:, j : j + size]]
-            at = conv.argmax(axis=1)
-            raw = np.take_along_axis(conv, at[:, None, :], axis=1)[:, 0, :]
+            at, raw = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+            for c in range(0, len(x), TRAIN_PIECE):
+                part = x[c : c + TRAIN_PIECE]
+                conv = net.tables[0][part[:, :size]]
+                for j in range(1, WIDTH):
+                    conv += net.tables[j][part[:, j : j + size]]
+                at[c : c + TRAIN_PIECE] = conv.argmax(axis=1)
+                raw[c : c + TRAIN_PIECE] = np.take_along_axis(conv, at[c : c + TRAIN_PIECE, None, :], axis=1)[:, 0, :]
             act = np.maximum(raw, 0)
             counts = np.bincount(own, minlength=len(docs)).astype(np.float32)
             mean = np.add.reduceat(act, begin, axis=0) / counts[:, None]
@@ -183,7 +187,9 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class:
     """The rows of docs with a score of at least threshold, all columns, in one pass over the texts.
 
     Whole rows go through the Arrow function, so they need not be joined by an id:
-    repeated rows and null ids keep their own verdicts, other columns stay.
+    repeated rows and null ids keep their own verdicts, other columns stay.  Null and
+    empty texts are judged as one zero byte; without labels of both classes all rows
+    stay; an empty table gives an empty one.
     """
     net = train(labelled.sample(docs, labels, "quality", per_class))
 
