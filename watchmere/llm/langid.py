@@ -9,8 +9,9 @@ of largest cosine.
 
 Learning is one distributed pass: each task bundles its own documents and emits
 one vector per language, and the vectors are added up in a grouped aggregate, so
-the driver only ever sees ``MAX_LANGS`` prototypes.  A bounded sample teaches
-each language: documents whose id hash falls under a threshold that gives about
+the driver sees one prototype per value of ``lang``, of which none is left out;
+scoring takes ``LANG_BLOCK`` of them at a time.  A bounded sample teaches each
+language: documents whose id hash falls under a threshold that gives about
 ``PER_LANG`` documents for the language (``per_lang``), however large the table.
 """
 
@@ -25,7 +26,7 @@ from . import kernel
 DIM = 512
 SYMBOLS = 64
 PER_LANG = 1500
-MAX_LANGS = 1000
+LANG_BLOCK = 1024
 
 _cache: dict[str, np.ndarray] = {}
 
@@ -90,13 +91,10 @@ def encode(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> dict[str, list[float]]:
-    """Prototype of every non-null lang of docs (doc_id, text, lang); at most MAX_LANGS of them, the most frequent."""
+    """Prototype of every non-null lang of docs (doc_id, text, lang)."""
     docs = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 20, -(-per_lang * (1 << 20) // r["count"]))))])
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")])
+    share = docs.groupBy("lang").count().select("lang", F.ceil(F.lit(float(per_lang) * (1 << 20)) / F.col("count")).alias("below"))
+    sample = docs.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("below"))
 
     def bundle(batches):
         import pyarrow as pa
@@ -112,10 +110,8 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> dict[str, list[float]]:
 
     parts = sample.select("text", "lang").mapInArrow(bundle, "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    found: dict[str, list[float]] = {}
-    for r in summed.collect():  # MAX_LANGS * DIM numbers at most
-        found.setdefault(r["lang"], [0.0] * DIM)[r["i"]] = r["x"]
-    return found
+    whole = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", F.transform("v", lambda p: p["x"]).alias("v"))
+    return {r["lang"]: r["v"] for r in whole.collect()}  # DIM numbers for each value of lang
 
 
 def predict(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
@@ -136,9 +132,13 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
             for b in kernel.blocks(batch.column("text")):
                 vectors, lettered = encode(b.buf, b.offs)
                 if langs:
-                    cos = vectors @ table.T
-                    best = cos.argmax(axis=1)
-                    score = np.where(lettered, np.clip(cos[np.arange(len(best)), best], 0, 1), 0.0)
+                    best, top = np.zeros(len(vectors), np.int64), np.full(len(vectors), -2, np.float32)
+                    for lo in range(0, len(langs), LANG_BLOCK):
+                        cos = vectors @ table[lo : lo + LANG_BLOCK].T
+                        at = cos.argmax(axis=1)
+                        better = cos[np.arange(len(at)), at] > top
+                        best[better], top[better] = at[better] + lo, cos[np.arange(len(at)), at][better]
+                    score = np.where(lettered, np.clip(top, 0, 1), 0.0)
                     pred = [langs[i] if ok else "und" for i, ok in zip(best, lettered)]
                 else:
                     score, pred = np.zeros(len(vectors)), ["und"] * len(vectors)
