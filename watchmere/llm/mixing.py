@@ -4,12 +4,14 @@ A source's rate is the mean number of copies of its documents that brings its
 share of all characters to its target weight.  A document's count inverts the
 Poisson distribution of that mean at a uniform number made from a hash of the
 seed and its id, so the count depends on nothing else and a lost task repeats it.
-Documents are exploded by their counts and all copies are put in the order of
-another hash: a global shuffle that is the same on every run.
+Documents are exploded by their counts.  Another hash, uniform over all copies, deals
+them to partitions and orders them there: a global shuffle that is the same on every
+run (for the same number of partitions), without a pass that samples the data first.
 
 Sizes are one partially aggregated pass.  Up to ``MAX_LITERAL`` sources the rates
 are a literal in the plan (checked by collecting one row more); beyond, they are
-joined, and the join's hot keys are left to adaptive skew handling.
+joined (Spark broadcasts them while they are small; else a hot source's rows are
+split by adaptive skew handling).
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .work import spare_name
+
 MAX_LITERAL = 1000
 #: A rate above LARGE is drawn as the sum of several counts, so that exp(-rate) keeps its precision.
 LARGE, TERMS = 16.0, 64
@@ -75,22 +79,25 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     table = rates(docs, weights, alpha, epochs)
     known = table.limit(MAX_LITERAL + 1).collect()
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    rate = spare_name(columns, "rate")
     if len(known) <= MAX_LITERAL:
         literal = json.dumps({r["key"]: {"draws": r["draws"], "cdf": r["cdf"]} for r in known})
-        rated = docs.select("*", F.from_json(F.lit(literal), "map<string,struct<draws:int,cdf:array<double>>>")[key].alias("__rate"))
+        rated = docs.select("*", F.from_json(F.lit(literal), "map<string,struct<draws:int,cdf:array<double>>>")[key].alias(rate))
     else:
-        rated = docs.withColumn("__key", key).join(table.select(F.col("key").alias("__key"), F.struct("draws", "cdf").alias("__rate")), "__key").drop("__key")
+        mark = spare_name(columns, "key")
+        rated = docs.withColumn(mark, key).join(table.select(F.col("key").alias(mark), F.struct("draws", "cdf").alias(rate)), mark).drop(mark)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
     def draw(j):
         u = _uniform(F.lit(seed), ident, j.cast("string"))
-        return F.size(F.filter(F.col("__rate.cdf"), lambda c: c <= u))
+        return F.size(F.filter(F.col(rate)["cdf"], lambda c: c <= u))
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("__rate.draws")), F.lit(0), lambda acc, j: acc + draw(j))
+    count = F.aggregate(F.sequence(F.lit(1), F.col(rate)["draws"]), F.lit(0), lambda acc, j: acc + draw(j))
     counted = rated.select(*columns, count.alias("copies")).filter("copies > 0")
     copied = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     shuffled = copied.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws(":", F.lit(seed + "-order"), ident, F.col("copy").cast("string"))), 1, 16))
-    return shuffled.orderBy("shuffle_key")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shuffled.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 #: DuckDB SQL of replicate() with its defaults over documents, for draws of one (rates up to LARGE).
