@@ -3,9 +3,11 @@
 ``write_tiff`` builds classic little-endian TIFF files of 8-bit grey samples, one
 or more pages, in strips or tiles, uncompressed or with PackBits, LZW or deflate,
 with or without the horizontal predictor.  ``read_tiff`` walks the chain of image
-directories of either byte order, decodes the strips or tiles, undoes the
-predictor and yields one ``Page`` per directory.  ``pages`` is the DataFrame
-operator: one row per page of every file of a binary column.
+directories of either byte order, decodes the strips or tiles (either bit order,
+samples together or in planes), undoes the predictor and yields one ``Page`` per
+directory.  Whatever is wrong with a file becomes a ``TiffError``: sizes are held
+against the file before anything is allocated.  ``pages`` is the DataFrame operator:
+one row per page of every file of a binary column.
 """
 
 from __future__ import annotations
@@ -24,12 +26,17 @@ from . import kernel
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 273, 277, 278, 279
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR = 266, 284
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
 
 PAGE_WIDTH = 64
 PAGE_ROWS = 1 << 15
 BLOCK_ROWS = 4096
+#: A page of more decoded bytes than this gives an error row instead.
+MOST_BYTES = 1 << 30
+#: No compression of the format yields more bytes from one than this.
+MOST_GROWTH = 4096
 
 
 class TiffError(ValueError):
@@ -54,29 +61,22 @@ def packbits_encode(data: bytes) -> bytes:
         return b""
     a = np.frombuffer(data, np.uint8)
     cuts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
-    out, literal = bytearray(), bytearray()
+    long = np.flatnonzero(np.diff(cuts) >= 3)
+    out, at = bytearray(), 0
 
-    def flush():
-        for i in range(0, len(literal), 128):
-            part = literal[i : i + 128]
+    def literal(end):
+        for i in range(at, end, 128):
+            part = data[i : min(i + 128, end)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
 
-    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        n = e - s
-        if n < 3:
-            literal.extend(data[s:e])
-            continue
-        flush()
-        while n:
-            k = min(n, 128)
-            if k == 1:
-                out += bytes((0, data[s]))
-            else:
-                out += bytes((257 - k, data[s]))
-            n -= k
-    flush()
+    for s, e in zip(cuts[long].tolist(), cuts[long + 1].tolist()):
+        literal(s)
+        for i in range(s, e, 128):
+            n = min(128, e - i)
+            out.extend((257 - n, data[s]) if n > 1 else (0, data[s]))
+        at = e
+    literal(len(a))
     return bytes(out)
 
 
@@ -95,78 +95,84 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+#: Numbers of codes after a clear at which LZW codes get wider than 9, 10 and 11 bits: one before entries 512, 1024 and 2048.
+_WIDER = np.array([512, 1024, 2048]) - 258
+LZW_CODES = 4096 - 258 - 1
+
+
+def _widths(n: int) -> np.ndarray:
+    """Bits of each of the n codes that follow a clear."""
+    return np.searchsorted(_WIDER, np.arange(n), "right") + 9
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """LZW of the TIFF kind: most significant bit first, clear 256, end 257, width grows as entry 511, 1023 or 2047 is stored."""
-    acc, bits, out = 256, 9, bytearray()
-    width, table, nxt = 9, {bytes((i,)): i for i in range(256)}, 258
-    w = b""
-
-    def put(code, acc, bits, width):
-        acc, bits = acc << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        return acc & ((1 << bits) - 1), bits
-
-    while bits >= 8:
-        bits -= 8
-        out.append(acc >> bits & 255)
-    acc &= (1 << bits) - 1
+    """LZW of the TIFF kind: most significant bit first, clear 256, end 257, codes widen one entry early."""
+    codes, sizes, table = [256], [9], {}
+    since, w = 0, -1
     for b in data:
-        wb = w + bytes((b,))
-        if wb in table:
-            w = wb
+        if w < 0:
+            w = b
             continue
-        acc, bits = put(table[w], acc, bits, width)
-        table[wb] = nxt
-        nxt += 1
-        if nxt > 4094:
-            acc, bits = put(256, acc, bits, width)
-            table, nxt, width = {bytes((i,)): i for i in range(256)}, 258, 9
-        elif nxt >= 1 << width:
-            width += 1
-        w = bytes((b,))
-    if w:
-        acc, bits = put(table[w], acc, bits, width)
-        if nxt + 1 >= 1 << width and width < 12:
-            width += 1
-    acc, bits = put(257, acc, bits, width)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+        k = w << 8 | b
+        known = table.get(k)
+        if known is not None:
+            w = known
+            continue
+        codes.append(w)
+        since += 1
+        table[k] = 257 + since
+        if since == LZW_CODES:
+            codes.append(256)
+            sizes.append(since)
+            table.clear()
+            since = 0
+        w = b
+    if w >= 0:
+        codes.append(w)
+        since += 1
+    codes.append(257)
+    full = np.append(_widths(LZW_CODES), 12)
+    width = np.concatenate([[9], *[full] * (len(sizes) - 1), _widths(since + 1)])
+    bits = np.array(codes)[:, None] << (12 - width[:, None]) >> np.arange(11, -1, -1) & 1
+    return np.packbits(bits[np.arange(12) < width[:, None]].astype(np.uint8)).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
+    """At least size bytes, or what there is.  The codes between two clears are cut out at once, their widths being known."""
+    a = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, acc, bits, width, prev, i, total = [], 0, 0, 9, None, 0, 0
+    out, total, at, since = [], 0, 0, 0  # at: the next code's first bit; since: codes after the last clear
+    prev = b""
     while total < size:
-        while bits < width:
-            if i >= len(data):
-                return b"".join(out)
-            acc, bits, i = acc << 8 | data[i], bits + 8, i + 1
-        bits -= width
-        code, acc = acc >> bits, acc & ((1 << bits) - 1)
-        if code == 256:
-            del table[258:]
-            width, prev = 9, None
-            continue
-        if code == 257:
+        width = _widths(since + LZW_CODES)[since:]
+        begin = at + np.concatenate([[0], np.cumsum(width)])
+        n = int(np.searchsorted(begin[1:], 8 * len(data), "right"))
+        if not n:
             break
-        if prev is None:
-            entry = table[code]
-        else:
+        begin, width = begin[: n + 1], width[:n]
+        byte = begin[:-1] >> 3
+        codes = (a[byte] << 16 | a[byte + 1] << 8 | a[byte + 2]) >> (24 - (begin[:-1] & 7) - width) & ((1 << width) - 1)
+        marks = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(marks[0]) if len(marks) else n
+        for code in codes[:stop].tolist():
             if code < len(table):
                 entry = table[code]
-            elif code == len(table):
+            elif code == len(table) and prev:
                 entry = prev + prev[:1]
             else:
                 raise TiffError("LZW code out of range")
-            table.append(prev + entry[:1])
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
-        out.append(entry)
-        total += len(entry)
-        prev = entry
+            if prev and len(table) < 4096:
+                table.append(prev + entry[:1])
+            out.append(entry)
+            total += len(entry)
+            prev = entry
+        since += stop
+        at = int(begin[min(stop + 1, n)])
+        if len(marks):
+            if codes[stop] == 257:
+                break
+            del table[258:]
+            since, prev = 0, b""
     return b"".join(out)
 
 
@@ -181,7 +187,7 @@ def _decode(kind: int, data: bytes, size: int) -> bytes:
     elif kind == LZW:
         out = lzw_decode(data, size)
     elif kind in (DEFLATE, 32946):
-        out = zlib.decompress(data)
+        out = zlib.decompressobj().decompress(data, size)
     else:
         raise TiffError(f"compression {kind}")
     if len(out) < size:
@@ -242,6 +248,62 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
+def _tags(data: bytes, e: str, at: int, n: int) -> dict[int, tuple]:
+    tags = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(e + "HHI", data, at + 2 + 12 * k)
+        size = TYPE_SIZE.get(kind, 0) * count
+        place = at + 10 + 12 * k
+        if size > 4:
+            place = struct.unpack_from(e + "I", data, place)[0]
+        if kind in (1, 3, 4) and count and place + size <= len(data):
+            tags[tag] = struct.unpack_from(f"{e}{count}{' B HI'[kind]}", data, place)
+    return tags
+
+
+def _page(data: bytes, tags: dict[int, tuple], index: int) -> Page:
+    w, h = tags[WIDTH][0], tags[HEIGHT][0]
+    samples, kind, predictor, planar = (tags.get(t, (1,))[0] for t in (SAMPLES, COMPRESSION, PREDICTOR, PLANAR))
+    if not w or not h or not samples:
+        raise TiffError("a page without samples")
+    if any(b != 8 for b in tags.get(BITS, (8,))):
+        raise TiffError("samples of other than 8 bits")
+    if predictor not in (1, 2):
+        raise TiffError(f"predictor {predictor}")
+    if planar not in (1, 2):
+        raise TiffError(f"planar configuration {planar}")
+    tiled = TILE_OFFSETS in tags
+    if tiled:
+        bw, bh = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]
+        offsets, sizes = tags[TILE_OFFSETS], tags[TILE_BYTES]
+    else:
+        bw, bh = w, min(tags.get(ROWS_PER_STRIP, (h,))[0], h)
+        offsets, sizes = tags[STRIP_OFFSETS], tags[STRIP_BYTES]
+    if not bw or not bh:
+        raise TiffError("strips or tiles without samples")
+    planes, each = (samples, 1) if planar == 2 else (1, samples)
+    across, down = -(-w // bw), -(-h // bh)
+    if min(len(offsets), len(sizes)) < across * down * planes:
+        raise TiffError("strips or tiles are missing")
+    if max(w * h * samples, bw * bh * each) > min(MOST_BYTES, MOST_GROWTH * len(data)):
+        raise TiffError("a page of more samples than the file can hold")
+    image = np.empty((h, w, samples), np.uint8)
+    for k in range(across * down * planes):
+        plane, y, x = k // (across * down), k // across % down * bh, k % across * bw
+        rows = bh if tiled else min(bh, h - y)
+        if offsets[k] + sizes[k] > len(data):
+            raise TiffError("a strip or tile is cut off")
+        part = data[offsets[k] : offsets[k] + sizes[k]]
+        if tags.get(FILL_ORDER, (1,))[0] == 2:
+            part = np.packbits(np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")).tobytes()
+        cell = np.frombuffer(_decode(kind, part, rows * bw * each), np.uint8).reshape(rows, bw, each)
+        if predictor == 2:
+            cell = np.cumsum(cell, axis=1, dtype=np.uint8)
+        nh, nw = min(rows, h - y), min(bw, w - x)
+        image[y : y + nh, x : x + nw, plane : plane + each] = cell[:nh, :nw]
+    return Page(index, w, h, samples, kind, predictor, tiled, image.tobytes())
+
+
 def read_tiff(data: bytes):
     """Yield the pages of a TIFF file of 8-bit samples; TiffError if it can't be read."""
     if len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
@@ -255,43 +317,13 @@ def read_tiff(data: bytes):
         n = struct.unpack_from(e + "H", data, at)[0]
         if at + 2 + 12 * n + 4 > len(data):
             raise TiffError("a directory is cut off")
-        tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(e + "HHI", data, at + 2 + 12 * k)
-            size = TYPE_SIZE.get(kind, 0) * count
-            place = at + 10 + 12 * k
-            if size > 4:
-                place = struct.unpack_from(e + "I", data, place)[0]
-            if kind in (1, 3, 4) and place + size <= len(data):
-                tags[tag] = struct.unpack_from(f"{e}{count}{' B HI'[kind]}", data, place)
         try:
-            w, h = tags[WIDTH][0], tags[HEIGHT][0]
-            samples, kind, predictor = tags.get(SAMPLES, (1,))[0], tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
-            if any(b != 8 for b in tags.get(BITS, (8,))):
-                raise TiffError("samples of other than 8 bits")
-            tiled = TILE_OFFSETS in tags
-            image = np.zeros((h, w * samples), np.uint8)
-            if tiled:
-                tw, th = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]
-                boxes = [(y, x, th, tw) for y in range(0, h, th) for x in range(0, w, tw)]
-                where = zip(tags[TILE_OFFSETS], tags[TILE_BYTES])
-            else:
-                per = min(tags.get(ROWS_PER_STRIP, (h,))[0], h) or 1
-                boxes = [(y, 0, min(per, h - y), w) for y in range(0, h, per)]
-                where = zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES])
-            for (y, x, bh, bw), (o, size) in zip(boxes, where):
-                cell = np.frombuffer(_decode(kind, data[o : o + size], bh * bw * samples), np.uint8).reshape(bh, bw, samples)
-                if predictor == 2:
-                    cell = np.cumsum(cell, axis=1, dtype=np.uint8)
-                elif predictor != 1:
-                    raise TiffError(f"predictor {predictor}")
-                nh, nw = min(bh, h - y), min(bw, w - x)
-                image[y : y + nh, x * samples : (x + nw) * samples] = cell[:nh, :nw].reshape(nh, nw * samples)
+            page = _page(data, _tags(data, e, at, n), index)
         except KeyError as missing:
             raise TiffError(f"tag {missing} is missing") from None
         except (zlib.error, struct.error) as broken:
             raise TiffError(str(broken)) from None
-        yield Page(index, w, h, samples, kind, predictor, tiled, image.tobytes())
+        yield page
         at, index = struct.unpack_from(e + "I", data, at + 2 + 12 * n)[0], index + 1
 
 
@@ -347,17 +379,16 @@ def pages(files: DataFrame, key: str = "file_id", content: str = "content") -> D
 
 
 def layout(n: int) -> dict:
-    """Layout of a stored payload of n bytes, a function of n alone: each way of storing is in use."""
-    way = n // 64 % 8
-    if n <= 4096 and way == 1:
-        return {"compression": LZW, "predictor": 1}
-    if n <= 4096 and way == 2:
-        return {"compression": PACKBITS, "predictor": 1, "tile": (16, 16)}
-    if way == 3:
-        return {"compression": DEFLATE, "predictor": 2, "tile": (32, 32)}
-    if way == 4:
-        return {"compression": DEFLATE, "predictor": 1, "rows": 16}
-    return {"compression": DEFLATE, "predictor": 2}
+    """Layout of a stored payload of n bytes by n // 64 % 8 alone: every way of storing is in use, at every size."""
+    ways = {
+        0: {"compression": NONE},
+        1: {"compression": LZW},
+        2: {"compression": PACKBITS, "tile": (16, 64)},
+        3: {"compression": DEFLATE, "predictor": 2, "tile": (32, 32)},
+        4: {"compression": DEFLATE, "rows": 16},
+        5: {"compression": DEFLATE, "predictor": 2, "tile": (64, 64)},
+    }
+    return ways.get(n // 64 % 8, {"compression": DEFLATE, "predictor": 2})
 
 
 def store_text(text: bytes) -> tuple[bytes, bytes]:
