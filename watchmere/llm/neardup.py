@@ -14,7 +14,7 @@ the full sets.
 In a bucket every member is first checked against the smallest, and the links found
 give components.  Buckets whose members are then in several components are looked
 at again, whole: members outside a bucket's largest component meet all others in a
-grid of blocks.  A block carries its documents' full sets, so links are confirmed
+grid of blocks.  A block carries its documents' texts, so links are confirmed
 where the rows meet and no row is made per pair; sizes and sketches rule out
 hopeless pairs (an estimate four deviations too low) before sets are compared, and
 pairs that the block has linked already are passed over.
@@ -39,6 +39,7 @@ COORDS, ROWS = 240, 6
 ESTIMATE = 0.64
 PARTNERS = 64
 BLOCK, MOST_BLOCK, BLOCKS = 256, 1024, 64
+FEW_IDS = 4_000_000
 DOCS = 4096
 
 _U = np.uint64
@@ -128,25 +129,24 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "s1 long, s2 long, doc long, n long, bands array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc, n, bands, sk (a byte a coordinate) and the set itself (8 bytes a shingle, sorted) of every document."""
+def _described(docs: DataFrame) -> DataFrame:
+    """doc, n, bands, sk (a byte a coordinate) and text of every document."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column("doc")
-            for b in kernel.blocks(batch.column("text")):
+            ids, texts = batch.column("doc"), batch.column("text")
+            for b in kernel.blocks(texts):
                 for lo, buf, offs in _parts(b):
                     sets, first = shingles(buf, offs)
                     sk, n = sketch(sets, first), np.diff(first)
                     yield pa.RecordBatch.from_pydict({
                         "doc": ids.slice(lo, len(n)), "n": pa.array(n.astype(np.int64)), "bands": pa.array(list(band_keys(sk)), pa.list_(pa.int64())),
-                        "sk": pa.array([x.tobytes() for x in (kernel.mix(sk) & _U(255)).astype(np.uint8)], pa.binary()),
-                        "set": pa.array([sets[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()),
+                        "sk": pa.array([x.tobytes() for x in (kernel.mix(sk) & _U(255)).astype(np.uint8)], pa.binary()), "text": texts.slice(lo, len(n)),
                     })
 
-    return docs.mapInArrow(run, "doc long, n long, bands array<long>, sk binary, set binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n long, bands array<long>, sk binary, text string")
 
 
 def _classes(sketches: DataFrame) -> DataFrame:
@@ -242,14 +242,14 @@ def _stitch(edges: list, same) -> list[tuple]:
     return out
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, work: Work) -> DataFrame:
     """The pairs (x, c) whose full sets have PERCENT of their union in common.
 
     A centre's partners are dealt into groups of about PARTNERS; its text meets each
     group's, first in sort order, and a task holds one centre's set at a time.
     """
-    groups = pairs.groupBy("c").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
-    spread = pairs.join(groups, "c").select("x", "c", F.pmod(F.xxhash64("x"), F.col("groups")).alias("g"))
+    groups = work.save(pairs.groupBy("c").agg(F.ceil(F.count("*") / PARTNERS).alias("groups")).filter("groups > 1"), "groups")
+    spread = pairs.join(groups, "c", "left").select("x", "c", F.pmod(F.xxhash64("x"), F.coalesce("groups", F.lit(1))).alias("g"))
     roles = spread.select(F.col("x").alias("doc"), "c", "g", F.lit(1).alias("role")).unionAll(spread.select(F.col("c").alias("doc"), "c", "g", F.lit(0).alias("role")).distinct())
     rows = roles.join(texts, "doc").repartition("c", "g").sortWithinPartitions("c", "g", "role")
 
@@ -358,7 +358,7 @@ class _Cell:
         return out
 
 
-def _grid(some: DataFrame, sets: DataFrame) -> DataFrame:
+def _grid(some: DataFrame, described: DataFrame) -> DataFrame:
     """x, c: pairs of labels that links inside the buckets tie together; every pair of members of different parts is judged."""
 
     def cells(role: int, across: str, along: str) -> DataFrame:
@@ -366,7 +366,7 @@ def _grid(some: DataFrame, sets: DataFrame) -> DataFrame:
         mine, other = F.pmod(F.xxhash64("x"), F.col(across)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(along) - 1))
         return chosen.select("key", F.col("x").alias("doc"), "label", "asks", F.lit(role).alias("role"), mine.alias("column" if role == 0 else "row"), other.alias("row" if role == 0 else "column"))
 
-    rows = cells(0, "columns", "rows").unionByName(cells(1, "rows", "columns")).join(sets, "doc")
+    rows = cells(0, "columns", "rows").unionByName(cells(1, "rows", "columns")).join(described, "doc")
     rows = rows.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column", "role")
 
     def run(batches):
@@ -378,17 +378,19 @@ def _grid(some: DataFrame, sets: DataFrame) -> DataFrame:
                 continue
             col = {n: batch.column(n).to_pylist() for n in ("key", "row", "column", "role", "doc", "label", "asks", "n")}
             sk = [np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column("sk")]
-            own = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("set")]
             bands = batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS // ROWS)
             found = []
-            for i in range(batch.num_rows):
-                here = (col["key"][i], col["row"][i], col["column"][i])
-                if here != at:
-                    at, cell = here, _Cell()
-                if col["role"][i] == 0:
-                    cell.add(col["doc"][i], col["label"][i], col["n"][i], sk[i].copy(), bands[i].copy(), own[i].copy())
-                else:
-                    found += cell.meet(here[0], col["doc"][i], col["label"][i], col["n"][i], sk[i], bands[i], own[i], col["asks"][i])
+            for b in kernel.blocks(batch.column("text")):
+                for lo, buf, offs in _parts(b):
+                    sets, first = shingles(buf, offs)
+                    for i, own in zip(range(lo, lo + len(first) - 1), (sets[s:e] for s, e in zip(first[:-1], first[1:]))):
+                        here = (col["key"][i], col["row"][i], col["column"][i])
+                        if here != at:
+                            at, cell = here, _Cell()
+                        if col["role"][i] == 0:
+                            cell.add(col["doc"][i], col["label"][i], col["n"][i], sk[i].copy(), bands[i].copy(), own.copy())
+                        else:
+                            found += cell.meet(here[0], col["doc"][i], col["label"][i], col["n"][i], sk[i], bands[i], own, col["asks"][i])
             yield pa.RecordBatch.from_pydict({"x": pa.array([a for a, _ in found], pa.int64()), "c": pa.array([b for _, b in found], pa.int64())})
 
     return rows.mapInArrow(run, "x long, c long")
@@ -422,22 +424,24 @@ def group(docs: DataFrame) -> DataFrame:
         stars = stars.unionAll(spark.createDataFrame(joints, "key long, x long, c long"))
     stars = stars.select("key", F.greatest("x", "c").alias("x"), F.least("x", "c").alias("c"))
     pairs = work.save(stars.select("x", "c").distinct(), "pairs")
-    inside = pairs.select(F.col("x").alias("doc")).unionAll(pairs.select(F.col("c").alias("doc"))).distinct()
-    texts = work.save(docs.select("doc", "text").join(inside, "doc"), "texts")
+    inside = work.save(pairs.select(F.col("x").alias("doc")).unionAll(pairs.select(F.col("c").alias("doc"))).distinct(), "inside")
+    few = inside.count() <= FEW_IDS  # then no text is shuffled for this; beyond, both sides are
+    texts = work.save(docs.select("doc", "text").join(F.broadcast(inside) if few else inside, "doc"), "texts")
+    work.drop("inside")
     work.release()
-    links = _verify(pairs, texts)
+    links = _verify(pairs, texts, work)
     if stitched:
         links = links.unionAll(spark.createDataFrame(stitched, "x long, c long"))
     labels = components(links, work, "first")
-    work.drop("pairs")
+    work.drop("pairs", "groups")
     some = _unsettled(stars, labels, work)
     if some.limit(1).count():
-        sets = work.save(_sets(texts.join(some.select(F.col("x").alias("doc")).distinct(), "doc")), "sets")
-        more = components(_grid(some, sets), work, "second")
+        described = work.save(_described(texts.join(some.select(F.col("x").alias("doc")).distinct(), "doc")), "described")
+        more = components(_grid(some, described), work, "second")
         # nodes of more are labels (or documents that had none), never nodes of labels
         joined = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("whole")), "label", "left")
         labels = work.save(joined.select("node", F.coalesce("whole", "label").alias("label")).unionAll(more), "labels")
-        work.drop("sets", "first-edges", "second-edges")
+        work.drop("described", "first-edges", "second-edges")
     work.drop("texts", "stars", "unsettled")
     work.release()
     if stitched:
