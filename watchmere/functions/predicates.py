@@ -65,8 +65,11 @@ def plain(value) -> str:
     return str(value)
 
 
+CASELESS = "(?iu)"
+
+
 def regex(column: Column, pattern: str) -> Column:
-    return column.rlike("(?iu)" + pattern)
+    return column.rlike(CASELESS + pattern)
 
 
 def rule_match(df: DataFrame, field: str, modifier: str | None, expected) -> Column:

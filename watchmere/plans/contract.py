@@ -123,6 +123,23 @@ _search("fields_eval", "eval who = user.name | fields event.code, who, missing.f
 _search("timechart_1h_by", "timechart span=1h count by event.category",
         "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS time, category AS event_category, count(*) AS count FROM ev GROUP BY 1, 2")
 
+_ORDERED = "SELECT CAST(id AS INTEGER) AS event_code, {0} AS {1} FROM ev{2} ORDER BY {3}"
+_search("sort_fields_head", "sort -http.response.body.bytes | fields event.code, http.response.body.bytes | head 9", _ORDERED.format("bytes", "http_response_body_bytes", "", "bytes DESC NULLS LAST, id LIMIT 9"))
+_search("sort_eval_head", "sort http.response.body.bytes | eval http.response.body.bytes = event.action | fields event.code, event.action | head 12",
+        _ORDERED.format("action", "event_action", "", "bytes ASC NULLS LAST, id LIMIT 12"))
+_search("sort_text_desc", "event.outcome = failure | sort -user.name | head 15 | fields event.code, user.name", _ORDERED.format("usr", "user_name", " WHERE outcome = 'failure'", "usr DESC NULLS FIRST, id DESC LIMIT 15"))
+_search("tail_after_sort", "sort user.name | tail 11 | fields event.code, user.name", _ORDERED.format("usr", "user_name", "", "usr DESC NULLS FIRST, id DESC LIMIT 11"))
+_search("head_but_last", "event.category = iam | head -30 | fields event.code, event.action",
+        "SELECT CAST(id AS INTEGER) AS event_code, action AS event_action FROM ev WHERE category = 'iam' QUALIFY row_number() OVER (ORDER BY id DESC) > 30")
+_search("tail_but_first", "event.category = iam | sort -@timestamp | tail -30 | fields event.code, event.action",
+        "SELECT CAST(id AS INTEGER) AS event_code, action AS event_action FROM ev WHERE category = 'iam' QUALIFY row_number() OVER (ORDER BY ts DESC, id) > 30")
+_search("search_string_cmp", "user.name >= u20 and host.name < h3" + _ID, "SELECT CAST(id AS INTEGER) AS event_code FROM ev WHERE usr >= 'u20' AND host < 'h3'")
+_search("search_infinite", "http.response.body.bytes < inf and not http.response.body.bytes > nan" + _ID, "SELECT CAST(id AS INTEGER) AS event_code FROM ev WHERE bytes IS NOT NULL")
+_search("search_truth", "user.name = true and http.response.body.bytes != true" + _ID, "SELECT CAST(id AS INTEGER) AS event_code FROM ev WHERE usr IS NOT NULL AND (bytes IS NULL OR bytes = 0)")
+_search("timechart_plain", "event.outcome = failure | timechart span=1d avg(http.response.body.bytes)", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS time, count(*) AS count FROM ev WHERE outcome = 'failure' GROUP BY 1")
+_search("stats_head", "stats count by user.name, event.action | head 9",
+        "SELECT user_name, event_action, count FROM (SELECT coalesce(usr, 'None') AS user_name, action AS event_action, count(*) AS count, min(id) AS first FROM ev GROUP BY 1, 2) ORDER BY first LIMIT 9")
+
 
 # ---- enrichment
 
