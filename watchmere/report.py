@@ -30,7 +30,7 @@ def top_rules(alerts: DataFrame, n: int = TOP_RULES) -> DataFrame:
 
 
 def techniques(alerts: DataFrame, n: int = TOP_TECHNIQUES) -> DataFrame:
-    tags = alerts.select(F.upper(F.explode("tags")).alias("technique")).filter(F.col("technique").rlike("^T[0-9]"))
+    tags = alerts.select(F.explode("tags").alias("tag")).select(F.upper("tag").alias("technique")).filter(F.col("technique").rlike("^T[0-9]"))
     return tags.groupBy("technique").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "technique").limit(n)
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "watchmere", **conf) -> SparkSession:
@@ -17,3 +22,31 @@ def session(app: str = "watchmere", **conf) -> SparkSession:
     for key, value in {**settings, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share, under spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder that goes when Python ends; on a
+    cluster that is an error, as executors couldn't share it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="watchmere-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df, written as Parquet and read back: a long plan ends here, and lost executors don't repeat it."""
+    path, schema = f"{folder}/{name}", df.schema
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

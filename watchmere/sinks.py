@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .operators import alerts as A
 from .plans.pipeline import Result
 
-SIGNALS, EVENTS = "siem-signals", "siem-events"
+SIGNALS, EVENTS = "signals", "events"
 
 
 def alerts_ndjson(alerts: DataFrame, path: str) -> None:
@@ -23,13 +23,13 @@ def alerts_ndjson(alerts: DataFrame, path: str) -> None:
     A.document(alerts).select("doc").write.mode("overwrite").text(path)
 
 
-def bulk(alerts: DataFrame, events: DataFrame | None, path: str) -> None:
+def bulk(alerts: DataFrame, events: DataFrame | None, path: str, signals: str = SIGNALS, events_index: str = EVENTS) -> None:
     """Bulk-index format: an action line and a document line for each alert (id: its fingerprint) and event."""
     pair = lambda action, doc: F.concat_ws("\n", action, doc).alias("value")
-    signal = A.document(alerts).select(pair(F.to_json(F.struct(F.struct(F.lit(SIGNALS).alias("_index"), F.col("fingerprint").alias("_id")).alias("index"))), F.col("doc")))
+    signal = A.document(alerts).select(pair(F.to_json(F.struct(F.struct(F.lit(signals).alias("_index"), F.col("fingerprint").alias("_id")).alias("index"))), F.col("doc")))
     if events is not None:
         cells = [F.col(f"`{c}`") for c in events.columns if c != "_seq"]
-        signal = signal.unionAll(events.select(pair(F.to_json(F.struct(F.struct(F.lit(EVENTS).alias("_index")).alias("index"))), F.to_json(F.struct(*cells)))))
+        signal = signal.unionAll(events.select(pair(F.to_json(F.struct(F.struct(F.lit(events_index).alias("_index")).alias("index"))), F.to_json(F.struct(*cells)))))
     signal.write.mode("overwrite").text(path)
 
 

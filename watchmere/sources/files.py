@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,7 +14,7 @@ from . import parsers
 
 SAMPLE_LINES = 40
 
-#: The files of a standard log directory and their sources.
+# The files of a standard log directory and their sources.
 STANDARD = {"auth.log": "auth", "access.log": "nginx", "windows_security.json": "winlog", "suricata_eve.json": "suricata", "cowrie.json": "cowrie"}
 
 
@@ -51,10 +52,11 @@ def to_events(df: DataFrame) -> DataFrame:
     return df.filter("parsed IS NOT NULL").select(*nested(leaves), "_seq")
 
 
-def scan(spark: SparkSession, paths: dict[str, str | None], year: int = 2026) -> Scan:
+def scan(spark: SparkSession, paths: dict[str, str | None], year: int = 2026, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scan:
     """Events of {path: source or None to sniff}, in no order; ties of time are ordered by ``_seq``.
 
     stats: file, source, parsed, skipped of every file.  No paths give empty tables.
+    ``keep`` may write the parsed lines, so that they are parsed once for all three.
     """
     parts = []
     for order, (path, source) in enumerate(paths.items()):
@@ -63,7 +65,7 @@ def scan(spark: SparkSession, paths: dict[str, str | None], year: int = 2026) ->
     if not parts:
         empty = spark.createDataFrame([], "value string, file string, _seq struct<input:int,file:string,start:long,line:long>")
         parts = [parse_lines(empty, "auth", year).withColumn("source_name", F.lit("auth"))]
-    both = reduce(DataFrame.unionByName, parts)
+    both = keep(reduce(DataFrame.unionByName, parts))
     stats = both.groupBy(F.col("file"), F.col("source_name").alias("source")).agg(F.count("parsed").alias("parsed"), F.count_if(F.col("parsed").isNull()).alias("skipped"))
     return Scan(to_events(both), both.filter("parsed IS NULL").select("value", "file", F.col("source_name").alias("source"), "_seq"), stats)
 

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import alerts as A
-
-
-def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..session import shared
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, poll: str | None = None) -> StreamingQuery:
