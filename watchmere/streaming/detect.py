@@ -1,12 +1,14 @@
 """Detections over streams of events: the batch rules' Columns, with keyed state where a rule looks back.
 
-A late event is taken as long as it is inside the watermark; one beyond it may find
-its group's state gone and then starts a new one.
+The watermark trails the newest event by the horizon: the longest window of the rules,
+half an hour at least, and some slack.  A group's state goes when the watermark passes
+its last event by the horizon; events older than the watermark are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.fields import resolve
 from ..functions.text import fingerprint
+from ..operators import alerts as A
 from ..operators import detect
 from ..sources.rulebook import Rule
 
@@ -27,8 +30,9 @@ def horizon(rules: list[Rule]) -> float:
     return max([LEAST_MINUTES * 60, *[r.threshold.window for r in rules if r.threshold]]) + SLACK_MINUTES * 60
 
 
-def watermarked(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    return events.withWatermark("@timestamp", f"{int(horizon(rules))} seconds")
+def _expires(state: GroupState, last_us: int, seconds: float) -> None:
+    """Let the state go when the watermark passes its last event by so many seconds."""
+    state.setTimeoutTimestamp(max(int(last_us // 1000 + seconds * 1000), state.getCurrentWatermarkMs() + 1))
 
 
 def stateless(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
@@ -50,13 +54,17 @@ def thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
     if not chosen:
         return None
     limits = {i: (r.id, r.threshold.count, round(r.threshold.window * 1_000_000), bool(r.threshold.distinct)) for i, r in chosen}
-    hits = detect._hits(events, chosen).select("rule_ord", "group", "ts", "entity", F.coalesce("value", F.lit("None")).alias("value"), F.col("seq").cast("string").alias("seq"), F.unix_micros("ts").alias("us"))
+    back = horizon(rules)
+    hits = detect._hits(events, chosen).withWatermark("ts", f"{int(back)} seconds").select("rule_ord", "group", "ts", "entity", F.coalesce("value", F.lit("None")).alias("value"), F.col("seq").cast("string").alias("seq"), F.unix_micros("ts").alias("us"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         name, count, window, distinct = limits[key[0]]
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept, fired = ([], False) if not state.exists else (list(zip(*state.get[:2])), state.get[2])
+        rows = pd.concat(frames).sort_values(["us", "seq"], kind="stable")
         if not fired:
-            rows = pd.concat(frames).sort_values(["us", "seq"], kind="stable")
             for us, value, entity, ts in rows[["us", "value", "entity", "ts"]].itertuples(index=False):
                 kept = [k for k in kept if us - k[0] <= window] + [(us, value)]
                 if distinct:  # the latest hit of each value stands for it
@@ -66,8 +74,9 @@ def thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
                     kept, fired = [], True
                     break
         state.update(([k[0] for k in kept], [k[1] for k in kept], fired))
+        _expires(state, int(rows["us"].max()), back)
 
-    return hits.groupBy("rule_ord", "group").applyInPandasWithState(step, FIRED, "us array<long>, value array<string>, fired boolean", "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("rule_ord", "group").applyInPandasWithState(step, FIRED, "us array<long>, value array<string>, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def success_after_failures(events: DataFrame, threshold: int = 8, minutes: int = 10) -> DataFrame:
@@ -80,10 +89,16 @@ def success_after_failures(events: DataFrame, threshold: int = 8, minutes: int =
         resolve(events, "source.ip").alias("ip"), F.col("`@timestamp`").alias("ts"), F.unix_micros("`@timestamp`").alias("us"), F.col("_seq").cast("string").alias("seq"),
         (resolve(events, "event.outcome") == "failure").alias("failed"), resolve(events, "event.category").alias("category"), resolve(events, "event.outcome").alias("outcome"),
     ).filter((F.col("category") == "authentication") & (F.col("ip") != "") & F.col("outcome").isin("failure", "success"))
+    back = max(minutes, LEAST_MINUTES) * 60 + SLACK_MINUTES * 60
+    e = e.withWatermark("ts", f"{back} seconds")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        for us, failed, ts in pd.concat(frames).sort_values(["us", "seq"], kind="stable")[["us", "failed", "ts"]].itertuples(index=False):
+        rows = pd.concat(frames).sort_values(["us", "seq"], kind="stable")
+        for us, failed, ts in rows[["us", "failed", "ts"]].itertuples(index=False):
             kept = [k for k in kept if us - k <= span]
             if failed:
                 kept.append(us)
@@ -91,5 +106,16 @@ def success_after_failures(events: DataFrame, threshold: int = 8, minutes: int =
                 yield pd.DataFrame({"rule_id": ["auth_success_after_failures"], "entity": [key[0]], "ts": [ts], "event_count": [len(kept) + 1]})
                 kept = []
         state.update((kept,))
+        _expires(state, int(rows["us"].max()), back)
 
-    return e.select("ip", "ts", "us", "seq", "failed").groupBy("ip").applyInPandasWithState(step, FIRED, "us array<long>", "append", GroupStateTimeout.NoTimeout)
+    return e.select("ip", "ts", "us", "seq", "failed").groupBy("ip").applyInPandasWithState(step, FIRED, "us array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def everything(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All detections of a stream as rows of the alert table."""
+    from .correlate import as_alerts
+
+    parts = [p.drop("fingerprint") for p in [stateless(events, rules)] if p is not None]
+    parts += [as_alerts(p, rules) for p in [thresholds(events, rules), success_after_failures(events)] if p is not None]
+    parts = [p.select(*A.COLUMNS[:-1], F.struct(F.col("emit.t").alias("t"), F.unix_micros("emit.t").alias("s")).alias("emit")) for p in parts]
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import signal
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -39,3 +41,75 @@ def replay(stream: DataFrame) -> DataFrame:
     finally:
         query.stop()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def events_of(lines: DataFrame, sources: dict[str, str], year: int = 2026) -> DataFrame:
+    """Events of a stream of lines (value, file) by each file's source; what can't be parsed is left out."""
+    from pyspark.sql import functions as F
+
+    from ..sources import files, parsers
+
+    parsed = F.lit(None)
+    for path, source in sources.items():
+        parsed = F.when(F.col("file") == path, parsers.parse(F.col("value"), source, year)).otherwise(parsed)
+    return files.to_events(lines.select("value", "file", parsed.alias("parsed"), F.xxhash64("file", "value").alias("_seq")))
+
+
+def live(alerts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, poll: str | None = "1 second") -> StreamingQuery:
+    """Hand each batch of alerts to a sink; without a poll interval take all there is and end."""
+    trigger = {"processingTime": poll} if poll else {"availableNow": True}
+    return alerts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
+
+
+def wait(query: StreamingQuery, max_seconds: float | None = None, on_status: Callable[[dict], None] | None = None, every: float = 5.0) -> None:
+    """Until the query ends, the time is over or the process is asked to stop; the batch at hand is finished first."""
+    stopped = []
+    before = {s: signal.signal(s, lambda *_: stopped.append(1)) for s in (signal.SIGINT, signal.SIGTERM)}
+    end = time.monotonic() + max_seconds if max_seconds else None
+    try:
+        while query.isActive and not stopped and (end is None or time.monotonic() < end):
+            query.awaitTermination(min(every, max(0.1, end - time.monotonic()) if end else every))
+            if on_status:
+                on_status(status(query))
+        if query.isActive:
+            query.stop()
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def status(query: StreamingQuery) -> dict:
+    """What the query is doing: batches, rows in, rows a second, state rows."""
+    p = query.lastProgress
+    if p is None:
+        return {"active": query.isActive, "batch": -1, "rows": 0, "rows_per_second": 0.0, "state_rows": 0}
+    return {"active": query.isActive, "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "state_rows": sum(s.numRowsTotal for s in p.stateOperators)}
+
+
+def paced(events: DataFrame, folder: str, files: int = 16, speed: float = 0.0, limit: int | None = None) -> DataFrame:
+    """A stream that replays a table of events in time order: as many files, one a batch.
+
+    speed: events' seconds per second of the wall clock (0: as fast as it goes); the
+    files are then written one after the other at that pace by a thread of the driver.
+    """
+    import threading
+
+    from pyspark.sql import functions as F
+
+    spark, ordered = events.sparkSession, events if limit is None else events.orderBy("@timestamp", "_seq").limit(limit)
+    lo, hi = ordered.agg(F.min("@timestamp"), F.max("@timestamp")).first()
+    spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(f"{folder}/in")
+    if lo is not None:
+        width = max((hi - lo).total_seconds(), 1e-6) / files
+        part = F.least(F.lit(files - 1), F.floor((F.unix_micros("@timestamp") - F.lit(int(lo.timestamp() * 1e6))) / F.lit(width * 1e6)))
+
+        def put() -> None:
+            for k in range(files):
+                ordered.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+                if speed:
+                    time.sleep(width / speed)
+
+        threading.Thread(target=put, daemon=True).start() if speed else put()
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
