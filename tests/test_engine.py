@@ -148,7 +148,7 @@ def test_shell(spark, logs, capsys):
 
 
 def test_replay_opens_cases(spark, logs, tmp_path, capsys):
-    assert cli.main(["stream", "--replay", "--logs", str(logs), "--year", "2026", "--out", str(tmp_path)], spark) == 0
+    assert cli.main(["stream", "--replay", "--batches", "4", "--logs", str(logs), "--year", "2026", "--out", str(tmp_path)], spark) == 0
     out = capsys.readouterr().out
     assert "CASE" in out and "198.51.100.140" in out
     history = spark.read.parquet(f"{tmp_path}/stream/history")

@@ -18,7 +18,7 @@ from .operators import detect, quality
 from .operators.enrich import enrich
 from .plans import pipeline
 from .plans.search import EXAMPLES, QueryError, compile_search, render_table
-from .session import session, shared
+from .session import session, shared, written
 from .sources import corpus, files, lookups, rulebook
 
 SHELL_HELP = "A query, or .help  .fields  .examples  .history  .quit"
@@ -33,8 +33,6 @@ def _inputs(args) -> dict[str, str | None]:
 
 def _events(spark: SparkSession, args) -> DataFrame:
     """Enriched events, parsed once."""
-    from .session import written
-
     folder = shared(spark)
     scan = files.scan(spark, _inputs(args), args.year, keep=lambda df: written(df, folder, "lines"))
     return written(enrich(scan.events, lookups.load(args.config)), folder, "enriched")
@@ -145,9 +143,10 @@ def stream(spark: SparkSession, args) -> int:
 
     found, rules_ = lookups.load(args.config), rulebook.load_rules()
     if args.replay:
-        scan = files.scan(spark, _inputs(args), args.year)
+        folder = shared(spark)
+        scan = files.scan(spark, _inputs(args), args.year, keep=lambda df: written(df, folder, "lines"))
         flat = scan.events.withColumn("_seq", F.xxhash64("_seq"))
-        events = run.paced(flat, shared(spark), speed=args.speed, limit=args.limit or None)
+        events = run.paced(flat, folder, args.batches, args.speed, args.limit or None)
     else:
         spark.dataSource.register(Tail)
         sources = _inputs(args)
@@ -165,8 +164,9 @@ def stream(spark: SparkSession, args) -> int:
 
     out = f"{args.out.rstrip('/')}/stream"
     sink = correlate.Correlator(out, rulebook.load_sequences(), args.threshold, show, case)
-    query = run.live(live.everything(enrich(events, found, novelty=False), rules_), sink, f"{out}/checkpoint", None if args.replay and not args.speed else f"{args.poll} seconds")
-    run.wait(query, args.max_seconds, on_status=(lambda s: print(s, file=sys.stderr)) if args.verbose else None)
+    parts = live.detectors(enrich(events, found, novelty=False), rules_)
+    queries = run.live(parts, sink, out, None if args.replay and not args.speed else f"{args.poll} seconds")
+    run.wait(queries, args.max_seconds, on_status=(lambda s: print(s, file=sys.stderr)) if args.verbose else None)
     print(f"alerts {sink.status.alerts}  chains {sink.status.chains}  cases {len(sink.status.cases)}")
     return 0
 
@@ -208,6 +208,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--replay", action="store_true")
     c.add_argument("--speed", type=float, default=0.0, help="seconds of log time a second; 0: as fast as it goes")
     c.add_argument("--limit", type=int, default=0, help="replay so many events only; 0: all")
+    c.add_argument("--batches", type=int, default=16, help="replay in so many batches of equal time")
     c.add_argument("--poll", type=float, default=1.0)
     c.add_argument("--max-seconds", type=float)
     c.add_argument("--verbose", action="store_true", help="print the stream's status")

@@ -8,7 +8,6 @@ its last event by the horizon; events older than the watermark are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -111,11 +110,13 @@ def success_after_failures(events: DataFrame, threshold: int = 8, minutes: int =
     return e.select("ip", "ts", "us", "seq", "failed").groupBy("ip").applyInPandasWithState(step, FIRED, "us array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def everything(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All detections of a stream as rows of the alert table."""
+def detectors(events: DataFrame, rules: list[Rule]) -> dict[str, DataFrame]:
+    """All detections of a stream as rows of the alert table, by detector: each with state needs a query of its own."""
     from .correlate import as_alerts
 
-    parts = [p.drop("fingerprint") for p in [stateless(events, rules)] if p is not None]
-    parts += [as_alerts(p, rules) for p in [thresholds(events, rules), success_after_failures(events)] if p is not None]
-    parts = [p.select(*A.COLUMNS[:-1], F.struct(F.col("emit.t").alias("t"), F.unix_micros("emit.t").alias("s")).alias("emit")) for p in parts]
-    return reduce(DataFrame.unionByName, parts)
+    plain = stateless(events, rules)
+    found = {"stateless": None if plain is None else plain.drop("fingerprint")}
+    for name, fired in (("thresholds", thresholds(events, rules)), ("logins", success_after_failures(events))):
+        found[name] = None if fired is None else as_alerts(fired, rules)
+    emit = F.struct(F.col("emit.t").alias("t"), F.unix_micros("emit.t").alias("s")).alias("emit")
+    return {name: df.select(*A.COLUMNS[:-1], emit) for name, df in found.items() if df is not None}

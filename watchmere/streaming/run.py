@@ -55,29 +55,47 @@ def events_of(lines: DataFrame, sources: dict[str, str], year: int = 2026) -> Da
     return files.to_events(lines.select("value", "file", parsed.alias("parsed"), F.xxhash64("file", "value").alias("_seq")))
 
 
-def live(alerts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, poll: str | None = "1 second") -> StreamingQuery:
-    """Hand each batch of alerts to a sink; without a poll interval take all there is and end."""
+def live(parts: dict[str, DataFrame], sink: Callable[[DataFrame, int], None], folder: str, poll: str | None = "1 second") -> list[StreamingQuery]:
+    """Run detectors, each as a query that appends its alerts to a table, and a query that hands all new alerts to a sink.
+
+    Without a poll interval all there is is taken, and the queries have ended on return.
+    """
+    spark, folder = next(iter(parts.values())).sparkSession, folder.rstrip("/")
+    queries = [start(df, f"{folder}/detected/{name}", f"{folder}/checkpoint/{name}", poll) for name, df in parts.items()]
+    if not poll:
+        for q in queries:
+            q.awaitTermination()
+    found = None
+    for name, df in parts.items():
+        spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{folder}/detected/{name}")  # the folder may not be there yet
+        part = spark.readStream.schema(df.schema).parquet(f"{folder}/detected/{name}")
+        found = part if found is None else found.unionByName(part)
     trigger = {"processingTime": poll} if poll else {"availableNow": True}
-    return alerts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
+    last = found.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint/alerts").outputMode("append").trigger(**trigger).start()
+    if not poll:
+        last.awaitTermination()
+    return [*queries, last]
 
 
-def wait(query: StreamingQuery, max_seconds: float | None = None, on_status: Callable[[dict], None] | None = None, every: float = 5.0) -> None:
-    """Until the query ends, the time is over or the process is asked to stop; the batch at hand is finished first."""
+def wait(queries: list[StreamingQuery], max_seconds: float | None = None, on_status: Callable[[dict], None] | None = None, every: float = 5.0) -> None:
+    """Until a query ends, the time is over or the process is asked to stop; then stop all of them and raise what went wrong."""
     stopped = []
     before = {s: signal.signal(s, lambda *_: stopped.append(1)) for s in (signal.SIGINT, signal.SIGTERM)}
     end = time.monotonic() + max_seconds if max_seconds else None
     try:
-        while query.isActive and not stopped and (end is None or time.monotonic() < end):
-            query.awaitTermination(min(every, max(0.1, end - time.monotonic()) if end else every))
+        while all(q.isActive for q in queries) and not stopped and (end is None or time.monotonic() < end):
+            queries[-1].awaitTermination(max(0.1, min(every, end - time.monotonic()) if end else every))
             if on_status:
-                on_status(status(query))
-        if query.isActive:
-            query.stop()
+                on_status(status(queries[-1]))
     finally:
+        for q in queries:
+            if q.isActive:
+                q.stop()
         for s, handler in before.items():
             signal.signal(s, handler)
-    if query.exception() is not None:
-        raise query.exception()
+    for q in queries:
+        if q.exception() is not None:
+            raise q.exception()
 
 
 def status(query: StreamingQuery) -> dict:
