@@ -367,7 +367,7 @@ def pages(files: DataFrame, key: str = "file_id", content: str = "content") -> D
                         raise TiffError("null")
                     for p in read_tiff(data.as_py()):
                         rows.append({"key": key_.as_py(), "page": p.index, "width": p.width, "height": p.height, "samples": p.samples, "compression": p.compression, "predictor": p.predictor, "tiled": p.tiled, "data": p.data, "error": None})
-                        if sum(len(r["data"] or b"") for r in rows) > 4 * kernel.BLOCK_BYTES:
+                        if sum(len(r.get("data") or b"") for r in rows) > 4 * kernel.BLOCK_BYTES:
                             yield out()
                 except TiffError as e:
                     rows.append({"key": key_.as_py(), "page": -1, "error": str(e)})
