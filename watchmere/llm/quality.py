@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import kernel, labelled
 
 WIDTH, FILTERS, HALF, HIDDEN = 4, 16, 128, 16
-EPOCHS, BATCH, RATE = 9, 64, 0.01
+STEPS, BATCH, RATE = 240, 64, 0.01
 PIECE = 1 << 15
 #: Chunks that learning convolves at a time, which bounds its memory.
 TRAIN_PIECE = 1024
@@ -77,8 +77,9 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5) -> Net | None:
     first = np.searchsorted(owner, np.arange(len(rows) + 1))
     net, state, rng = fresh(seed), {"t": 0}, np.random.default_rng(seed)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (0.15 if epoch >= EPOCHS - 3 else 0.5 if epoch >= EPOCHS // 2 else 1)
+    epochs = -(-STEPS // -(-len(rows) // BATCH))  # about as many steps whatever the number of documents
+    for epoch in range(epochs):
+        rate = RATE * (0.15 if epoch >= epochs * 0.8 else 0.5 if epoch >= epochs // 2 else 1)
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
             docs = order[lo : lo + BATCH]
