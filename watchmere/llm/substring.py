@@ -16,7 +16,8 @@ task's range) and the one just before it.
 Greedy factors.  A document is parsed from left to right: at a block with sources
 the one is taken that goes on longest over the following blocks at the same
 distance, and the stretch is one factor (document, place, length, source document,
-source place).  Only factors of a whole window or more are made.
+source place).  Only factors of a whole window or more are made.  Longest is meant among the
+sources that a block knows; a source in between may go on longer.
 
 Factor boundaries.  A factor's ends fall inside blocks whose words differ while
 their anchors agree.  The windows of such blocks (of each distinct block's first
