@@ -1,15 +1,19 @@
 """The document operators: brute force on small fixtures, and odd inputs."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from watchmere.llm import decontam, langid, license, media, mixing, neardup, pii, quality, queries, substring, toxicity
+from watchmere.llm.work import Work
 
 from ..conftest import SMALL
 from ..rows import duck_rows, spark_rows
@@ -81,23 +85,88 @@ def test_pii_base_spans(spark, odd):
             assert set(text.split(",")) <= set(row["spans"].split(",")) | {""}
 
 
-def test_neardup_brute_force(odd):
-    def shingles(text):
-        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if x]
-        return ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) if w else set()
+def _shingles(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if x]
+    return ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) if w else set()
+
 
-    sets = {r["doc_id"]: shingles(r["text"]) for r in odd.collect()}
+def _components(texts):
+    """Smallest linked id of each id, by comparing all pairs."""
+    sets = {i: _shingles(t) for i, t in texts.items()}
     root = {i: i for i in sets}
-    changed = True
-    while changed:
-        changed = False
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
-                    root[a] = root[b] = min(root[a], root[b])
-                    changed = True
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_neardup_brute_force(odd):
+    want = _components({r["doc_id"]: r["text"] for r in odd.collect()})
     got = {r["doc_id"]: r for r in neardup.group(odd).collect()}
-    assert {i: (len(s), root[i], root[i] == i) for i, s in sets.items()} == {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()}
+    assert {i: (n, c, c == i) for i, (n, c) in want.items()} == {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()}
+
+
+def test_neardup_of_one_large_bucket(spark, monkeypatch):
+    """Copies of one text that differ so much that many pairs aren't links: the grid of blocks must find what the stars leave."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(160):
+        own = list(base)
+        for _ in range(rng.randint(1, 6)):
+            own[rng.randrange(150)] = f"x{rng.random()}"
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.group(docs).collect()} == _components(texts)
+
+
+def test_neardup_recall_at_the_threshold(spark):
+    """Pairs of a similarity of 0.75 to 0.80, each alone: at least 99.5 % are linked."""
+    rng = random.Random(4)
+    rows, pairs = [], 0
+    for k in range(600):
+        a = [f"p{k}_{i}" for i in range(rng.randint(120, 200))]
+        b = list(a)
+        sa = _shingles(" ".join(a))
+        while True:
+            b[rng.randrange(len(b))] = f"q{rng.random()}"
+            sb = _shingles(" ".join(b))
+            now = len(sa & sb) / len(sa | sb)
+            if now < 0.80:
+                break
+        if now >= 0.75:
+            pairs += 1
+            rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = neardup.group(spark.createDataFrame(rows, "doc_id long, text string")).filter("NOT kept").count()
+    assert pairs > 200 and got >= 0.995 * pairs, (got, pairs)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows that repeat an id are one document of the smallest text; a null id is an id; clashing columns stay."""
+    long, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, other, 1), (5, long, 2), (None, long, 3), (None, None, 4), (7, long + " end", 5), (9, other, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.group(docs).collect()), key=str)
+    assert got == sorted([(5, 36, 5, True), (5, 36, 5, True), (None, 0, None, True), (None, 0, None, True), (7, 37, 5, False), (9, 36, 9, True)], key=str)
+    kept = sorted(((r["doc_id"], r["doc"]) for r in neardup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(5, 2), (None, 4), (9, 6)], key=str)
+    removed = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.dedup(docs).collect()), key=str)
+    assert removed == sorted([(5, 40, 0), (5, 40, 0), (None, 0, 0), (None, 0, 0), (7, 41, 40), (9, 40, 0)], key=str)
+    for df in (pii.digest(docs), langid.identify(docs.selectExpr("doc_id", "text", "'en' AS lang")), media.round_trip(docs)):
+        assert df.count() == len(rows)
+    labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    for found in (toxicity.classify(docs, labels), quality.classify(docs, labels)):
+        assert found.count() == len(rows)
+        assert found.collect() == found.collect()
 
 
 def test_substring_brute_force(odd):
@@ -113,6 +182,32 @@ def test_substring_brute_force(odd):
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_factors_rebuild_the_documents(spark, odd):
+    """Every factor equals its earlier source word for word, and factors cover exactly the removed words."""
+    docs = odd.select("doc_id", "text").unionAll(spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    words = {r["doc_id"]: [w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w] for r in docs.collect()}
+    covered = {d: set() for d in words}
+    for f in substring.factors(docs).collect():
+        here, there = (f["doc_id"], f["place"]), (f["source_id"], f["source_place"])
+        assert f["length"] >= 20 and there < here
+        assert words[here[0]][here[1] : here[1] + f["length"]] == words[there[0]][there[1] : there[1] + f["length"]]
+        covered[here[0]] |= set(range(here[1], here[1] + f["length"]))
+    assert {r["doc_id"]: r["n_removed"] for r in substring.dedup(docs).collect()} == {d: len(c) for d, c in covered.items()}
+    assert sum(map(len, covered.values())) > 1000
+
+
+def test_factor_takes_the_longest_source(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a + b)), (3, " ".join(a + b + ["y"]))], "doc_id long, text string")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # at the edge of a task's range a factor may be cut in two
+    try:
+        got = sorted((r["doc_id"], r["place"], r["length"], r["source_id"], r["source_place"]) for r in substring.factors(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == [(2, 0, 60, 1, 0), (3, 0, 120, 2, 0)]
+
+
 def test_media_round_trip(odd):
     got = {r["doc_id"]: r for r in media.round_trip(odd).collect()}
     for r in odd.collect():
@@ -122,6 +217,82 @@ def test_media_round_trip(odd):
         assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 
+@pytest.mark.parametrize("size", [64, 4096 + 64, 300_032])
+def test_every_layout_at_every_size(size):
+    rng = random.Random(size)
+    text = "".join(rng.choice("abcdef gh") for _ in range(size)).encode()
+    kinds = set()
+    for k in range(8):
+        payload, file = media.store_text(text[: max(1, size - 64 * k)])
+        pages = list(media.read_tiff(file))
+        kinds |= {p.compression for p in pages}
+        assert b"".join(p.data for p in pages) == payload
+    if size > 512:
+        assert kinds == {media.NONE, media.LZW, media.DEFLATE, media.PACKBITS}
+
+
+def _tiff(e, entries, blob, at=8, following=0):
+    """A file by hand: header, blob at byte 8, one directory of (tag, type, count, value)."""
+    place = at + len(blob) + len(blob) % 2
+    out = (b"II*\0" if e == "<" else b"MM\0*") + struct.pack(e + "I", place) + blob + b"\0" * (len(blob) % 2)
+    out += struct.pack(e + "H", len(entries))
+    for tag, kind, count, value in sorted(entries):
+        out += struct.pack(e + "HHI", tag, kind, count) + (struct.pack(e + "HH", value, 0) if kind == 3 and count == 1 else struct.pack(e + "I", value))
+    return out + struct.pack(e + "I", following)
+
+
+def _plain(e="<", w=5, h=4, blob=bytes(range(20)), **other):
+    tags = {256: (3, 1, w), 257: (3, 1, h), 258: (3, 1, 8), 259: (3, 1, 1), 273: (4, 1, 8), 277: (3, 1, 1), 278: (3, 1, h), 279: (4, 1, len(blob))}
+    tags |= {int(k[1:]): v for k, v in other.items()}
+    return _tiff(e, [(t, *v) for t, v in tags.items() if v], blob)
+
+
+def test_foreign_files():
+    """Both byte orders, turned bit order, planes apart, several pages, a predictor over LZW."""
+    for e in "<>":
+        (page,) = media.read_tiff(_plain(e))
+        assert (page.width, page.height, page.data) == (5, 4, bytes(range(20)))
+    turned = bytes(int(f"{b:08b}"[::-1], 2) for b in range(20))
+    assert next(media.read_tiff(_plain(blob=turned, t266=(3, 1, 2)))).data == bytes(range(20))
+    planes = bytes(range(12)) + struct.pack("<4I", 8, 12, 16, 0) + struct.pack("<3I", 4, 4, 4)
+    (page,) = media.read_tiff(_plain(w=2, h=2, blob=planes, t273=(4, 3, 20), t279=(4, 3, 36), t277=(3, 1, 3), t284=(3, 1, 2), t258=None))
+    assert page.data == bytes((0, 4, 8, 1, 5, 9, 2, 6, 10, 3, 7, 11))
+    rng = np.random.default_rng(1)
+    pages = [rng.integers(0, 9, (h, w), dtype=np.uint8) for h, w in ((1, 1), (70, 33), (200, 64))]
+    for kind in (media.NONE, media.LZW, media.DEFLATE, media.PACKBITS):
+        for tile in (None, (16, 16), (64, 32)):
+            got = list(media.read_tiff(media.write_tiff(pages, kind, 2, tile, rows=7)))
+            assert [(p.index, p.data) for p in got] == [(i, p.tobytes()) for i, p in enumerate(pages)]
+
+
+def test_lzw_of_other_writers():
+    """Early clears, a table that is full and goes on, and codes that can't be."""
+    rng = random.Random(2)
+    data = bytes(rng.choice(b"abc") for _ in range(60_000))
+    assert media.lzw_decode(media.lzw_encode(data), len(data)) == data
+    pack = lambda codes: np.packbits(np.array([int(x) for c in codes for x in f"{c:09b}"], np.uint8)).tobytes()
+    assert media.lzw_decode(pack([256, 65, 66, 258, 256, 67, 258, 257]), 99) == b"ABABCCC"
+    for bad in ([256, 300], [65, 400], [256, 258]):
+        with pytest.raises(media.TiffError):
+            media.lzw_decode(pack(bad), 99)
+
+
+def test_broken_files_give_error_rows(spark):
+    """Whatever the bytes are, each file gives at least one row and the task lives."""
+    huge, good = (1 << 31) - 1, media.write_tiff([np.zeros((40, 40), np.uint8)], media.LZW, tile=(16, 16))
+    files = [None, b"", b"II*\0", b"II*\0\xff\xff\xff\xff", _plain(w=0), _plain(t256=(4, 1, huge), t257=(4, 1, huge)), _plain(t322=(3, 1, 0), t323=(3, 1, 16), t324=(4, 1, 8), t325=(4, 1, 20)), _plain(t278=(3, 1, 1)),
+             _plain(t258=(3, 1, 16)), _plain(t317=(3, 1, 3)), _plain(t284=(3, 1, 9)), _plain(t279=(4, 1, 9999)), _plain(t256=None), _plain(t259=(3, 1, 5), blob=b"\xff" * 20), _plain(t259=(3, 1, 8)), _plain(t259=(3, 1, 7))]
+    rng = random.Random(6)
+    for _ in range(300):
+        b = bytearray(good)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        files.append(bytes(b[: rng.randrange(len(b))] if rng.random() < 0.3 else b))
+    rows = media.pages(spark.createDataFrame(list(enumerate(files)), "file_id int, content binary")).select("key", "page", "error").collect()
+    assert {int(r["key"]) for r in rows} == set(range(len(files)))
+    assert all(any(r["page"] == -1 and r["error"] for r in rows if int(r["key"]) == k) for k in range(16))
+
+
 def test_classifiers_score_every_document(odd, labels):
     for df in (toxicity.classify(odd, labels), quality.classify(odd, labels)):
         rows = df.collect()
@@ -132,14 +303,40 @@ def test_classifiers_score_every_document(odd, labels):
 
 
 def test_held_out_accuracy(spark):
+    """Balanced accuracy, which a constant answer can't bring above one half."""
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    for df, mark in ((toxicity.classify(docs, marks), "toxic"), (quality.classify(docs, marks), "quality")):
+    for df, mark, least in ((toxicity.classify(docs, marks), "toxic", 0.75), (quality.classify(docs, marks), "quality", 0.85)):
         rows = df.join(marks.select("doc_id", mark).dropna(), "doc_id").filter("held_out").collect()
-        assert sum(r["predicted"] == r[mark] for r in rows) >= 0.8 * len(rows), mark
+        shares = [sum(r["predicted"] == y for r in rows if r[mark] == y) / sum(r[mark] == y for r in rows) for y in (0, 1)]
+        assert sum(shares) / 2 >= least, (mark, shares)
     rows = langid.identify(docs).join(docs.select("doc_id", "lang").dropna(), "doc_id").filter("held_out AND lang_pred <> 'und'").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.9 * len(rows)
 
 
+def test_no_language_is_left_out(spark, monkeypatch):
+    """Every value of lang gets a prototype, more of them than are scored at a time."""
+    monkeypatch.setattr(langid, "LANG_BLOCK", 2)
+    letters = ["abc", "def", "ghi", "jkl", "mno"]
+    rng = random.Random(1)
+    rows = [(i, " ".join("".join(rng.choices(letters[i % 5], k=5)) for _ in range(30)), f"l{i % 5}") for i in range(100)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] % 5}" for r in got)
+
+
+def test_added_personal_data(spark):
+    """Spans beyond the base ones, of values that no example has; secrets go whole, whatever their length."""
+    tail = "aB3dE9fG" * 40
+    texts = ["write to maria.weber (at) posteo (dot) org today", "host 172[.]20[.]33[.]4 is up", f"my token = {tail} end", "secret=eyJh1GciOi.eyJzdWIi9.SflKxw77 x", "see version 3.2 of page 12", "we met us at noon. Then left", "order 1234 of part 77"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train(spark)
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(docs, model).collect()}
+    kinds = [re.sub(r":\d+:\d+", "", spans[i]) for i in range(len(texts))]
+    assert kinds == ["email", "ip", "secret", "secret", "", "", ""]
+    red = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert red[2] == "my [SECRET] end" and red[3] == "[SECRET] x" and red[0] == "write to [EMAIL] today"
+    assert all(p >= 0.9 for p, _ in pii.calibration(spark).values())
+
+
 def test_language_of_odd_texts(odd):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd).collect()}
     assert got[0] == got[1] == got[2] == "und" and len(got) == odd.count()
@@ -147,7 +344,7 @@ def test_language_of_odd_texts(odd):
 
 def test_empty_tables(spark, odd, labels):
     none, few = odd.limit(0), spark.createDataFrame([], "item_id long, text string")
-    found = [pii.digest(none), toxicity.classify(none, labels.limit(0)), quality.classify(none, labels.limit(0)), neardup.group(none), license.scan(none), langid.identify(none), mixing.replicate(none), media.round_trip(none), substring.dedup(none), decontam.scan(none, few), decontam.scan(odd, few)]
+    found = [pii.digest(none), toxicity.classify(none, labels.limit(0)), quality.classify(none, labels.limit(0)), neardup.group(none), license.scan(none), langid.identify(none), mixing.replicate(none), media.round_trip(none), substring.dedup(none), substring.factors(none), decontam.scan(none, few), decontam.scan(odd, few), neardup.keep_one(none), quality.keep(none, labels), pii.redact(none), decontam.clean(none, few)]
     assert [df.count() for df in found] == [0] * len(found)
 
 
@@ -155,7 +352,83 @@ def test_scans_of_odd_texts(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "w1")], "item_id long, text string")
     assert license.scan(odd).count() == 0
     decontam.scan(odd, bench).collect()
-    assert {r["doc_id"] for r in mixing.replicate(odd).collect()} <= set(range(30))
+    assert {r["doc_id"] for r in decontam.clean(odd, bench).collect()} == {r["doc_id"] for r in odd.collect() if "w1" not in (r["text"] or "").split()}
+
+
+def _copies(rows, alpha=0.5):
+    """Copies of each row (doc_id, source, text) by the definition: inverted Poisson of the source's rate."""
+    sizes = {}
+    for _, source, text in rows:
+        sizes[source] = sizes.get(source, 0) + len(text or "")
+    wish, total = {k: n**alpha if n else 0.0 for k, n in sizes.items()}, sum(sizes.values())
+    out = {}
+    for i, source, _ in rows:
+        rate = wish[source] / sum(wish.values()) * total / sizes[source] if sizes[source] else 1.0
+        terms = max(1, math.ceil(rate / mixing.LARGE))
+        count = 0
+        for j in range(1, terms + 1):
+            u = int(hashlib.md5(f"mix:{'' if i is None else i}:{j}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            p = cdf = math.exp(-rate / terms)
+            k = 0
+            while cdf <= u:
+                k += 1
+                p *= rate / terms / k
+                cdf += p
+            count += k
+        out[i] = count
+    return out
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_mixing_against_the_definition(spark, odd, monkeypatch, most):
+    """With the rates in the plan and with the rates joined; columns with the names of inner ones don't matter."""
+    monkeypatch.setattr(mixing, "MAX_LITERAL", most)
+    want = _copies([(r["doc_id"], r["source"], r["text"]) for r in odd.collect()])
+    docs = odd.selectExpr("*", "1 AS rate", "2 AS key", "3 AS __rate", "4 AS copies")
+    got = mixing.replicate(docs).collect()
+    assert {i: sum(r["doc_id"] == i for r in got) for i in want} == want
+    assert all(r["copies"] == want[r["doc_id"]] and (r["rate"], r["key"], r["__rate"]) == (1, 2, 3) for r in got)
+    assert sorted((r["doc_id"], r["copy"]) for r in got) == sorted((i, c) for i, n in want.items() for c in range(1, n + 1))
+
+
+def _matched(template, text):
+    """Share of a template's words that stand in order in a text, by a plain table."""
+    a, b = (re.findall(r"[a-z0-9]+", t.lower()) for t in (template, text))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(max(row[k + 1], new[k], row[k] + (x == y)))
+        row = new
+    return row[-1] / len(a)
+
+
+def test_planted_licenses(spark):
+    """Whole, edited and cut-off templates are found where they stand; others are not."""
+    rng = random.Random(7)
+    filler = lambda n: " ".join(f"z{rng.randrange(900)}" for _ in range(n))
+    rows, want = [], {}
+    for name, texts in license.TEMPLATES.items():
+        for template in texts:
+            words = template.split()
+            edited = [("zz" if len(words) > 12 and k % 9 == 4 else w) for k, w in enumerate(words)]
+            for kind, body in (("whole", template), ("edited", " ".join(edited)), ("half", " ".join(words[: len(words) // 2]) if len(words) > 30 else "")):
+                i, before = len(rows), filler(rng.randint(0, 40))
+                rows.append((i, f"{before} {body} {filler(10)}"))
+                want[i] = (name, len(before) + 1, template, kind)
+    found = {}
+    for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    for i, (name, start, template, kind) in want.items():
+        share = _matched(template, rows[i][1])
+        hits = [r for r in found.get(i, []) if r["license"] == name]
+        if kind == "whole":
+            assert any(r["span_start"] == start and r["coverage"] == 1.0 for r in hits), (name, kind)
+        if share >= license.COVERAGE + 0.05 and kind != "half":
+            assert hits, (name, kind, share)
+        for r in found.get(i, []):
+            best = max(_matched(t, rows[i][1][r["span_start"] : r["span_end"]]) for t in license.TEMPLATES[r["license"]])
+            assert best >= license.COVERAGE and abs(best - r["coverage"]) < 0.02 or best > r["coverage"], (name, kind)
 
 
 def test_planted_license_and_benchmark(spark):
@@ -220,10 +493,47 @@ def test_sample_of_passages_does_not_depend_on_layout(spark, monkeypatch):
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    n = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
-        assert out.columns == corpus_pipeline.COLUMNS, name
-        assert out.count() <= n
-    assert corpus_pipeline.redact_pii(spark, docs, SMALL).count() == n
+    """Each stage on the whole table against what its decisions must be."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r["doc_id"] for r in df.collect()}
+    outs = {name: f(spark, docs, SMALL) for name, f in list(stage.items())[:-1]}
+    assert all(out.columns == corpus_pipeline.COLUMNS for out in outs.values())
+    scores = quality.classify(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert ids(outs["quality_classifier"]) == ids(scores.filter("score >= 0.3"))
+    assert ids(outs["near_dedup"]) == {i for i, (_, c) in _components({i: r["text"] for i, r in rows.items()}).items() if i == c}
+    held = ids(decontam.scan(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")))
+    assert ids(outs["decontaminate"]) == set(rows) - held and held
+    red = {r["doc_id"]: r["text"] for r in outs["redact_pii"].collect()}
+    assert red.keys() == rows.keys()
+    for i, text in red.items():
+        spans = _base_spans(rows[i]["text"] or "")
+        assert not _base_spans(text or "") or len(_base_spans(text)) < len(spans), i
+        if text == rows[i]["text"]:
+            assert not spans
+    want = _copies([(i, r["source"], r["text"]) for i, r in rows.items()])
+    mixed = stage["mix_sources"](spark, docs, SMALL).collect()
+    assert {i: sum(r["doc_id"] == i for r in mixed) for i in rows} == want
+
+
+def test_pipeline_run(spark):
+    """run() is its stages one after the other."""
+    docs, work = spark.read.parquet(f"{SMALL}/documents.parquet"), Work(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = work.save(stage(spark, docs, SMALL), name)
+    assert spark_rows(corpus_pipeline.run(spark, SMALL)) == spark_rows(docs)
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd):
+    """Nulls, repeated rows, null ids, extra columns and empty tables go through every stage."""
+    more = odd.unionAll(odd.filter("doc_id < 6")).unionAll(odd.filter("doc_id = 4").selectExpr("CAST(NULL AS BIGINT)", "text", "lang", "source", "n_chars", "score", "n"))
+    for docs in (more, odd.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            assert set(corpus_pipeline.COLUMNS) <= set(out.columns), name
+            found = out.count()
+            assert found == 0 if not n else found == n if name in ("quality_classifier", "redact_pii") else found > 0, name
+    with pytest.raises(Exception):
+        corpus_pipeline.STAGES[0][1](spark, odd.drop("text"), SMALL)
