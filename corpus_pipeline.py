@@ -4,6 +4,10 @@ Every stage sees all that the one before kept, and its decisions take effect: th
 quality classifier's rejects go, one document of each near-duplicate group stays,
 documents with benchmark items go, personal data is replaced in the texts, and
 the mix is drawn.  All but the last return the columns of ``documents``.
+
+Nulls, empty texts, ties, repeated rows and ids: each stage does with them what its
+operator's docstring says; other columns than those of ``documents`` are left out, and
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mix_sources", mix_sources),
 ]
 
-#: The classifier can't be written in SQL; tests compare the stages with brute-force versions.
+#: The classifier can't be written in SQL; the tests compare each stage with what its decisions must be.
 ORACLE_SQL = None
 
 
