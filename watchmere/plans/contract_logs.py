@@ -14,7 +14,7 @@ from ..sources import files, lookups, parsers, rulebook
 from ..sources.lookups import Lookups
 from ..session import shared
 from . import pipeline
-from .contract import _RAW, EV, FAILURE, SQL_STAMP, _plain, _threshold, events, flat, register, stamp
+from .contract import _RAW, EV, FAILURE, SQL, SQL_STAMP, _plain, _threshold, events, flat, register, stamp
 
 YEAR = 2024
 SECOND = "strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S')"
@@ -360,3 +360,6 @@ def lookup_files(spark, sf_dir):
     sizes = {"networks": lookups.networks(spark, found), "intel": lookups.intel(spark, found), "assets": lookups.assets(spark, found), "identities": lookups.identities(spark, found)}
     return spark.createDataFrame([(k, v.limit(1).count() > 0) for k, v in sizes.items()], "what string, some boolean")
 
+
+
+SQL["sequence_chain"] = EV + _RAW + _CHAIN + f"SELECT 'fail_then_view' AS rule_id, entity, strftime(fired, '{SQL_STAMP}') AS ts, CAST(2 AS BIGINT) AS event_count FROM fold"
