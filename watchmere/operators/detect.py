@@ -134,23 +134,65 @@ def stateless(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
     return _alerts(hits, chosen, lambda r: r.description or r.title)
 
 
-def qualifying(hits: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """rule_ord, group of the groups that reach their rule's threshold within its window."""
+def _stretches(hits: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """hits in the stretches they stand in: us, w, b, and ``hit``, which only a hit's own row holds.  One shuffle."""
     window = _meta(rules, lambda r: F.lit(round(r.threshold.window * 1_000_000)), "long")
-    placed = hits.select("rule_ord", "group", "value", "seq", F.unix_micros("ts").alias("us"), F.greatest(window, F.lit(1)).alias("w"))
+    whole = F.struct("ts", "seq", "entity", "entity_type", "evidence", "first")
+    placed = hits.select("rule_ord", "group", "value", "seq", F.unix_micros("ts").alias("us"), F.greatest(window, F.lit(1)).alias("w"), whole.alias("hit"))
     placed = placed.withColumn("k", F.floor(F.col("us") / F.col("w"))).withColumn("b", F.explode(F.array("k", F.col("k") + 1)))
-    stretch = Window.partitionBy("rule_ord", "group", "b")
-    reached = F.lit(False)
+    return placed.withColumn("hit", F.when(F.col("b") == F.col("k"), F.col("hit"))).drop("k").repartition("rule_ord", "group", "b")
+
+
+def _present(placed: DataFrame, distinct: Column) -> DataFrame:
+    """placed with ``present``: how many values of a distinct rule's group lie in the window that ends here.
+
+    A value enters with a hit that no equal one precedes within the window, and
+    leaves a window after a hit that no equal one follows within it; the running
+    sum of both counts the values without keeping a set.
+    """
+    same = Window.partitionBy("rule_ord", "group", "b", "value").orderBy("us", "seq")
+    enters = F.coalesce(F.col("us") - F.lag("us").over(same) > F.col("w"), F.lit(True)).cast("int")
+    leaves = distinct & F.coalesce(F.lead("us").over(same) - F.col("us") > F.col("w"), F.lit(True))
+    moved = placed.withColumns({"enters": enters, "leaves": leaves}).withColumn("leaving", F.explode(F.when(F.col("leaves"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    gone = F.col("leaving") == 1
+    moved = moved.withColumns({"hit": F.when(~gone, F.col("hit")), "us": F.col("us") + F.when(gone, F.col("w")).otherwise(0), "change": F.when(gone, -1).otherwise(F.col("enters"))})
+    order = Window.partitionBy("rule_ord", "group", "b").orderBy("us", "leaving", "seq")
+    return moved.withColumn("present", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def grouped(hits: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """rule_ord, event_count, evidence and the first hit's columns of the groups that reach their rule's threshold.
+
+    hits are evaluated once.  Each stretch of a group becomes one row of bounded
+    size (its count, first hit, first evidence and whether a window that ends in it
+    reaches the threshold); those rows make up the group.
+    """
+    placed, reached = _stretches(hits, rules), F.lit(False)
+    wide = [(i, r.threshold.count) for i, r in rules if r.threshold.distinct]
+    leaving = []
+    if wide:
+        placed, leaving = _present(placed, F.col("rule_ord").isin([i for i, _ in wide])), ["leaving"]
+    order = Window.partitionBy("rule_ord", "group", "b").orderBy("us", *leaving, "seq")
+    for n in sorted({n for _, n in wide}):
+        reached = reached | (F.col("rule_ord").isin([i for i, m in wide if m == n]) & (F.col("present") >= n))
     for n in sorted({r.threshold.count for _, r in rules if not r.threshold.distinct}):
         mine = [i for i, r in rules if not r.threshold.distinct and r.threshold.count == n]
-        before = F.lag("us", n - 1).over(stretch.orderBy("us", "seq")) if n > 1 else F.col("us")
+        before = F.lag("us", n - 1).over(order) if n > 1 else F.col("us")
         reached = reached | (F.col("rule_ord").isin(mine) & (F.col("us") - before <= F.col("w")))
-    for n, w in sorted({(r.threshold.count, round(r.threshold.window * 1_000_000)) for _, r in rules if r.threshold.distinct}):
-        mine = [i for i, r in rules if r.threshold.distinct and (r.threshold.count, round(r.threshold.window * 1_000_000)) == (n, w)]
-        values = F.size(F.collect_set("value").over(stretch.orderBy("us").rangeBetween(-w, 0)))
-        reached = reached | (F.col("rule_ord").isin(mine) & (values >= n))
-    own = placed.withColumn("reached", F.coalesce(reached, F.lit(False)) & (F.col("b") == F.col("k")))
-    return own.filter("reached").select("rule_ord", "group").distinct()
+    counted = placed.withColumns({"reached": F.coalesce(reached, F.lit(False)), "n": F.count("hit").over(order.rowsBetween(Window.unboundedPreceding, 0))}).filter(F.col("hit").isNotNull())
+    cell = F.struct("n", F.col("hit.evidence").alias("evidence"))
+    stretches = counted.groupBy("rule_ord", "group", "b").agg(
+        F.count("*").alias("event_count"), F.max("reached").alias("reached"), F.min_by("hit", "n").alias("f"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= EVIDENCE, cell))), lambda x: x["evidence"]).alias("evidence"),
+    )
+    # the first hits of a group lie in its first stretches
+    early = F.row_number().over(Window.partitionBy("rule_ord", "group").orderBy("b")) <= EVIDENCE
+    shown_ = F.array_sort(F.collect_list(F.when(F.col("early"), F.struct("b", "evidence"))))
+    groups = stretches.withColumn("early", early).groupBy("rule_ord", "group").agg(
+        F.sum("event_count").alias("event_count"), F.max("reached").alias("reached"), F.min_by("f", "b").alias("f"),
+        F.slice(F.flatten(F.transform(shown_, lambda x: x["evidence"])), 1, EVIDENCE).alias("evidence"),
+    )
+    return groups.filter("reached").select("rule_ord", "event_count", "evidence", *[F.col(f"f.{c}").alias(c) for c in ("ts", "seq", "entity", "entity_type", "first")])
 
 
 def thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
@@ -158,13 +200,7 @@ def thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
     chosen = [(i, r) for i, r in enumerate(rules) if r.threshold]
     if not chosen:
         return None
-    hits = _hits(events, chosen)
-    inside = hits.join(qualifying(hits, chosen), ["rule_ord", "group"], "left_semi")
-    order = F.struct("ts", "seq")
-    whole = inside.groupBy("rule_ord", "group").agg(F.count("*").alias("event_count"), F.min_by(F.struct("ts", "seq", "entity", "entity_type", "first"), order).alias("f"))
-    early = inside.withColumn("n", F.row_number().over(Window.partitionBy("rule_ord", "group").orderBy("ts", "seq"))).filter(F.col("n") <= EVIDENCE)
-    shown_ = early.groupBy("rule_ord", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
-    joined = whole.join(shown_, ["rule_ord", "group"]).select("rule_ord", "event_count", "evidence", "f.*")
+    joined = grouped(_hits(events, chosen), chosen)
 
     def description(r: Rule) -> str:
         t = r.threshold
