@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.rulebook import Sequence
 from . import alerts as A
@@ -13,12 +15,36 @@ from . import alerts as A
 CHAIN_SCORE = 95
 
 
-def _key(rule: Sequence) -> list[str]:
-    return ["entity"] if rule.group_by in ("entity", "source.ip", "") else [c for c in [rule.group_by] if c in A.COLUMNS] or ["entity"]
+def _key(rule: Sequence) -> str:
+    return rule.group_by if rule.group_by in A.COLUMNS else "entity"
 
 
-def _any_of(rule_ids: list[str]) -> Column:
-    return F.exists("a", lambda x: x["rule_id"].isin(rule_ids))
+def _taken(stages: list[list[str]], span: int):
+    """The alerts that complete chains, with the chain's number; rows come sorted by key and time.
+
+    What is kept between rows are the alerts of the chain begun, one for each stage.
+    """
+
+    def walk(batches):
+        current, chain, number = None, [], 0
+        for batch in batches:
+            done = []
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "us", "rule_id"))
+            for i, (key, us, rule_id) in enumerate(zip(*columns)):
+                if key != current:
+                    current, chain = key, []
+                if rule_id not in stages[len(chain)]:
+                    continue
+                if chain and us - chain[0][0] > span:
+                    chain = []
+                    continue
+                chain.append((us, batch.slice(i, 1)))
+                if len(chain) == len(stages):
+                    done += [row.append_column("chain", pa.array([number], pa.int64())) for _, row in chain]
+                    chain, number = [], number + 1
+            yield from done
+
+    return walk
 
 
 def chains(alerts: DataFrame, rule: Sequence, order: int = 0) -> DataFrame:
@@ -29,41 +55,29 @@ def chains(alerts: DataFrame, rule: Sequence, order: int = 0) -> DataFrame:
     the chain and that alert with it; the last stage completes a chain and the next
     begins afresh.  Unordered: if no ordered chain is left complete, every stage
     must have an alert among the entity's, all of which must lie within the limit.
+
+    An entity's alerts pass by in order, one row at a time, beside the few of the
+    chain begun; only an unordered chain is as long as its entity has alerts.
     """
     wanted = sorted({r for stage in rule.stages for r in stage})
     span = round(rule.within * 1_000_000)
-    cell = F.struct("ts", F.struct("stage_ord", "rule_ord", "emit").alias("ord"), "rule_id", "rule_name", "severity", "entity_type", "event_count", "context")
-    key = _key(rule)
-    used = alerts.filter(F.col("rule_id").isin(wanted)) if rule.ordered else alerts
-    groups = used.groupBy(*key).agg(F.array_sort(F.collect_list(cell)).alias("a"))
-    # an entity without an alert for every stage has no chain
-    for stage in rule.stages:
-        groups = groups.filter(_any_of(stage))
-    item = groups.schema["a"].dataType.elementType.simpleString()
-    none = F.array().cast(f"array<{item}>")
-    start = F.struct(F.lit(0).alias("stage"), none.alias("chain"), F.array().cast(f"array<array<{item}>>").alias("out"))
-    stages = F.array(*[F.array(*[F.lit(r) for r in s]) for s in rule.stages])
-    n = len(rule.stages)
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = F.array_contains(F.element_at(stages, acc["stage"] + 1), x["rule_id"])
-        late = fits & (F.size(acc["chain"]) > 0) & (F.unix_micros(x["ts"]) - F.unix_micros(F.get(acc["chain"], F.lit(0))["ts"]) > span)
-        done = fits & ~F.coalesce(late, F.lit(False)) & (acc["stage"] + 1 == n)
-        takes = fits & ~F.coalesce(late, F.lit(False))
-        drop = F.coalesce(late, F.lit(False)) | done
-        return F.struct(
-            F.when(drop, 0).when(takes, acc["stage"] + 1).otherwise(acc["stage"]).alias("stage"),
-            F.when(drop, none).when(takes, F.array_append(acc["chain"], x)).otherwise(acc["chain"]).alias("chain"),
-            F.when(done, F.array_append(acc["out"], F.array_append(acc["chain"], x))).otherwise(acc["out"]).alias("out"),
-        )
-
-    folded = groups.select(*key, "a", F.aggregate("a", start, step).alias("f"))
-    found = folded.select(*key, F.explode("f.out").alias("c"))
+    cell = ["ts", "ord", "rule_id", "rule_name", "severity", "entity_type", "event_count", "context"]
+    used = alerts.select(F.col(_key(rule)).cast("string").alias("key"), F.unix_micros("ts").alias("us"), F.struct("stage_ord", "rule_ord", "emit").alias("ord"), *[c for c in cell if c != "ord"])
+    run_ = used.filter(F.col("rule_id").isin(wanted)).repartition("key").sortWithinPartitions("key", "ts", "ord", "rule_id")
+    schema = StructType([*run_.schema.fields, StructField("chain", LongType())])
+    links = run_.mapInArrow(_taken(rule.stages, span), schema)
+    found = links.groupBy("key", "chain").agg(F.array_sort(F.collect_list(F.struct(*cell))).alias("c")).drop("chain")
     if not rule.ordered:
-        short = F.unix_micros(F.element_at("a", -1)["ts"]) - F.unix_micros(F.element_at("a", 1)["ts"]) <= span
-        found = found.unionByName(folded.filter((F.size("f.out") == 0) & short).select(*key, F.col("a").alias("c")))
-    if key != ["entity"]:
-        found = found.withColumnRenamed(key[0], "entity")
+        # which entities qualify is told by aggregates; only theirs are put together
+        every = [F.max(F.col("rule_id").isin(stage)).alias(f"s{i}") for i, stage in enumerate(rule.stages)]
+        whole = used.groupBy("key").agg(F.min("us").alias("begins"), F.max("us").alias("ends"), *every).filter(F.col("ends") - F.col("begins") <= span)
+        for i in range(len(rule.stages)):
+            whole = whole.filter(f"s{i}")
+        has = found.select(F.col("key").alias("other"))
+        whole = whole.join(has, F.col("key").eqNullSafe(F.col("other")), "left_anti").select(F.col("key").alias("other"))
+        rest = used.join(whole, F.col("key").eqNullSafe(F.col("other")), "left_semi")
+        found = found.unionByName(rest.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*cell))).alias("c")))
+    found = found.withColumnRenamed("key", "entity")
     last, first = F.element_at("c", -1), F.element_at("c", 1)
     mins = F.floor((F.unix_micros(last["ts"]) - F.unix_micros(first["ts"])) / 60_000_000)
     return found.select(

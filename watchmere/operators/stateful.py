@@ -21,13 +21,35 @@ def _first(events: DataFrame) -> list[Column]:
     return [context(events).alias("context"), resolve(events, "honeypot").cast("boolean").alias("first_honeypot"), resolve(events, "event.business_hours").cast("boolean").alias("first_business_hours")]
 
 
+def _alerting(threshold: int):
+    """Of successes sorted by address and time, those that alert; low: the number of the newest failure that each doesn't count."""
+
+    def walk(batches):
+        ip, cleared = None, 0
+        for batch in batches:
+            chosen, lows = [], []
+            for i, (address, total, old) in enumerate(zip(batch["ip"], batch["total"], batch["old"])):
+                if address != ip:
+                    ip, cleared = address, 0
+                low = max(old, cleared)
+                if total - low >= threshold:
+                    chosen.append(i)
+                    lows.append(low)
+                    cleared = total
+            found = batch.iloc[chosen][["ip", "us", "seq", "total"]]
+            yield found.assign(low=lows)
+
+    return walk
+
+
 def success_after_failures(events: DataFrame, threshold: int = 8, minutes: int = 10) -> DataFrame:
     """A login that succeeds after at least ``threshold`` failures of its address within the window; it clears them.
 
-    An address's events fall into sessions where more than the window passes
-    without one, since no failure is remembered across that; a session can only
-    alert if one of its successes has enough failures in a plain sliding window, so
-    only those are folded, event by event, with the reset.
+    A success's remembered failures are the newest of its address: those neither
+    older than the window nor counted by the last success that alerted.  So an address's
+    failures are numbered, and which successes alert is told from numbers alone, in
+    one pass over the sorted successes that may alert; the failures are then assigned
+    to the alert that follows them.  No row or state grows with a session.
     """
     span = minutes * MINUTE
     # what the alert takes from the first remembered failure (for risk) and from the success (for context)
@@ -36,33 +58,34 @@ def success_after_failures(events: DataFrame, threshold: int = 8, minutes: int =
         resolve(events, "event.category").alias("category"), resolve(events, "event.outcome").alias("outcome"), resolve(events, "user.name").alias("user"), resolve(events, "host.name").alias("host"), *_first(events),
     ).filter((F.col("category") == "authentication") & (F.col("ip") != "") & F.col("outcome").isin("failure", "success"))
     by_ip = Window.partitionBy("ip")
-    gap = F.coalesce((F.col("us") - F.lag("us").over(by_ip.orderBy("us", "seq")) > span).cast("int"), F.lit(1))
-    fails = F.sum((F.col("outcome") == "failure").cast("int")).over(by_ip.orderBy("us").rangeBetween(-span, 0))
-    e = e.withColumns({"gap": gap, "fails": fails}).withColumn("session", F.sum("gap").over(by_ip.orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)))
-    able = e.filter((F.col("outcome") == "success") & (F.col("fails") >= threshold)).select("ip", "session").distinct()
-    folded = e.join(able, ["ip", "session"], "left_semi").groupBy("ip", "session").agg(F.array_sort(F.collect_list(F.struct("us", "seq", "ts", "outcome", "user", "host", "context", "first_honeypot", "first_business_hours"))).alias("events"))
-    item = folded.schema["events"].dataType.elementType.simpleString()
-    none = F.array().cast(f"array<{item}>")
-    start = F.struct(none.alias("kept"), F.array().cast(f"array<struct<success:{item},fails:array<{item}>>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.filter(acc["kept"], lambda f: x["us"] - f["us"] <= span)
-        fires = (x["outcome"] == "success") & (F.size(kept) >= threshold)
-        return F.struct(
-            F.when(x["outcome"] == "failure", F.array_append(kept, x)).when(fires, none).otherwise(kept).alias("kept"),
-            F.when(fires, F.array_append(acc["out"], F.struct(x.alias("success"), kept.alias("fails")))).otherwise(acc["out"]).alias("out"),
-        )
-
-    hit = folded.select("ip", F.explode(F.aggregate("events", start, step)["out"]).alias("h")).select("ip", "h.success", "h.fails")
-    n, tried = F.size("fails"), F.size(F.array_distinct(F.transform("fails", lambda f: _text(f["user"]))))
-    last = F.transform(F.slice("fails", F.greatest(n - 3, F.lit(1)), 4), lambda f: F.concat(F.lit("failed: "), _text(f["user"]), F.lit(" at "), show_time(f["ts"])))
+    failure = (F.col("outcome") == "failure").cast("int")
+    total = F.sum(failure).over(by_ip.orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    old = F.coalesce(F.sum(failure).over(by_ip.orderBy("us").rangeBetween(Window.unboundedPreceding, -span - 1)), F.lit(0))
+    e = e.withColumns({"total": total, "old": old})
+    able = e.filter((F.col("outcome") == "success") & (F.col("total") - F.col("old") >= threshold)).select("ip", "us", "seq", "total", "old")
+    alerting = able.repartition("ip").sortWithinPartitions("ip", "us", "seq").mapInPandas(_alerting(threshold), "ip string, us long, seq long, total long, low long")
+    mark = F.struct("us", "seq", "total", "low")
+    fires = alerting.select("ip", "us", "seq", mark.alias("fire"))
+    marked = e.join(fires, ["ip", "us", "seq"], "left")
+    following = F.last("fire", ignorenulls=True).over(by_ip.orderBy(F.desc("us"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("next", following).filter(F.col("fire").isNotNull() | ((F.col("outcome") == "failure") & (F.col("total") > F.col("next.low"))))
+    failed, success = F.col("fire").isNull(), F.struct("ts", "seq", "user", "host", "context")
+    shown_ = F.struct("total", F.concat(F.lit("failed: "), _text(F.col("user")), F.lit(" at "), show_time(F.col("ts"))).alias("text"))
+    oldest = failed & (F.col("total") == F.col("next.low") + 1)
+    hit = marked.groupBy("ip", "next").agg(
+        F.count(F.when(failed, 1)).alias("n"), F.count_distinct(F.when(failed, _text(F.col("user")))).alias("tried"), F.first(F.when(~failed, success), ignorenulls=True).alias("success"),
+        F.array_sort(F.collect_list(F.when(failed & (F.col("total") > F.col("next.total") - 4), shown_))).alias("last"),
+        F.max(F.when(oldest, F.col("first_honeypot"))).alias("first_honeypot"), F.max(F.when(oldest, F.col("first_business_hours"))).alias("first_business_hours"),
+    )
+    n, tried = F.col("n"), F.col("tried")
+    last = F.transform("last", lambda f: f["text"])
     return hit.select(
         F.lit("auth_success_after_failures").alias("rule_id"), F.lit("Successful Authentication After Repeated Failures").alias("rule_name"), F.lit("critical").alias("severity"),
         F.col("success.ts").alias("ts"), F.col("ip").alias("entity"), F.lit("ip").alias("entity_type"),
         F.concat(F.lit("Authentication SUCCEEDED as '"), _text(F.col("success.user")), F.lit("' on "), _text(F.col("success.host")), F.lit(" after "), n.cast("string"), F.lit(" failures against "), tried.cast("string"), F.lit(f" account(s) in the preceding {minutes} minutes")).alias("description"),
         F.array(*[F.lit(t) for t in ("T1078", "T1110", "ATTACK.INITIAL_ACCESS")]).alias("tags"),
         F.array_append(last, F.concat(F.lit("SUCCESS: "), _text(F.col("success.user")), F.lit(" at "), show_time(F.col("success.ts")))).alias("evidence"),
-        (n + 1).cast("long").alias("event_count"), F.col("success.context").alias("context"), F.col("fails")[0]["first_honeypot"].alias("first_honeypot"), F.col("fails")[0]["first_business_hours"].alias("first_business_hours"),
+        (n + 1).cast("long").alias("event_count"), F.col("success.context").alias("context"), "first_honeypot", "first_business_hours",
         F.lit(A.SEVERITY["critical"][0]).alias("base_score"), F.lit(A.STATEFUL).alias("stage_ord"), F.lit(0).alias("rule_ord"), F.struct(F.col("success.ts").alias("t"), F.col("success.seq").alias("s")).alias("emit"),
     )
 
