@@ -319,8 +319,13 @@ def test_no_language_is_left_out(spark, monkeypatch):
     letters = ["abc", "def", "ghi", "jkl", "mno"]
     rng = random.Random(1)
     rows = [(i, " ".join("".join(rng.choices(letters[i % 5], k=5)) for _ in range(30)), f"l{i % 5}") for i in range(100)]
-    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs).collect()
     assert all(r["lang_pred"] == f"l{r['doc_id'] % 5}" for r in got)
+    sent = langid.learn(docs)
+    monkeypatch.setattr(langid, "LANGS_SENT", 3)  # dealt by language instead of sent to all: the same prototypes
+    dealt = langid.learn(docs)
+    assert sent.keys() == dealt.keys() and all(np.allclose(sent[k], dealt[k]) for k in sent)
 
 
 def test_added_personal_data(spark):

@@ -12,7 +12,9 @@ one vector per language, and the vectors are added up in a grouped aggregate, so
 the driver sees one prototype per value of ``lang``, of which none is left out;
 scoring takes ``LANG_BLOCK`` of them at a time.  A bounded sample teaches each
 language: documents whose id hash falls under a threshold that gives about
-``PER_LANG`` documents for the language (``per_lang``), however large the table.
+``PER_LANG`` documents for the language (``per_lang``), however large the table;
+texts are filtered where they are read, and not shuffled, unless there are more
+than ``LANGS_SENT`` languages.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ DIM = 512
 SYMBOLS = 64
 PER_LANG = 1500
 LANG_BLOCK = 1024
+LANGS_SENT = 20_000  # shares of so many languages go to every task
+SALTS = 64
 
 _cache: dict[str, np.ndarray] = {}
 
@@ -94,7 +98,16 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> dict[str, list[float]]:
     """Prototype of every non-null lang of docs (doc_id, text, lang)."""
     docs = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     share = docs.groupBy("lang").count().select("lang", F.ceil(F.lit(float(per_lang) * (1 << 20)) / F.col("count")).alias("below"))
-    sample = docs.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("below"))
+    few = share.limit(LANGS_SENT + 1).collect()
+    if len(few) <= LANGS_SENT:
+        small = F.broadcast(docs.sparkSession.createDataFrame(few, share.schema))
+        chosen = docs.join(small, "lang")
+    else:
+        # too many to send: a join by language, each of them dealt over SALTS tasks
+        salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
+        salted = share.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        chosen = docs.withColumn("salt", salt).join(salted, ["lang", "salt"]).drop("salt")
+    sample = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("below"))
 
     def bundle(batches):
         import pyarrow as pa
