@@ -27,7 +27,7 @@ def made():
 def logins(spark, made):
     df = spark.createDataFrame(made, "_seq long, ts timestamp, ip string, outcome string, user string").repartition(5)
     return df.select(
-        "_seq", F.col("ts").alias("@timestamp"), F.struct("ip").alias("source"), F.struct(F.lit("authentication").alias("category"), "outcome").alias("event"),
+        F.struct(F.lit("f").alias("file"), F.col("_seq").alias("at")).alias("_seq"), F.col("ts").alias("@timestamp"), F.struct("ip").alias("source"), F.struct(F.lit("authentication").alias("category"), "outcome").alias("event"),
         F.struct(F.col("user").alias("name")).alias("user"), F.struct(F.lit("h").alias("name")).alias("host"),
     )
 

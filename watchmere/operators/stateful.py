@@ -36,7 +36,7 @@ def _alerting(threshold: int):
                     chosen.append(i)
                     lows.append(low)
                     cleared = total
-            found = batch.iloc[chosen][["ip", "us", "seq", "total"]]
+            found = batch.iloc[chosen][["ip", "place", "total"]]
             yield found.assign(low=lows)
 
     return walk
@@ -61,13 +61,13 @@ def success_after_failures(events: DataFrame, threshold: int = 8, minutes: int =
     failure = (F.col("outcome") == "failure").cast("int")
     total = F.sum(failure).over(by_ip.orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0))
     old = F.coalesce(F.sum(failure).over(by_ip.orderBy("us").rangeBetween(Window.unboundedPreceding, -span - 1)), F.lit(0))
-    e = e.withColumns({"total": total, "old": old})
-    able = e.filter((F.col("outcome") == "success") & (F.col("total") - F.col("old") >= threshold)).select("ip", "us", "seq", "total", "old")
-    alerting = able.repartition("ip").sortWithinPartitions("ip", "us", "seq").mapInPandas(_alerting(threshold), "ip string, us long, seq long, total long, low long")
-    mark = F.struct("us", "seq", "total", "low")
-    fires = alerting.select("ip", "us", "seq", mark.alias("fire"))
-    marked = e.join(fires, ["ip", "us", "seq"], "left")
-    following = F.last("fire", ignorenulls=True).over(by_ip.orderBy(F.desc("us"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumns({"place": F.row_number().over(by_ip.orderBy("us", "seq")).cast("long"), "total": total, "old": old})
+    able = e.filter((F.col("outcome") == "success") & (F.col("total") - F.col("old") >= threshold)).select("ip", "place", "total", "old")
+    alerting = able.repartition("ip").sortWithinPartitions("ip", "place").mapInPandas(_alerting(threshold), "ip string, place long, total long, low long")
+    mark = F.struct("place", "total", "low")
+    fires = alerting.select("ip", "place", mark.alias("fire"))
+    marked = e.join(fires, ["ip", "place"], "left")
+    following = F.last("fire", ignorenulls=True).over(by_ip.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("next", following).filter(F.col("fire").isNotNull() | ((F.col("outcome") == "failure") & (F.col("total") > F.col("next.low"))))
     failed, success = F.col("fire").isNull(), F.struct("ts", "seq", "user", "host", "context")
     shown_ = F.struct("total", F.concat(F.lit("failed: "), _text(F.col("user")), F.lit(" at "), show_time(F.col("ts"))).alias("text"))
