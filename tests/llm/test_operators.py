@@ -497,6 +497,52 @@ def test_sample_of_passages_does_not_depend_on_layout(spark, monkeypatch):
     assert seen[0] == seen[1] == seen[2] and len(seen[0][2]) == 256
 
 
+def _latent(texts, items):
+    """Words, their weights, and latent directions of items and all passages of all texts, by plain loops; no item is longer than a passage."""
+    split = lambda t: re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    texts, items = [split(t) for t in texts], [split(t) for t in items]
+    number = {int(decontam._hashes(w)[0]): w for t in items for w in t}
+    number = {w: i for i, (_, w) in enumerate(sorted(number.items()))}  # terms are numbered by their hashes
+    df = np.zeros(len(number))
+    for t in texts:
+        df[[number[w] for w in set(t) & number.keys()]] += 1
+    weight = np.where(df > max(decontam.STOP * len(texts), decontam.STOP_LEAST), 0, np.log((len(texts) + 1) / (df + 1)) + 0.05)
+
+    def row(words):
+        a = np.zeros(len(number))
+        for w in words:
+            if w in number:
+                a[number[w]] += weight[number[w]]
+        return a
+
+    passages = [[row(t[16 * k : 16 * k + 48]) for k in range(max(1, -(-len(t) // 16) - 2))] for t in texts]
+    gram = np.zeros((len(number), len(number)))
+    for rows in ([a for p in passages for a in p if a.any()], [row(t) for t in items]):
+        unit = np.array([a / max(np.sqrt((a**2).sum()), 1e-9) for a in rows])
+        gram += unit.T @ unit / len(unit)
+    rank = min(decontam.RANK, len(number))
+    q = np.linalg.qr(np.random.default_rng(9).standard_normal((len(number), min(len(number), rank + 8))))[0]
+    q = np.linalg.qr(gram @ q)[0]
+    basis = q @ np.linalg.eigh(q.T @ gram @ q)[1][:, ::-1][:, :rank]
+    return weight, basis, [np.array(p) @ basis for p in passages], [row(t) @ basis for t in items]
+
+
+def test_cosines_are_those_of_a_space_of_all_passages(spark):
+    """With more passages than a sample would hold, each hit's cosine is that of the latent space of all of them."""
+    rng = random.Random(21)
+    topics = [[f"t{k}x{i}" for i in range(30)] for k in range(60)]
+    texts = [" ".join(rng.choices(topics[i % 60], k=60) + rng.choices(topics[i * i % 60], k=100)) for i in range(600)]
+    items = [" ".join(rng.choices(topics[k], k=15) + rng.choices(topics[59 - k], k=15)) for k in range(30)]
+    texts += [f"{texts[k]} {item} {texts[k + 40]}" for k, item in enumerate(items)]
+    _, _, passages, segments = _latent(texts, items)
+    assert sum(map(len, passages)) > 4096
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontam.scan(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    for k, item in enumerate(segments):
+        p = passages[600 + k]
+        assert abs(found[600 + k, k] - (p @ item / np.maximum(np.sqrt((p**2).sum(axis=1) * (item**2).sum()), 1e-9)).max()) < 2e-4, k
+
+
 def test_pipeline_stages(spark):
     """Each stage on the whole table against what its decisions must be."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)

@@ -4,10 +4,11 @@ Terms are the words of the benchmark items (runs of ASCII letters and digits and
 bytes beyond ASCII, ASCII letters lower-cased); other words of a document have no
 weight.  Documents are read in passages of ``PASSAGE`` words, a new one every
 ``STRIDE``.  Term weights are inverse document frequencies counted over all
-documents.  A randomised SVD of the TF-IDF matrix of the items and a bounded
-sample of passages (its products with a random matrix are summed by the
-executors) gives ``RANK`` latent directions.  The sample is the ``SAMPLE`` distinct
-passages of smallest hash of their own words, the same however rows are dealt.  Every passage of every
+documents.  A randomised SVD of the TF-IDF matrix of the items and all passages
+of all documents (its products with a random matrix are summed by the executors,
+one pass over the documents each) gives ``RANK`` latent directions.  Items and
+passages, as often as they occur, weigh the same in it as a whole.  The sums are
+of whole numbers, so they are the same however rows are dealt.  Every passage of every
 document is projected and compared by cosine with every item, one of more than
 ``WHOLE`` words in segments of ``PASSAGE`` words; pairs of at least ``COSINE``
 (and ``PRESENT``) are checked on the words themselves.  Around each such passage
@@ -27,7 +28,7 @@ one another as in the item, without cosine; an item without a word is found nowh
 
 Items are the query set.  They are taken in blocks of ``ITEM_BLOCK`` in the order
 of their ids, so what is broadcast and held by a worker is bounded; each block is
-one pass over the documents.
+four passes over the documents: one counts, two fit, one compares.
 """
 
 from __future__ import annotations
@@ -46,6 +47,10 @@ PASSAGE, STRIDE, MARGIN = 48, 16, 16
 #: Items of more words are compared with passages in segments, a new one every PASSAGE / 2 words.
 WHOLE = PASSAGE + MARGIN
 RANK, SAMPLE, COSINE = 128, 4096, 0.45
+#: Sums over all passages are of multiples of 1 / UNIT: exact, so their order doesn't matter.
+UNIT = 1 << 24
+#: Rows that such a sum takes at a time: few enough to stay in a processor's cache.
+ROWS = 512
 #: A candidate's projection on its item is at least this share of the item itself: a single rare word is no candidate.
 PRESENT = 0.3
 #: Terms of more than this share of the documents (and of more than STOP_LEAST documents) have no weight.
@@ -145,6 +150,13 @@ def _blocks_of(words: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(words.first[:-1], n) + (np.arange(begin[-1]) - np.repeat(begin[:-1], n)) * STRIDE, begin
 
 
+def _passages_of(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First run of each passage, the end of its document's runs, and where each document's passages begin (one at least)."""
+    count = np.maximum(1, np.diff(begin) - PASSAGE // STRIDE + 1)
+    first = np.concatenate([[0], np.cumsum(count)])
+    return np.arange(first[-1]) - np.repeat(first[:-1] - begin[:-1], count), np.repeat(begin[1:], count), first
+
+
 @dataclass
 class Model:
     terms: Terms
@@ -217,12 +229,9 @@ class Model:
             # runs of empty documents share their start with the next; the last of equal starts has the words
             edge = np.flatnonzero(np.diff(run, prepend=-1))
             sums[run[edge]] = np.add.reduceat(self.table.take(term[heavy], axis=0), edge, axis=0)
-        n = np.diff(begin)
         span = PASSAGE // STRIDE
-        count = np.maximum(1, n - span + 1)
-        first = np.concatenate([[0], np.cumsum(count)])
-        p = np.arange(first[-1]) - np.repeat(first[:-1] - begin[:-1], count)
-        last = np.repeat(begin[1:], count)
+        p, last, first = _passages_of(begin)
+        count = np.diff(first)
         cosine: dict[tuple[int, int], float] = {}
         places: dict[tuple[int, int], set[int]] = {}
         for lo in range(0, len(p), 8192):
@@ -269,8 +278,31 @@ def _answer_words(text: str) -> int:
     return parts[-1] if len(parts) > 1 else max(1, -(-n // 3))
 
 
+def _counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+    """Document frequency of each term over all documents, and their number."""
+    size = len(terms.hashes)
+
+    def run(batches):
+        import pyarrow as pa
+
+        df, total = np.zeros(size, np.int64), 0
+        for batch in batches:
+            for b in kernel.blocks(batch.column("text")):
+                words, h = _words(b.buf, b.offs)
+                at, term = terms.find(h)
+                doc = np.searchsorted(words.first, at, "right") - 1
+                df += np.bincount(np.unique(doc * size + term) % size, minlength=size)
+                total += b.hi - b.lo
+        k = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": pa.array([*k.tolist(), -1], pa.int64()), "n": pa.array([*df[k].tolist(), total], pa.int64())})
+
+    out = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = {r["term"]: r["n"] for r in out.collect()}  # a row a term
+    return np.array([counts.get(i, 0) for i in range(size)], np.float64), int(counts.get(-1, 0))
+
+
 def _survey(docs: DataFrame, terms: Terms, work: Work) -> tuple[np.ndarray, int, DataFrame]:
-    """Document frequency of each term over all documents, their number, and a sample of passages as term lists."""
+    """What _counts() gives, and a sample of SAMPLE distinct passages as term lists, for a look at a corpus: fit() doesn't use it."""
     size = len(terms.hashes)
 
     def run(batches):
@@ -306,41 +338,133 @@ def _survey(docs: DataFrame, terms: Terms, work: Work) -> tuple[np.ndarray, int,
     return df, int(counts.get(-1, 0)), sample
 
 
-def _svd(rows: DataFrame, weight: np.ndarray, rank: int = RANK, rounds: int = 2) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF matrix whose rows are term lists: terms x rank.
+def _add_rows(out: np.ndarray, group: np.ndarray, table: np.ndarray, row: np.ndarray, count: np.ndarray) -> None:
+    """Add count * table[row] to out[group], where groups ascend."""
+    edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+    cuts = np.append(np.flatnonzero(np.diff(edge[:-1] // ROWS, prepend=-1)), len(edge) - 1)
+    for a, b in zip(cuts[:-1], cuts[1:]):  # whole groups, some ROWS at a time
+        lo, hi = edge[a], edge[b]
+        v = table.take(row[lo:hi], axis=0)
+        v *= count[lo:hi, None].astype(v.dtype)
+        out[group[edge[a:b]]] += np.add.reduceat(v, edge[a:b] - lo, axis=0).astype(out.dtype)
+
+
+def _squares(run: np.ndarray, term: np.ndarray, a: np.ndarray, size: int, begin: np.ndarray) -> np.ndarray:
+    """Squared length of each passage's TF-IDF row, from what the terms of each run (ascending) weigh there."""
+    first, last, _ = _passages_of(begin)
+    key, span = run * size + term, PASSAGE // STRIDE
+    out = np.zeros(len(first))
+    for d in range(span):  # products of runs d apart
+        k = np.minimum(np.searchsorted(key, key + d * size), len(key) - 1)
+        same = np.flatnonzero(key[k] == key + d * size)
+        dot = np.bincount(run[same], a[same] * a[k[same]] * (2 if d else 1), minlength=begin[-1])
+        for j in range(span - d):
+            more = first + j + d < last
+            out[more] += dot[first[more] + j]
+    return out
+
+
+def _add_gram(total: np.ndarray, buf: np.ndarray, offs: np.ndarray, terms: Terms, weight: np.ndarray, table: np.ndarray) -> int:
+    """Add UNIT times the product of a block's Gram matrix with a term table to total, but for the weight of total's terms; the number of passages.
+
+    A passage's row is its terms' counts times their weights, at length 1; table
+    has the weights in it already.  Passages without a weighted term count nothing.
+    """
+    words, h = _words(buf, offs)
+    at, term = terms.find(h)
+    heavy = weight[term] > 0
+    if not heavy.any():
+        return 0
+    starts, begin = _blocks_of(words)
+    size, span = len(weight), PASSAGE // STRIDE
+    # as in Model.find, the last of equal starts has the words
+    key, count = np.unique((np.searchsorted(starts, at[heavy], "right") - 1) * size + term[heavy], return_counts=True)
+    run, term = key // size, key % size
+    square = _squares(run, term, count * weight[term], size, begin)
+    sums = np.zeros((len(starts), table.shape[1]), np.float32)
+    _add_rows(sums, run, table, term, count)
+    first, last, _ = _passages_of(begin)
+    some = np.flatnonzero(square > 0)
+    first, last, square = first[some], last[some], square[some]
+    back = np.zeros((len(starts), table.shape[1]))
+    for lo in range(0, len(first), ROWS):
+        own, end = first[lo : lo + ROWS], last[lo : lo + ROWS]
+        v = sums[own]
+        for j in range(1, span):
+            more = own + j < end
+            v[more] += sums[own[more] + j]
+        v = np.rint(v * (UNIT / square[lo : lo + ROWS])[:, None])
+        for j in range(span):
+            more = own + j < end
+            back[own[more] + j] += v[more]
+    order = np.argsort(term, kind="stable")
+    _add_rows(total, term[order], back, run[order], count[order])
+    return len(first)
+
+
+def _gram(docs: DataFrame, terms: Terms, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Product of a term table with the mean Gram matrix of all passages: terms x columns, summed by the executors."""
+    size, wide = q.shape
+    table = (weight[:, None] * q).astype(np.float32)
+    schema = "term long, v array<long>"
+
+    def rows(total):
+        import pyarrow as pa
+
+        used = np.flatnonzero(total.any(axis=1))
+        for lo in range(0, len(used), 4096):
+            k = used[lo : lo + 4096]
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1) * wide, pa.int32()), pa.array(total[k].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(k), v], names=["term", "v"])
+
+    def products(batches):
+        total = np.zeros((size + 1, wide), np.int64)  # the last row has the number of passages
+        for batch in batches:
+            for b in kernel.blocks(batch.column("text")):
+                total[size, 0] += _add_gram(total, b.buf, b.offs, terms, weight, table)
+        yield from rows(total)
+
+    def added(batches):
+        total = np.zeros((size + 1, wide), np.int64)
+        for batch in batches:
+            np.add.at(total, batch.column("term").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, wide))
+        yield from rows(total)
+
+    # a partial sum a task is as large as the model: few tasks, however many parts the documents have
+    tasks = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    found = tasks.mapInArrow(products, schema).repartition("term").mapInArrow(added, schema).toArrow()
+    out = np.zeros((size + 1, wide))
+    if found.num_rows:
+        out[found.column("term").to_numpy()] = found.column("v").combine_chunks().flatten().to_numpy().reshape(-1, wide)
+    return out[:size] * weight[:, None] / (UNIT * max(out[size, 0], 1))
 
-    Subspace iteration from a random start; each product with the Gram matrix is
-    summed by the executors, a partial sum a task.
+
+def _item_gram(parts: list[np.ndarray], weight: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The same of the items' segments, as term lists."""
+    out = np.zeros(q.shape)
+    for part in parts:
+        k, c = np.unique(part, return_counts=True)
+        a = c * weight[k]
+        a /= max(np.sqrt((a**2).sum()), 1e-9)
+        out[k] += a[:, None] * (a @ q[k])
+    return out / max(len(parts), 1)
+
+
+def _svd(docs: DataFrame, terms: Terms, parts: list[np.ndarray], weight: np.ndarray, rank: int = RANK, rounds: int = 2) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF matrix of all passages of docs and the items' segments (parts): terms x rank.
+
+    Subspace iteration from a random start; a round is one pass over the documents.
     """
     size, rank = len(weight), min(rank, len(weight))
     wide = min(size, rank + 8)
 
     def gram(q: np.ndarray) -> np.ndarray:
-        q = q.astype(np.float32)
-
-        def run(batches):
-            import pyarrow as pa
-
-            total = np.zeros((size, wide))
-            for batch in batches:
-                for terms in batch.column("passage"):
-                    k, c = np.unique(np.array(terms.as_py(), np.int64), return_counts=True)
-                    a = c * weight[k]
-                    a /= max(np.sqrt((a**2).sum()), 1e-9)
-                    total[k] += a[:, None] * (a @ q[k])
-            used = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_pydict({"term": pa.array(used, pa.int64()), "v": pa.array(total[used].tolist(), pa.list_(pa.float64()))})
-
-        out = np.zeros((size, wide))
-        for r in rows.mapInArrow(run, "term long, v array<double>").collect():  # terms x tasks of a bounded table
-            out[r["term"]] += r["v"]
-        return out
+        return _gram(docs, terms, weight, q) + _item_gram(parts, weight, q)
 
     q = np.linalg.qr(np.random.default_rng(9).standard_normal((size, wide)))[0]
     for _ in range(rounds - 1):
         q = np.linalg.qr(gram(q))[0]
-    image = gram(q)
-    value, vector = np.linalg.eigh(q.T @ image)
+    value, vector = np.linalg.eigh(q.T @ gram(q))
     return (q @ vector[:, ::-1][:, :rank]).astype(np.float32)
 
 
@@ -351,20 +475,17 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return [(a, a + PASSAGE) for a in [*range(0, n - PASSAGE, PASSAGE // 2), n - PASSAGE]]
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str]], work: Work) -> Model | None:
+def fit(docs: DataFrame, items: list[tuple[int, str]]) -> Model | None:
     """Model of a block of items (id, text); those without a word are left out."""
     kept = [(i, t, h) for i, t, h in ((i, t, _hashes(t or "")) for i, t in items) if len(h)]
     if not kept:
         return None
     terms = Terms(np.concatenate([h for _, _, h in kept]))
-    df, n, sample = _survey(docs, terms, work)
+    df, n = _counts(docs, terms)
     weight = np.where(df > max(STOP * n, STOP_LEAST), 0.0, np.log((n + 1) / (df + 1)) + 0.05)
     numbers = [terms.find(h)[1] for _, _, h in kept]
-    spark = docs.sparkSession
     parts = [(i, x[a:b]) for i, x in enumerate(numbers) if len(x) >= LEAST_WORDS for a, b in _segments(len(x))]
-    own = spark.createDataFrame([(x.tolist(),) for _, x in parts], "passage array<long>")
-    rows = work.save(own.unionAll(sample).coalesce(4), "matrix")  # SAMPLE and the segments of ITEM_BLOCK items
-    basis = _svd(rows, weight)
+    basis = _svd(docs, terms, [x for _, x in parts], weight)
     table = (weight[:, None] * basis).astype(np.float32)
     vectors = np.array([table[x].sum(axis=0) for _, x in parts]).reshape(-1, table.shape[1])
     norms = np.sqrt((vectors**2).sum(axis=1))
@@ -383,7 +504,6 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], work: Work) -> Model | No
 
 def _models(docs: DataFrame, benchmark: DataFrame):
     """A model for each block of items, in the order of ids; rows of null id or text are no items."""
-    work = Work(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
     after = None
@@ -391,7 +511,7 @@ def _models(docs: DataFrame, benchmark: DataFrame):
         left = items if after is None else items.filter(F.col("item_id") > after)
         block = [(r["item_id"], r["text"]) for r in left.orderBy("item_id").limit(ITEM_BLOCK).collect()]
         if block:
-            model = fit(docs.select(F.col("text").cast("string").alias("text")), block, work)
+            model = fit(docs.select(F.col("text").cast("string").alias("text")), block)
             if model:
                 yield model
         if len(block) < ITEM_BLOCK:
