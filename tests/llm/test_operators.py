@@ -527,13 +527,18 @@ def _latent(texts, items):
     return weight, basis, [np.array(p) @ basis for p in passages], [row(t) @ basis for t in items]
 
 
-def test_cosines_are_those_of_a_space_of_all_passages(spark):
-    """With more passages than a sample would hold, each hit's cosine is that of the latent space of all of them."""
+def _topics():
+    """Texts of two topics each, and items that the last texts hold."""
     rng = random.Random(21)
     topics = [[f"t{k}x{i}" for i in range(30)] for k in range(60)]
     texts = [" ".join(rng.choices(topics[i % 60], k=60) + rng.choices(topics[i * i % 60], k=100)) for i in range(600)]
     items = [" ".join(rng.choices(topics[k], k=15) + rng.choices(topics[59 - k], k=15)) for k in range(30)]
-    texts += [f"{texts[k]} {item} {texts[k + 40]}" for k, item in enumerate(items)]
+    return texts + [f"{texts[k]} {item} {texts[k + 40]}" for k, item in enumerate(items)], items
+
+
+def test_cosines_are_those_of_a_space_of_all_passages(spark):
+    """With more passages than a sample would hold, each hit's cosine is that of the latent space of all of them."""
+    texts, items = _topics()
     _, _, passages, segments = _latent(texts, items)
     assert sum(map(len, passages)) > 4096
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -543,6 +548,36 @@ def test_cosines_are_those_of_a_space_of_all_passages(spark):
         assert abs(found[600 + k, k] - (p @ item / np.maximum(np.sqrt((p**2).sum(axis=1) * (item**2).sum()), 1e-9)).max()) < 2e-4, k
 
 
+def test_sums_over_all_passages_do_not_depend_on_layout(spark):
+    """The sums that fit the search are the same however rows fall into partitions, batches and blocks."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").limit(40)
+    items = [r["text"] for r in bench.collect() if r["text"]]
+    terms = decontam.Terms(decontam._hashes(" ".join(items)))
+    q = np.random.default_rng(1).standard_normal((len(terms.hashes), 12))
+    seen = []
+    for layout in (docs.coalesce(1), docs.repartition(7), docs.orderBy("text")):
+        df, n = decontam._counts(layout, terms)
+        seen.append((df.tolist(), n, decontam._gram(layout, terms, 1 / (1 + df), q)))
+    assert seen[0][:2] == seen[1][:2] == seen[2][:2]
+    assert (seen[0][2] == seen[1][2]).all() and (seen[0][2] == seen[2][2]).all() and seen[0][2].any()
+
+
+def test_decontaminate_searches_a_space_of_all_passages(spark, tmp_path, monkeypatch):
+    """The stage's search has the latent space of all passages of the documents it sees, and finds verbatim copies."""
+    texts, items = _topics()
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    models, seen = decontam._models, []
+    monkeypatch.setattr(decontam, "_models", lambda *a: (seen.append(m) or m for m in models(*a)))
+    out = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in out.collect()}.isdisjoint(range(600, 630)) and len(seen) == 1
+    weight, basis, _, _ = _latent(texts, items)
+    want = weight[:, None] * basis
+    assert np.allclose(seen[0].weight, weight)
+    assert abs(seen[0].table @ seen[0].table.T - want @ want.T).max() < 1e-3 * (want @ want.T).max()
+
+
 def test_pipeline_stages(spark):
     """Each stage on the whole table against what its decisions must be."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)
