@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -563,6 +565,56 @@ def test_sums_over_all_passages_do_not_depend_on_layout(spark):
     assert (seen[0][2] == seen[1][2]).all() and (seen[0][2] == seen[2][2]).all() and seen[0][2].any()
 
 
+class _Here:
+    """Batches that go through Arrow functions in this process, in place of a DataFrame."""
+
+    def __init__(self, spark, batches):
+        self.sparkSession, self.batches = spark, batches
+
+    def mapInArrow(self, run, schema):
+        return _Here(self.sparkSession, list(run(iter(self.batches))))
+
+    def select(self, *_):
+        return self
+
+    coalesce = repartition = select
+
+    def toArrow(self):
+        return pa.Table.from_batches(self.batches)
+
+
+def test_terms_that_share_a_slot():
+    """Words are found whether or not another term, or a word that is none, has the same low bits; also after pickling."""
+    low = 1 << 20
+    for terms in (t := decontam.Terms(np.array([5 + low, 5, 9], np.uint64)), pickle.loads(pickle.dumps(t))):
+        at, term = terms.find(np.array([5, 9 + low, 5 + low, 9, 5 + 2 * low, 7], np.uint64))
+        assert at.tolist() == [0, 2, 3] and term.tolist() == [0, 2, 1]
+    assert len(decontam.Terms(np.zeros(0, np.uint64)).find(np.array([5], np.uint64))[0]) == 0
+
+
+def test_fitting_passes_read_weighted_terms_only(spark, monkeypatch):
+    """The passes that fit look up terms with a weight only; their sums are those of plain loops, for runs and terms of many rows too."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(90)]
+    texts = ["", None, "w0 w1", " ".join(rng.choices(words, k=400) + ["W3"] * 700 + words[:60] * 9), *(" ".join(rng.choices(words, k=rng.randint(1, 150))) for _ in range(40))]
+    terms = decontam.Terms(decontam._hashes(" ".join(words)))
+    number = {h: i for i, h in enumerate(terms.hashes.tolist())}
+    weight = np.where(np.arange(90) % 3, np.linspace(0.5, 2, 90), 0)
+    q = np.linalg.qr(np.random.default_rng(4).standard_normal((90, 20)))[0]
+    gram, passages = np.zeros((90, 90)), 0
+    for t in texts:
+        known = [number[h] for h in decontam._hashes(t or "").tolist()]
+        for k in range(max(1, -(-len(known) // 16) - 2)):
+            x = weight * np.bincount(known[16 * k : 16 * k + 48], minlength=90) if known else np.zeros(90)
+            gram, passages = gram + np.outer(x, x) / max(x @ x, 1e-9), passages + x.any()
+    found, find = [], decontam.Terms.find
+    monkeypatch.setattr(decontam.Terms, "find", lambda self, h: (found.append((h, at := find(self, h))), at)[1])
+    out = decontam._gram(_Here(spark, [pa.RecordBatch.from_pydict({"text": pa.array(texts)})]), terms, weight, q)
+    assert abs(out - gram @ q / passages).max() < 1e-6
+    looked_up = [number[x] for h, (at, _) in found for x in h[at].tolist()]
+    assert looked_up and weight[looked_up].all()
+
+
 def test_decontaminate_searches_a_space_of_all_passages(spark, tmp_path, monkeypatch):
     """The stage's search has the latent space of all passages of the documents it sees, and finds verbatim copies."""
     texts, items = _topics()

@@ -49,8 +49,10 @@ WHOLE = PASSAGE + MARGIN
 RANK, SAMPLE, COSINE = 128, 4096, 0.45
 #: Sums over all passages are of multiples of 1 / UNIT: exact, so their order doesn't matter.
 UNIT = 1 << 24
-#: Rows that such a sum takes at a time: few enough to stay in a processor's cache.
-ROWS = 512
+#: Bytes of text that a pass takes at a time, and rows that a sum takes: few enough to stay in a processor's cache.
+BLOCK_BYTES, ROWS = 1 << 18, 512
+#: Groups that are summed at a time, and rows of a group that are added to those of others; the rows beyond are summed by themselves.
+GROUPS, FEW = 8192, 16
 #: A candidate's projection on its item is at least this share of the item itself: a single rare word is no candidate.
 PRESENT = 0.3
 #: Terms of more than this share of the documents (and of more than STOP_LEAST documents) have no weight.
@@ -67,9 +69,8 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[kernel.Words, np.ndarray]:
-    low = kernel.lower_ascii(buf)
-    words = kernel.split_words(low, offs, _WORD)
-    return words, kernel.word_hashes(low, words)
+    words = kernel.split_words(buf, offs, _WORD)
+    return words, kernel.word_hashes(buf, words, lower=True)
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -82,15 +83,27 @@ class Terms:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.unique(hashes)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.bits, self.slots = np.zeros(1 << 20, bool), np.zeros(1 << 20, np.int32)
+        slot = self._slot(self.hashes)
+        self.bits[slot], self.slots[slot] = True, np.arange(len(slot))
+
+    def __reduce__(self):  # the tables are made again where they are used
+        return Terms, (self.hashes,)
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64((1 << 20) - 1)).view(np.int64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in h that are terms, and their term numbers."""
-        at = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        k = np.searchsorted(self.hashes, h[at])
-        k[k == len(self.hashes)] = 0
-        ok = self.hashes[k] == h[at]
+        slot = self._slot(h)
+        at = np.flatnonzero(self.bits[slot])
+        h, k = h[at], self.slots[slot[at]].astype(np.int64)
+        ok = self.hashes[k] == h
+        left = np.flatnonzero(~ok)  # no terms, or terms that share their slot
+        more = np.searchsorted(self.hashes, h[left])
+        more[more == len(self.hashes)] = 0
+        k[left], ok[left] = more, self.hashes[more] == h[left]
         return at[ok], k[ok]
 
 
@@ -143,6 +156,11 @@ class Pieces:
         return d, i, w
 
 
+def _docs_of(at: np.ndarray, words: kernel.Words) -> np.ndarray:
+    """The document of each of some words, which ascend."""
+    return np.repeat(np.arange(len(words.first) - 1), np.diff(np.searchsorted(at, words.first)))
+
+
 def _blocks_of(words: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
     """First word of each run of STRIDE words, and where each document's runs begin (one at least)."""
     n = np.maximum(1, -(-np.diff(words.first) // STRIDE))
@@ -222,13 +240,10 @@ class Model:
         words, h = _words(buf, offs)
         at, term = self.terms.find(h)
         starts, begin = _blocks_of(words)
+        doc_of = _docs_of(at, words)
         sums = np.zeros((len(starts), self.table.shape[1]), np.float32)
-        heavy = self.weight[term] > 0
-        if heavy.any():
-            run = np.searchsorted(starts, at[heavy], "right") - 1
-            # runs of empty documents share their start with the next; the last of equal starts has the words
-            edge = np.flatnonzero(np.diff(run, prepend=-1))
-            sums[run[edge]] = np.add.reduceat(self.table.take(term[heavy], axis=0), edge, axis=0)
+        heavy = np.flatnonzero(self.weight[term] > 0)
+        _add_rows(sums, begin[doc_of[heavy]] + (at[heavy] - words.first[doc_of[heavy]]) // STRIDE, self.table, term[heavy], np.ones(len(heavy), np.int64))
         span = PASSAGE // STRIDE
         p, last, first = _passages_of(begin)
         count = np.diff(first)
@@ -250,7 +265,6 @@ class Model:
                     key = int(np.searchsorted(first, lo + i, "right") - 1), int(self.owner[seg + j])
                     cosine[key] = max(cosine.get(key, -1.0), float(dot[k, j] / norm[i]))
                     places.setdefault(key, set()).add(int(starts[own[i]]))
-        doc_of = np.searchsorted(words.first, at, "right") - 1
         whole: set[tuple[int, int]] = set()
         for doc, item, word in zip(*(c.tolist() for c in self.pieces.find(at, term, doc_of))):
             if self.length[item] < LEAST_WORDS:
@@ -287,11 +301,10 @@ def _counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
 
         df, total = np.zeros(size, np.int64), 0
         for batch in batches:
-            for b in kernel.blocks(batch.column("text")):
+            for b in kernel.blocks(batch.column("text"), BLOCK_BYTES):
                 words, h = _words(b.buf, b.offs)
                 at, term = terms.find(h)
-                doc = np.searchsorted(words.first, at, "right") - 1
-                df += np.bincount(np.unique(doc * size + term) % size, minlength=size)
+                df += np.bincount(np.unique(_docs_of(at, words) * size + term) % size, minlength=size)
                 total += b.hi - b.lo
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": pa.array([*k.tolist(), -1], pa.int64()), "n": pa.array([*df[k].tolist(), total], pa.int64())})
@@ -340,13 +353,27 @@ def _survey(docs: DataFrame, terms: Terms, work: Work) -> tuple[np.ndarray, int,
 
 def _add_rows(out: np.ndarray, group: np.ndarray, table: np.ndarray, row: np.ndarray, count: np.ndarray) -> None:
     """Add count * table[row] to out[group], where groups ascend."""
-    edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
-    cuts = np.append(np.flatnonzero(np.diff(edge[:-1] // ROWS, prepend=-1)), len(edge) - 1)
-    for a, b in zip(cuts[:-1], cuts[1:]):  # whole groups, some ROWS at a time
-        lo, hi = edge[a], edge[b]
-        v = table.take(row[lo:hi], axis=0)
-        v *= count[lo:hi, None].astype(v.dtype)
-        out[group[edge[a:b]]] += np.add.reduceat(v, edge[a:b] - lo, axis=0).astype(out.dtype)
+
+    def rows(at: np.ndarray) -> np.ndarray:
+        v = table.take(row[at], axis=0)
+        many = np.flatnonzero(count[at] != 1)
+        v[many] *= count[at[many], None].astype(v.dtype)
+        return v
+
+    edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+    for lo in range(0, len(edges) - 1, GROUPS):
+        edge = edges[lo : lo + GROUPS + 1]
+        begin, size = edge[:-1], np.diff(edge)
+        total = rows(begin)
+        for j in range(1, FEW):  # most groups are small: their first rows, their second ones and so on
+            more = np.flatnonzero(size > j)
+            if not len(more):
+                break
+            total[more] += rows(begin[more] + j)
+        for i in np.flatnonzero(size > FEW).tolist():
+            for at in range(begin[i] + FEW, edge[i + 1], ROWS):
+                total[i] += rows(np.arange(at, min(at + ROWS, edge[i + 1]))).sum(axis=0)
+        out[group[begin]] += total.astype(out.dtype, copy=False)
 
 
 def _squares(run: np.ndarray, term: np.ndarray, a: np.ndarray, size: int, begin: np.ndarray) -> np.ndarray:
@@ -368,42 +395,47 @@ def _add_gram(total: np.ndarray, buf: np.ndarray, offs: np.ndarray, terms: Terms
     """Add UNIT times the product of a block's Gram matrix with a term table to total, but for the weight of total's terms; the number of passages.
 
     A passage's row is its terms' counts times their weights, at length 1; table
-    has the weights in it already.  Passages without a weighted term count nothing.
+    has the weights, none of them 0, in it already.  Passages without a term count nothing.
     """
     words, h = _words(buf, offs)
     at, term = terms.find(h)
-    heavy = weight[term] > 0
-    if not heavy.any():
+    if not len(at):
         return 0
-    starts, begin = _blocks_of(words)
+    _, begin = _blocks_of(words)
     size, span = len(weight), PASSAGE // STRIDE
-    # as in Model.find, the last of equal starts has the words
-    key, count = np.unique((np.searchsorted(starts, at[heavy], "right") - 1) * size + term[heavy], return_counts=True)
+    doc = _docs_of(at, words)
+    key, count = np.unique((begin[doc] + (at - words.first[doc]) // STRIDE) * size + term, return_counts=True)
     run, term = key // size, key % size
     square = _squares(run, term, count * weight[term], size, begin)
-    sums = np.zeros((len(starts), table.shape[1]), np.float32)
-    _add_rows(sums, run, table, term, count)
-    first, last, _ = _passages_of(begin)
+    first, _, which = _passages_of(begin)
+    # rows of 0 behind each document, so that passages are sums of rows that follow one another
+    gap = np.arange(len(begin) - 1) * (span - 1)
+    row = run + np.repeat(gap, np.diff(begin))[run]
+    rows = begin[-1] + (len(begin) - 1) * (span - 1)
+    scale = np.zeros(rows)
     some = np.flatnonzero(square > 0)
-    first, last, square = first[some], last[some], square[some]
-    back = np.zeros((len(starts), table.shape[1]))
-    for lo in range(0, len(first), ROWS):
-        own, end = first[lo : lo + ROWS], last[lo : lo + ROWS]
-        v = sums[own]
+    scale[(first + np.repeat(gap, np.diff(which)))[some]] = UNIT / square[some]
+    sums = np.zeros((rows + span - 1, table.shape[1]), np.float32)
+    _add_rows(sums, row, table, term, count)
+    back = np.zeros((rows + span - 1, table.shape[1]))
+    for lo in range(0, rows, ROWS):
+        hi = min(lo + ROWS, rows)
+        v = sums[lo:hi].copy()
         for j in range(1, span):
-            more = own + j < end
-            v[more] += sums[own[more] + j]
-        v = np.rint(v * (UNIT / square[lo : lo + ROWS])[:, None])
+            v += sums[lo + j : hi + j]
+        v = v * scale[lo:hi, None]
+        np.rint(v, out=v)
         for j in range(span):
-            more = own + j < end
-            back[own[more] + j] += v[more]
+            back[lo + j : hi + j] += v
     order = np.argsort(term, kind="stable")
-    _add_rows(total, term[order], back, run[order], count[order])
-    return len(first)
+    _add_rows(total, term[order], back, row[order], count[order])
+    return len(some)
 
 
 def _gram(docs: DataFrame, terms: Terms, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Product of a term table with the mean Gram matrix of all passages: terms x columns, summed by the executors."""
+    heavy, everything = np.flatnonzero(weight > 0), q.shape
+    terms, weight, q = Terms(terms.hashes[heavy]), weight[heavy], q[heavy]  # in the same order
     size, wide = q.shape
     table = (weight[:, None] * q).astype(np.float32)
     schema = "term long, v array<long>"
@@ -420,7 +452,7 @@ def _gram(docs: DataFrame, terms: Terms, weight: np.ndarray, q: np.ndarray) -> n
     def products(batches):
         total = np.zeros((size + 1, wide), np.int64)  # the last row has the number of passages
         for batch in batches:
-            for b in kernel.blocks(batch.column("text")):
+            for b in kernel.blocks(batch.column("text"), BLOCK_BYTES):
                 total[size, 0] += _add_gram(total, b.buf, b.offs, terms, weight, table)
         yield from rows(total)
 
@@ -436,7 +468,9 @@ def _gram(docs: DataFrame, terms: Terms, weight: np.ndarray, q: np.ndarray) -> n
     out = np.zeros((size + 1, wide))
     if found.num_rows:
         out[found.column("term").to_numpy()] = found.column("v").combine_chunks().flatten().to_numpy().reshape(-1, wide)
-    return out[:size] * weight[:, None] / (UNIT * max(out[size, 0], 1))
+    result = np.zeros(everything)
+    result[heavy] = out[:size] * weight[:, None] / (UNIT * max(out[size, 0], 1))
+    return result
 
 
 def _item_gram(parts: list[np.ndarray], weight: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -539,7 +573,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             for batch in batches:
                 ids = batch.column("doc_id")
-                for b in kernel.blocks(batch.column("text")):
+                for b in kernel.blocks(batch.column("text"), BLOCK_BYTES):
                     rows = [(ids[b.lo + d].as_py(), *x) for d, *x in model.find(b.buf, b.offs)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
@@ -561,7 +595,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             import pyarrow as pa
 
             for batch in batches:
-                for b in kernel.blocks(batch.column("text")):
+                for b in kernel.blocks(batch.column("text"), BLOCK_BYTES):
                     keep = np.ones(b.hi - b.lo, bool)
                     keep[[d for d, *_ in model.find(b.buf, b.offs)]] = False
                     yield batch.slice(b.lo, b.hi - b.lo).filter(pa.array(keep))

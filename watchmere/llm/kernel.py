@@ -139,12 +139,13 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def word_hashes(buf: np.ndarray, words: Words, salt: int = 0) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
+def word_hashes(buf: np.ndarray, words: Words, salt: int = 0, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each word's bytes; lower: as if A-Z were lower-cased."""
     with np.errstate(over="ignore"):
         up, down = _BYTE_POWERS[salt].get(len(buf) + 1)
         total = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[salt][buf] * up[: len(buf)], out=total[1:])
+        codes = _BYTE_CODES[salt][_LOWER] if lower else _BYTE_CODES[salt]
+        np.cumsum(codes[buf] * up[: len(buf)], out=total[1:])
         h = (total[words.end] - total[words.start]) * down[words.start]
         return mix(h + (words.end - words.start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
