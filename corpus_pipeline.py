@@ -8,6 +8,8 @@ the mix is drawn.  All but the last return the columns of ``documents``.
 Nulls, empty texts, ties, repeated rows and ids: each stage does with them what its
 operator's docstring says; other columns than those of ``documents`` are left out, and
 an empty table stays empty.
+
+A stage first gives back the driver's memory that those before it have freed.
 """
 
 from __future__ import annotations
@@ -17,33 +19,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from watchmere.llm import decontam, mixing, neardup, pii, quality
-from watchmere.llm.work import Work
+from watchmere.llm.work import Work, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score is at least 0.3, as learned from the labels of the documents at hand."""
+    release(spark)
     return quality.keep(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate group."""
+    release(spark)
     return neardup.keep_one(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    release(spark)
     return decontam.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars stays that of the source text."""
+    release(spark)
     return pii.redact(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shuffled mix: copies of documents, with copies, copy and shuffle_key."""
+    release(spark)
     return mixing.replicate(docs.select(*COLUMNS))
 
 

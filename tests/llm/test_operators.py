@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from watchmere.llm import decontam, langid, license, media, mixing, neardup, pii, quality, queries, substring, toxicity
+from watchmere.llm import decontam, kernel, langid, license, media, mixing, neardup, pii, quality, queries, substring, toxicity
 from watchmere.llm.work import Work
 
 from ..conftest import SMALL
@@ -675,3 +675,49 @@ def test_stages_on_odd_and_empty_tables(spark, odd):
             assert found == 0 if not n else found == n if name in ("quality_classifier", "redact_pii") else found > 0, name
     with pytest.raises(Exception):
         corpus_pipeline.STAGES[0][1](spark, odd.drop("text"), SMALL)
+
+
+def test_release_gives_freed_memory_back(spark):
+    """Freed memory that lies below memory in use, which the C library keeps, goes back to the system."""
+    import ctypes
+
+    import psutil
+
+    libc, me = ctypes.CDLL(None), psutil.Process()
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    taken = [libc.malloc(60_000) for _ in range(2000)]
+    for p in taken:
+        ctypes.memset(p, 1, 60_000)
+    for p in taken[:-1]:
+        libc.free(p)
+    before = me.memory_info().rss
+    Work(spark).release()
+    after = me.memory_info().rss
+    libc.free(taken[-1])
+    assert before - after > 60e6
+
+
+def test_stages_release_memory_first(spark, monkeypatch):
+    """Every stage gives back the driver's memory before anything else."""
+
+    class Released(Exception):
+        pass
+
+    def released(session):
+        assert session is spark
+        raise Released
+
+    monkeypatch.setattr(corpus_pipeline, "release", released, raising=False)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Released):
+            stage(spark, None, "")
+
+
+def test_power_tables_grow_as_needed():
+    """A short text makes no table for a whole block, and a table that has grown holds what one made at once does."""
+    grown, whole = kernel._Powers(12345), kernel._Powers(12345)
+    assert len(grown.get(10)[0]) == 10 and len(grown.up) + len(grown.down) <= 2 * 4096
+    for n in (10, 5000, 70_000, kernel.BLOCK_BYTES + 9000):
+        for a, b in zip(grown.get(n), whole.get(kernel.BLOCK_BYTES + 9000)):
+            assert len(a) == n and (a == b[:n]).all()
+    assert len(grown.up) == kernel.BLOCK_BYTES + 9000

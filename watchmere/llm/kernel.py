@@ -55,7 +55,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, BLOCK_BYTES + 4096)
+            size = max(n, min(max(2 * len(self.up), 4096), BLOCK_BYTES + 4096))
             for name, base in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, base, dtype=np.uint64)
                 steps[0] = 1

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +30,29 @@ def folder(spark: SparkSession) -> str:
     return place
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs held now: shuffle files, which else stay until the driver's next garbage collection, and freed memory.
+
+    The C library keeps what the JVM's compiler and Python's arrays have freed; the
+    driver gives it back to the system here.  Results don't depend on this.
+    """
+    import pyarrow as pa
+
+    gc.collect()
+    jvm = spark._jvm
+    jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(Py4JError):  # a JVM without this command
+        named, kinds, none = jvm.Class.forName, spark._sc._gateway.new_array(jvm.Class, 4), spark._sc._gateway.new_array(jvm.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = named(kind)
+        none[0], none[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # the server's own class is not open to Py4J, its interface is
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), none)
+
+
 class Work:
     """A folder of Parquet tables that cut lineage: what is read back survives lost executors and isn't computed again.
 
@@ -56,9 +82,8 @@ class Work:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def release(self) -> None:
-        """Let go of the shuffle files of finished jobs now rather than at the driver's next garbage collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """As release()."""
+        release(self.spark)
 
 
 LOWEST = -(1 << 63)
