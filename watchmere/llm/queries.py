@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license, media, mixing, neardup, pii, quality, substring, toxicity
+from . import cluster, decontam, importance, langid, lattice, license, media, mixing, neardup, pii, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_neardup, op5_license, op6_langid, op7_mixing, op8_media, op9_substring, op10_decontam)}
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.group(_table(spark, sf_dir, "embeddings"))
 
-SQL = {"op4_neardup": neardup.SQL, "op7_mixing": mixing.SQL, "op9_substring": substring.SQL}
+
+def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_neardup, op5_license, op6_langid, op7_mixing, op8_media, op9_substring, op10_decontam, op11_lattice, op12_elkan, op13_importance)}
+
+SQL = {"op4_neardup": neardup.SQL, "op7_mixing": mixing.SQL, "op9_substring": substring.SQL, "op11_lattice": lattice.SQL, "op12_elkan": cluster.SQL, "op13_importance": importance.SQL}
