@@ -5,8 +5,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from watchmere.operators import detect, sequence, stateful
+from watchmere.operators import detect, segments, sequence, stateful
 from watchmere.sources import rulebook
 
 START = dt.datetime(2026, 3, 2, tzinfo=dt.timezone.utc)
@@ -36,7 +37,8 @@ def stamp(ts):
     return ts.strftime("%H:%M:%S")
 
 
-def test_success_after_failures(logins, made):
+@pytest.mark.parametrize("rows", [segments.ROWS, 1000, 150])
+def test_success_after_failures(logins, made, rows):
     want, kept = [], {}
     for _, ts, ip, outcome, user in made:
         mine = [f for f in kept.get(ip, []) if ts - f[0] <= dt.timedelta(minutes=2)]
@@ -48,7 +50,7 @@ def test_success_after_failures(logins, made):
             mine = []
         kept[ip] = mine
     got = []
-    for r in stateful.success_after_failures(logins, threshold=5, minutes=2).collect():
+    for r in stateful.success_after_failures(logins, threshold=5, minutes=2, rows=rows).collect():
         tried = int(r["description"].split(" failures against ")[1].split()[0])
         parts = [e.split(": ", 1)[1].split(" at ") for e in r["evidence"]]
         got.append((r["entity"], r["ts"], r["event_count"], tried, [(u, t) for u, t in parts]))
@@ -76,7 +78,8 @@ def test_thresholds(logins, made, distinct):
     assert sorted((e, n, [x if x else "" for x in ev]) for e, n, ev in got) == sorted(want)
 
 
-def test_chains_of_three(spark):
+@pytest.mark.parametrize("cut", [segments.ROWS, 300, 20])
+def test_chains_of_three(spark, cut):
     rng, at, rows = random.Random(8), 0, []
     for i in range(1500):
         at += rng.choice([0, 3, 30, 200])
@@ -99,6 +102,40 @@ def test_chains_of_three(spark):
         F.struct(F.lit("x").alias("c")).alias("context"), F.lit(0).alias("stage_ord"), F.lit(0).alias("rule_ord"), F.struct(F.col("ts").alias("t"), F.col("i").alias("s")).alias("emit"),
     )
     rule = rulebook.sequence({"id": "c", "title": "C", "sequence": {"ordered": True, "within": "10m", "stages": [{"name": str(k), "rule_id": s} for k, s in enumerate(stages)]}})
-    got = [(r["entity"], r["evidence"]) for r in sequence.chains(alerts, rule).collect()]
+    got = [(r["entity"], r["evidence"]) for r in sequence.chains(alerts, rule, rows=cut).collect()]
     assert len(want) > 20 and sorted(got) == sorted(want)
     assert sequence.chains(alerts.limit(0), rule).count() == 0
+
+
+@pytest.mark.parametrize("rows", [segments.ROWS, 400, 60])
+def test_escalation_after_login(logins, made, rows):
+    """Successes of some addresses are external logins, failures are privileged actions."""
+    far = F.col("source.ip").isin("192.0.2.1", "192.0.2.3")
+    events = logins.withColumns({"source": F.col("source").withField("internal", ~far), "event": F.col("event").withField("action", F.when(F.col("event.outcome") == "failure", "sudo"))})
+    want, open_ = [], {}
+    for _, ts, ip, outcome, user in made:
+        if user and outcome == "success" and ip in ("192.0.2.1", "192.0.2.3"):
+            open_[user] = (ts, ip)
+        elif user and outcome == "failure" and user in open_:
+            at, address = open_.pop(user)
+            if (ts - at).total_seconds() <= 120:
+                want.append((address, user, stamp(ts), stamp(at)))
+    got = [(r["entity"], r["description"].split("'")[1], r["ts"].strftime("%H:%M:%S"), r["evidence"][0][-8:]) for r in stateful.escalation_after_login(events, minutes=2, rows=rows).collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
+
+
+def test_hot_keys_are_cut(spark):
+    """One key has half of all rows, in order of nothing; its segments are within twice the wanted size, and the carried sums are exact."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"), (F.col("id") * 7_000_000).alias("us"), F.lit(1).alias("n"))
+    cuts = segments.hot(df, "key", rows=500)
+    assert [r["key"] for r in cuts.collect()] == ["hot"]
+    cut = segments.segmented(df, "key", cuts)
+    sizes = {(r["key"], r["seg"]): r["count"] for r in cut.groupBy("key", "seg").count().collect()}
+    assert sum(sizes.values()) == 20_000 and max(sizes.values()) <= 1000 and sum(k == "hot" for k, _ in sizes) >= 19
+    assert max(v for (k, _), v in sizes.items() if k == "hot") <= 2 * sorted(sizes.values())[len(sizes) // 2]
+    parts = cut.filter("key = 'hot'").groupBy("key", "seg").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("key", "seg").orderBy("us"))
+    whole = F.row_number().over(Window.partitionBy("key").orderBy("us"))
+    rows = cut.filter("key = 'hot'").join(segments.carried(parts, "key", {"before": F.sum("n")}), ["key", "seg"]).select((total + F.coalesce("before", F.lit(0))).alias("a"), whole.alias("b"))
+    assert rows.filter("a <> b").count() == 0
+    assert segments.hot(df, "key", rows=10_000) is None
