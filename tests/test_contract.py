@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from watchmere.plans import contract, contract_logs  # noqa: F401
+from watchmere.plans import contract, contract_logs, contract_scale  # noqa: F401
 from watchmere.streaming import queries as streams
 
 from .conftest import SMALL

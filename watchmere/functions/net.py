@@ -1,7 +1,8 @@
-"""Addresses: IPv4 numbers, internal ranges and disjoint CIDR intervals."""
+"""Addresses: numbers and keys that sort as these, internal ranges and disjoint CIDR intervals."""
 
 from __future__ import annotations
 
+import heapq
 import ipaddress
 
 from pyspark.sql import Column
@@ -21,8 +22,33 @@ def ipv4(column: Column) -> Column:
     return F.when(column.rlike(_IPV4), octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3])
 
 
+def _hex4(n: Column) -> Column:
+    return F.lpad(F.lower(F.hex(n)), 4, "0")
+
+
+def address_key(column: Column) -> Column:
+    """An address as a text that sorts as its number: 4 and 8 hex digits, or 6 and 32; null for anything else."""
+    n = ipv4(column)
+    s = F.lower(F.regexp_replace(column, "%.+$", ""))  # a zone says where, not which
+    tail = ipv4(F.regexp_extract(s, r":([0-9.]+)$", 1))
+    s = F.when(tail.isNull(), s).otherwise(F.concat(F.regexp_replace(s, r"[0-9.]+$", ""), _hex4(F.floor(tail / 65536)), F.lit(":"), _hex4(tail % 65536)))
+    halves = F.split(s, "::")
+    groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+    left, right = groups(halves[0]), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
+    count, short = F.size(left) + F.size(right), F.size(halves) == 2
+    good = F.when(short, count <= 7).otherwise((F.size(halves) == 1) & (count == 8)) & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - count, F.lit(0))), right)
+    v6 = F.when(good, F.concat(F.lit("6"), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+    return F.when(n.isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0"))).when(F.contains(column, F.lit(":")), v6)
+
+
+def key_of(version: int, number: int) -> str:
+    """The key of an address given as a number."""
+    return f"{version}{number:0{8 if version == 4 else 32}x}"
+
+
 def _span(cidr: str) -> tuple[int, int]:
-    net = ipaddress.ip_network(cidr, strict=False)
+    net = ipaddress.ip_network(cidr)
     return int(net.network_address), int(net.broadcast_address)
 
 
@@ -36,29 +62,29 @@ def is_internal(column: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def disjoint(networks: list[tuple[str, tuple]]) -> list[tuple[int, int, tuple]]:
-    """IPv4 intervals (first, last, attributes) without overlaps; where networks overlap the earlier one counts.
+def disjoint(networks: list[tuple[str, tuple]]) -> list[tuple[str, str, tuple]]:
+    """Intervals of address keys (first, last, attributes) without overlaps; where networks overlap the earlier one counts.
 
-    Networks that can't be read, and IPv6 ones, are left out.
+    Networks that can't be read, or have bits beyond their prefix, are left out.
     """
-    spans = []
+    spans: dict[int, list[tuple[int, int, int, tuple]]] = {4: [], 6: []}
     for order, (cidr, attributes) in enumerate(networks):
         try:
-            net = ipaddress.ip_network(cidr.strip(), strict=False)
+            net = ipaddress.ip_network(cidr)
         except ValueError:
             continue
-        if net.version == 4:
-            spans.append((*_span(cidr.strip()), order, attributes))
-    edges = sorted({s for s, *_ in spans} | {e + 1 for _, e, *_ in spans})
-    starts = sorted(spans)
-    out: list[tuple[int, int, tuple]] = []
-    live: list[tuple[int, int, tuple]] = []  # order, last, attributes
-    k = 0
-    for lo, after in zip(edges, edges[1:]):
-        while k < len(starts) and starts[k][0] <= lo:
-            live.append((starts[k][2], starts[k][1], starts[k][3]))
-            k += 1
-        live = [x for x in live if x[1] >= lo]
-        if live:
-            out.append((lo, after - 1, min(live, key=lambda x: x[0])[2]))
+        spans[net.version].append((int(net.network_address), int(net.broadcast_address), order, attributes))
+    out = []
+    for version, mine in spans.items():
+        edges = sorted({s for s, *_ in mine} | {e + 1 for _, e, *_ in mine})
+        starts, k = sorted(mine, key=lambda x: x[:3]), 0
+        live: list[tuple[int, int, tuple]] = []  # order, last, attributes; the earliest on top, those past go when they come up
+        for lo, after in zip(edges, edges[1:]):
+            while k < len(starts) and starts[k][0] <= lo:
+                heapq.heappush(live, (starts[k][2], starts[k][1], starts[k][3]))
+                k += 1
+            while live and live[0][1] < lo:
+                heapq.heappop(live)
+            if live:
+                out.append((key_of(version, lo), key_of(version, after - 1), live[0][2]))
     return out

@@ -83,11 +83,20 @@ def _alert(df: DataFrame, rule: str, title: str, severity: str, entity: str, kin
 
 
 def logins(events: DataFrame) -> DataFrame:
-    """Logins of the test part with the user's training hours and hosts."""
+    """Logins of the test part with the user's training hours."""
     e = _narrow(events)
-    learned = e.filter(F.col("train") & F.col("user").isNotNull() & (F.col("outcome") == "success")).groupBy("user").agg(F.collect_set(F.hour("ts")).alias("hours"), F.collect_set("host").alias("hosts"))
+    hours = _learned(e).groupBy("user").agg(F.collect_set(F.hour("ts")).alias("hours"))  # 24 at most
     tested = e.filter(~F.col("train") & F.col("user").isNotNull() & (F.col("outcome") == "success") & (F.col("category") == "authentication"))
-    return tested.join(learned, "user")
+    return tested.join(hours, "user")
+
+
+def _learned(narrow: DataFrame) -> DataFrame:
+    return narrow.filter(F.col("train") & F.col("user").isNotNull() & (F.col("outcome") == "success"))
+
+
+def hosts(events: DataFrame) -> DataFrame:
+    """user, host: the hosts that each user logged in to in the training part."""
+    return _learned(_narrow(events)).filter("host IS NOT NULL").select("user", "host").distinct()
 
 
 def unusual_hour(known: DataFrame) -> DataFrame:
@@ -98,12 +107,19 @@ def unusual_hour(known: DataFrame) -> DataFrame:
     return _alert(one, "behavior_unusual_hour", "Authentication at Unusual Hour for User", "medium", "user", "user", text, ["T1078", "ATTACK.DEFENSE_EVASION"], F.concat(F.lit("host="), _text(F.col("host")), F.lit(" ip="), _text(F.col("ip"))), 0)
 
 
-def new_host(known: DataFrame) -> DataFrame:
-    """A user's first login to each host not among the training hosts."""
-    odd = known.filter((F.size("hosts") > 0) & F.col("host").isNotNull() & ~F.array_contains("hosts", F.col("host")))
-    one = odd.withColumn("n", F.row_number().over(Window.partitionBy("user", "host").orderBy("ts", "seq"))).filter("n = 1")
+def new_host(known: DataFrame, usual: DataFrame) -> DataFrame:
+    """A user's first login to each host not among the training hosts, for users who have some.
+
+    New pairs are told by an anti-join; only users with an alert have their hosts listed.
+    """
+    odd = known.filter(F.col("host").isNotNull()).join(usual, ["user", "host"], "left_anti").drop("hours")
+    first = F.min_by(F.struct(*[c for c in odd.columns if c not in ("user", "host")]), F.struct("ts", "seq")).alias("f")
+    one = odd.groupBy("user", "host").agg(first)
+    lists = usual.join(one.select("user").distinct(), "user", "left_semi").groupBy("user").agg(F.collect_list("host").alias("hosts"))
+    one = one.join(lists, "user").select("user", "host", "hosts", "f.*")
     text = F.concat(F.lit("User '"), F.col("user"), F.lit("' authenticated to '"), F.col("host"), F.lit("' for the first time; baseline hosts are "), _list(F.col("hosts"), True))
-    return _alert(one, "behavior_new_host", "User Authenticated to Host Never Used Before", "medium", "user", "user", text, ["T1021", "ATTACK.LATERAL_MOVEMENT"], F.concat(F.lit("new host="), F.col("host"), F.lit(" ip="), _text(F.col("ip"))), 1)
+    evidence = F.concat(F.lit("new host="), F.col("host"), F.lit(" ip="), _text(F.col("ip")))
+    return _alert(one, "behavior_new_host", "User Authenticated to Host Never Used Before", "medium", "user", "user", text, ["T1021", "ATTACK.LATERAL_MOVEMENT"], evidence, 1)
 
 
 def volume_outlier(events: DataFrame, sigma: float = 3.0) -> DataFrame:
@@ -125,4 +141,4 @@ def run(events: DataFrame, ratio: float = 0.5, sigma: float = 3.0) -> DataFrame
         return None
     parts = split(events, ratio)
     known = logins(parts)
-    return A.union([unusual_hour(known), new_host(known), volume_outlier(parts, sigma)])
+    return A.union([unusual_hour(known), new_host(known, hosts(parts)), volume_outlier(parts, sigma)])

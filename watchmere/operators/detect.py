@@ -160,9 +160,12 @@ def _present(placed: DataFrame, distinct: Column) -> DataFrame:
     return moved.withColumn("present", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def grouped(hits: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+def grouped(hits: DataFrame, rules: list[tuple[int, Rule]], measured: bool = False) -> DataFrame:
     """rule_ord, event_count, evidence and the first hit's columns of the groups that reach their rule's threshold.
 
+    measured: of all groups of the one rule, with ``most``, the greatest number that a
+    window of theirs holds: whatever the threshold, a group reaches it if this does.
+
     hits are evaluated once.  Each stretch of a group becomes one row of bounded
     size (its count, first hit, first evidence and whether a window that ends in it
     reaches the threshold); those rows make up the group.
@@ -179,20 +182,26 @@ def grouped(hits: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
         mine = [i for i, r in rules if not r.threshold.distinct and r.threshold.count == n]
         before = F.lag("us", n - 1).over(order) if n > 1 else F.col("us")
         reached = reached | (F.col("rule_ord").isin(mine) & (F.col("us") - before <= F.col("w")))
+    if measured:
+        (_, rule_), = rules
+        near = Window.partitionBy("rule_ord", "group", "b").orderBy("us").rangeBetween(-round(rule_.threshold.window * 1_000_000), 0)
+        placed = placed.withColumn("most", F.col("present") if wide else F.count(F.lit(1)).over(near))
+    most = [F.max("most").alias("most")] if measured else []
     counted = placed.withColumns({"reached": F.coalesce(reached, F.lit(False)), "n": F.count("hit").over(order.rowsBetween(Window.unboundedPreceding, 0))}).filter(F.col("hit").isNotNull())
     cell = F.struct("n", F.col("hit.evidence").alias("evidence"))
     stretches = counted.groupBy("rule_ord", "group", "b").agg(
-        F.count("*").alias("event_count"), F.max("reached").alias("reached"), F.min_by("hit", "n").alias("f"),
+        F.count("*").alias("event_count"), F.max("reached").alias("reached"), F.min_by("hit", "n").alias("f"), *most,
         F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= EVIDENCE, cell))), lambda x: x["evidence"]).alias("evidence"),
     )
     # the first hits of a group lie in its first stretches
     early = F.row_number().over(Window.partitionBy("rule_ord", "group").orderBy("b")) <= EVIDENCE
     shown_ = F.array_sort(F.collect_list(F.when(F.col("early"), F.struct("b", "evidence"))))
     groups = stretches.withColumn("early", early).groupBy("rule_ord", "group").agg(
-        F.sum("event_count").alias("event_count"), F.max("reached").alias("reached"), F.min_by("f", "b").alias("f"),
+        F.sum("event_count").alias("event_count"), F.max("reached").alias("reached"), F.min_by("f", "b").alias("f"), *most,
         F.slice(F.flatten(F.transform(shown_, lambda x: x["evidence"])), 1, EVIDENCE).alias("evidence"),
     )
-    return groups.filter("reached").select("rule_ord", "event_count", "evidence", *[F.col(f"f.{c}").alias(c) for c in ("ts", "seq", "entity", "entity_type", "first")])
+    found = groups if measured else groups.filter("reached")
+    return found.select("rule_ord", "event_count", "evidence", *(["most"] if measured else []), *[F.col(f"f.{c}").alias(c) for c in ("ts", "seq", "entity", "entity_type", "first")])
 
 
 def thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
@@ -200,14 +209,13 @@ def thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
     chosen = [(i, r) for i, r in enumerate(rules) if r.threshold]
     if not chosen:
         return None
-    joined = grouped(_hits(events, chosen), chosen)
+    return _alerts(grouped(_hits(events, chosen), chosen), chosen, _measure)
 
-    def description(r: Rule) -> str:
-        t = r.threshold
-        measure = f"{t.count} distinct {t.distinct}" if t.distinct else f"{t.count} events"
-        return f"{r.description or r.title} ({measure} within {show_duration(t.window)})"
 
-    return _alerts(joined, chosen, description)
+def _measure(r: Rule) -> str:
+    t = r.threshold
+    measure = f"{t.count} distinct {t.distinct}" if t.distinct else f"{t.count} events"
+    return f"{r.description or r.title} ({measure} within {show_duration(t.window)})"
 
 
 def run(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
@@ -217,12 +225,18 @@ def run(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
 
 
 def sweep(events: DataFrame, rule: Rule, counts: list[int]) -> DataFrame:
-    """Alerts of a threshold rule at several counts in one pass: column ``at`` beside the alert."""
+    """Alerts of a threshold rule at several counts: column ``at`` beside the alert.
+
+    Hits are found and grouped once; the greatest number in any window of a group
+    tells which counts it reaches.
+    """
     import dataclasses
 
-    variants = [dataclasses.replace(rule, id=f"{rule.id}@{n}", threshold=dataclasses.replace(rule.threshold, count=n)) for n in counts]
-    found = thresholds(events, variants)
-    return found.select(F.regexp_extract("rule_id", r"@(\d+)$", 1).cast("int").alias("at"), F.regexp_replace("rule_id", r"@\d+$", "").alias("rule_id"), *[c for c in A.COLUMNS if c != "rule_id"])
+    groups = grouped(_hits(events, [(0, rule)]), [(0, rule)], measured=True)
+    variants = [(i, dataclasses.replace(rule, threshold=dataclasses.replace(rule.threshold, count=n))) for i, n in enumerate(counts)]
+    reached = F.array_compact(F.array(*[F.when(F.col("most") >= n, F.lit(i)) for i, n in enumerate(counts)]))
+    found = _alerts(groups.withColumn("rule_ord", F.explode(reached)), variants, _measure)
+    return found.select(F.element_at(F.array(*[F.lit(n) for n in counts]), F.col("rule_ord") + 1).alias("at"), *[F.lit(0).alias(c) if c == "rule_ord" else c for c in A.COLUMNS])
 
 
 def names(rules: list[Rule]) -> dict[str, str]:

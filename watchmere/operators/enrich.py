@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.fields import resolve, with_fields
-from ..functions.net import ipv4, is_internal
+from ..functions.net import address_key, disjoint, is_internal
 from ..sources import lookups as L
+from . import segments
+
+PLACE = "g_country string, g_code string, g_org string"
 
 
 def business_hours(ts):
@@ -33,6 +39,42 @@ def first_seen(df: DataFrame, flags: dict[str, list[str]], ts: str = "@timestamp
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.when(ready(keys), F.coalesce(F.col(f"__{f}"), F.lit(False))).alias(f) for f, keys in flags.items()])
 
 
+def located(keys: DataFrame, networks: DataFrame) -> DataFrame:
+    """key, g_country, g_code, g_org of the distinct address keys that lie in a network: an as-of join of keys and disjoint intervals.
+
+    Keys and intervals' first keys are sorted together within buckets of the first 20 bits;
+    the last interval before a key is in its bucket, or the last of the buckets before.
+    No interval is written more than once, however wide.
+    """
+    net = F.struct("g_lo", "g_hi", "g_country", "g_code", "g_org")
+    points = keys.select("key", F.lit(1).alias("kind"), F.lit(None).cast(networks.select(net.alias("net")).schema["net"].dataType).alias("net")).filter("key IS NOT NULL").distinct()
+    both = networks.select(F.col("g_lo").alias("key"), F.lit(0).alias("kind"), net.alias("net")).unionAll(points)
+    both = both.withColumns({"version": F.substring("key", 1, 1), "seg": F.conv(F.substring("key", 2, 5), 16, 10).cast("int")})
+    parts = both.groupBy("version", "seg").agg(F.max_by("net", F.when(F.col("kind") == 0, F.col("key"))).alias("net"))
+    ahead = segments.carried(parts, "version", {"ahead": F.last("net", ignorenulls=True)})
+    last = F.last("net", ignorenulls=True).over(Window.partitionBy("version", "seg").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("last", last).filter("kind = 1").join(ahead, ["version", "seg"], "left").withColumn("net", F.coalesce("last", "ahead"))
+    return found.filter(F.col("key") <= F.col("net.g_hi")).select("key", "net.g_country", "net.g_code", "net.g_org")
+
+
+def _looked_up(found: L.Lookups):
+    """The same for a stream, whose rows can't be sorted: keys are searched in the sorted intervals, a batch of rows at a time."""
+    rows = disjoint(found.networks)
+    if len(rows) > L.BROADCAST_ROWS:
+        raise ValueError(f"a stream looks addresses up in {L.BROADCAST_ROWS} network intervals at most; there are {len(rows)}")
+    lo, hi = np.array([r[0] for r in rows] or [""]), np.array([r[1] for r in rows] or [""])
+    places = [tuple(None if v is None else str(v) for v in r[2]) for r in rows] or [(None, None, None)]
+
+    @F.pandas_udf(PLACE)
+    def look(keys: pd.Series) -> pd.DataFrame:
+        text = keys.fillna("").to_numpy(dtype=str)
+        at = np.maximum(np.searchsorted(lo, text, side="right") - 1, 0)
+        inside = (text != "") & (lo[at] <= text) & (text <= hi[at])
+        return pd.DataFrame([places[k] if ok else (None, None, None) for k, ok in zip(at, inside)], columns=["g_country", "g_code", "g_org"], dtype=object)
+
+    return look
+
+
 def enrich(events: DataFrame, found: L.Lookups, novelty: bool = True) -> DataFrame:
     """Events with all enrichment fields; null or unknown keys leave theirs null.
 
@@ -44,9 +86,15 @@ def enrich(events: DataFrame, found: L.Lookups, novelty: bool = True) -> DataFra
         "__user": F.when(resolve(events, "user.name") != "", resolve(events, "user.name")),
         "__host": F.when(resolve(events, "host.name") != "", resolve(events, "host.name")),
     })
-    df = df.withColumns({"__internal": F.when(F.col("__ip").isNotNull(), is_internal(F.col("__ip"))), "__n": ipv4(F.col("__ip"))})
+    df = df.withColumns({"__internal": F.when(F.col("__ip").isNotNull(), is_internal(F.col("__ip"))), "__key": address_key(F.col("__ip"))})
     outside = F.coalesce(~F.col("__internal"), F.lit(False))
-    df = df.join(L.networks(spark, found), outside & (F.shiftright("__n", 16) == F.col("g_block")) & F.col("__n").between(F.col("g_lo"), F.col("g_hi")), "left")
+    df = df.withColumn("__key", F.when(outside, F.col("__key")))
+    if events.isStreaming:
+        df = df.withColumn("__place", _looked_up(found)(F.col("__key"))).select("*", "__place.*")
+    elif found.networks:
+        df = df.join(located(df.select(F.col("__key").alias("key")), L.networks(spark, found)), F.col("__key") == F.col("key"), "left")
+    else:
+        df = df.withColumns({c: F.lit(None).cast("string") for c in ("g_country", "g_code", "g_org")})
     df = df.join(L.intel(spark, found), outside & (F.col("__ip") == F.col("t_ip")), "left")
     df = df.join(L.assets(spark, found), F.col("__host") == F.col("a_host"), "left")
     df = df.join(L.identities(spark, found), F.col("__user") == F.col("i_user"), "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import digest, show_span
 
@@ -88,30 +89,53 @@ def decayed(ts: Column, last: Column, amount: Column, half_life: float = HALF_LI
 
 
 def entities(alerts: DataFrame, half_life: float = HALF_LIFE_HOURS) -> DataFrame:
-    """entity_type, entity, score, first_seen, last_seen, alerts, techniques, worst, timeline and actions of every entity.
+    """entity_type, entity, score, first_seen, last_seen, alerts, techniques, worst, honeypot and actions of every entity.
 
     The decayed score is the closed form of the running one: each contribution
     decays from its own time to the entity's last.  Last times are aggregated first
-    and joined, so contributions are summed by partial aggregates.
+    and joined, so contributions are summed by partial aggregates.  Actions follow from the
+    TOP_ALERTS riskiest alerts alone, a rank limit that cuts before the shuffle.
     """
     df = scored(alerts)
     keys = ["entity_type", "entity"]
     ends = df.groupBy(*keys).agg(F.max("ts").alias("last_seen"))
-    df = df.join(ends, keys)
-    order = F.struct("ts", "stage_ord", "rule_ord", "emit")
-    # the first alert of highest risk, and the three highest
+    # the first alert of highest risk
     best = F.struct(F.col("risk_score").alias("r"), (-F.unix_micros("ts")).alias("t"), (-F.col("stage_ord")).alias("a"), (-F.col("rule_ord")).alias("b"))
-    library = F.create_map(*[x for k, v in RESPONSES.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
     tags = F.filter(F.col("tags"), lambda t: F.upper(F.substring(t, 1, 1)) == "T")
-    out = df.groupBy(*keys).agg(
-        F.sum(decayed(F.col("ts"), F.col("last_seen"), F.col("contribution"), half_life)).alias("score"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("alerts"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(tags)))).alias("techniques"), F.max_by("rule_name", best).alias("worst"),
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("ts"), F.col("severity"), F.col("rule_id"), F.col("rule_name"), F.col("risk_score"), F.col("description")))).alias("timeline"),
+    out = df.join(ends, keys).groupBy(*keys).agg(
+        F.sum(decayed(F.col("ts"), F.col("last_seen"), F.col("contribution"), half_life)).alias("score"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        F.count("*").alias("alerts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(tags)))).alias("techniques"), F.max_by("rule_name", best).alias("worst"),
         F.max(F.col("rule_id").startswith("honeypot")).alias("honeypot"),
     )
-    top = F.slice(F.array_sort(F.transform("timeline", lambda x: F.struct((-x["risk_score"]).alias("r"), x["o"].alias("o"), x["rule_id"].alias("rule_id")))), 1, TOP_ALERTS)
-    actions = F.slice(F.array_distinct(F.flatten(F.transform(top, lambda x: F.coalesce(library[x["rule_id"]], F.array().cast("array<string>"))))), 1, ACTIONS)
-    return out.withColumn("actions", actions).withColumn("timeline", F.transform("timeline", lambda x: x.dropFields("o")))
+    library = F.create_map(*[x for k, v in RESPONSES.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    top = ranked(df.select(*keys, "rule_id", "risk_score", _order().alias("o")), [F.desc("risk_score"), "o"], TOP_ALERTS)
+    advice = F.transform(F.array_sort(F.collect_list(F.struct("n", "rule_id"))), lambda x: F.coalesce(library[x["rule_id"]], F.array().cast("array<string>")))
+    advised = top.groupBy(*keys).agg(F.slice(F.array_distinct(F.flatten(advice)), 1, ACTIONS).alias("actions"))
+    other = advised.select(F.col("entity_type").alias("__t"), F.col("entity").alias("__e"), "actions")
+    return out.join(other, F.col("entity_type").eqNullSafe(F.col("__t")) & F.col("entity").eqNullSafe(F.col("__e")), "left").drop("__t", "__e")
+
+
+def _order() -> Column:
+    return F.struct("ts", "stage_ord", "rule_ord", "emit")
+
+
+def ranked(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows of each entity, with their number n; rows beyond go before the shuffle."""
+    return df.withColumn("n", F.row_number().over(Window.partitionBy("entity_type", "entity").orderBy(*order))).filter(F.col("n") <= n)
+
+
+def timelines(alerts: DataFrame, n: int | None = None) -> DataFrame:
+    """entity_type, entity, ts, severity, rule_id, rule_name, risk_score, description, o: a row an alert, o their order; n: each entity's first n."""
+    rows = scored(alerts).select("entity_type", "entity", "ts", "severity", "rule_id", "rule_name", "risk_score", "description", _order().alias("o"))
+    return rows if n is None else ranked(rows, ["o"], n).drop("n")
+
+
+def with_timelines(cases_: DataFrame, alerts: DataFrame, n: int | None = None) -> DataFrame:
+    """cases with ``timeline``, their entities' first n alerts; None: all, as a case's document holds them."""
+    cell = ["ts", "severity", "rule_id", "rule_name", "risk_score", "description"]
+    mine = alerts.join(cases_.select("entity_type", "entity"), ["entity_type", "entity"], "left_semi")
+    lists = timelines(mine, n).groupBy("entity_type", "entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", *cell))), lambda x: x.dropFields("o")).alias("timeline"))
+    return cases_.join(lists, ["entity_type", "entity"], "left")
 
 
 def cases(entities_: DataFrame, threshold: float = CASE) -> DataFrame:
@@ -125,7 +149,7 @@ def cases(entities_: DataFrame, threshold: float = CASE) -> DataFrame:
         F.concat(F.lit("CASE-"), F.date_format("last_seen", "yyyyMMdd"), F.lit("-"), stamp).alias("case_id"), "entity_type", "entity", "severity", F.round("score", 1).alias("score"), F.col("last_seen").alias("opened_at"),
         F.concat(F.upper("severity"), F.lit(": "), F.col("entity_type"), F.lit(" "), F.col("entity"), F.lit(" - "), F.col("worst")).alias("title"),
         F.concat(F.lit("Entity "), F.col("entity"), F.lit(" ("), F.col("entity_type"), F.lit(") accumulated a risk score of "), F.format_string("%.0f", F.bround("score", 0)), F.lit(" from "), F.col("alerts").cast("string"), F.lit(" alerts spanning "), show_span(F.col("first_seen"), F.col("last_seen")), F.lit(", covering "), F.size("techniques").cast("string"), F.lit(" ATT&CK techniques ("), F.when(listed != "", listed).otherwise("none mapped"), F.lit("). Highest-severity finding: "), F.col("worst"), F.lit(".")).alias("summary"),
-        F.col("actions").alias("recommended_actions"), F.create_map(*[F.lit(x) for kv in SLA_HOURS.items() for x in kv])[F.col("severity")].alias("sla_hours"), "alerts", "techniques", "timeline", "honeypot", "first_seen", "last_seen",
+        F.col("actions").alias("recommended_actions"), F.create_map(*[F.lit(x) for kv in SLA_HOURS.items() for x in kv])[F.col("severity")].alias("sla_hours"), "alerts", "techniques", "honeypot", "first_seen", "last_seen",
     )
 
 

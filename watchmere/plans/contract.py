@@ -321,7 +321,8 @@ def baseline_hour(spark, sf_dir):
 
 @register("baseline_host", EV + _BASE + f"SELECT usr AS entity, strftime(min(ts), '{SQL_STAMP}') AS ts FROM test WHERE NOT list_contains(hosts, host) GROUP BY usr, host")
 def baseline_host(spark, sf_dir):
-    return baseline.new_host(baseline.logins(baseline.split(events(spark, sf_dir)))).select("entity", stamp("ts").alias("ts"))
+    parts = baseline.split(events(spark, sf_dir))
+    return baseline.new_host(baseline.logins(parts), baseline.hosts(parts)).select("entity", stamp("ts").alias("ts"))
 
 
 @register("volume_outlier", EV + _BASE + f""", tr AS (SELECT ip, count(*) AS n FROM cut WHERE train AND NOT internal GROUP BY ip),

@@ -174,29 +174,6 @@ def run_all_rules(spark, sf_dir):
     return detect.run(events(spark, sf_dir), [rulebook.rule(_ALERTED), _threshold(5, "1d")]).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-# The shipped rules, their levels and limits.
-_SHIPPED = [
-    ("ssh_brute_force", "high", 10, "T1110.001"), ("ssh_password_spray", "high", 5, "T1110.003"), ("web_scanning", "medium", 15, "T1595.003"), ("web_sensitive_paths", "medium", None, "T1595.003"), ("web_sql_injection", "high", None, "T1190"),
-    ("web_xss_traversal", "high", None, "T1190"), ("web_attack_tool_agent", "low", None, "T1595"), ("win_brute_force", "high", 10, "T1110.001"), ("win_privileged_group_add", "high", None, "T1098"), ("win_audit_log_cleared", "critical", None, "T1070.001"),
-    ("win_suspicious_process", "high", None, "T1059.001"), ("auth_new_country", "medium", None, "T1078"), ("honeypot_interaction", "high", None, "T1110"), ("honeypot_command", "critical", None, "T1059"), ("suricata_ids_alert", "medium", None, "T1190"),
-    ("chain_recon_to_compromise", "critical", 3, "T1595"), ("chain_exploit_to_access", "critical", 2, "T1190"), ("chain_scan_to_spray", "high", 2, "T1595"),
-]
-
-
-@register("rule_files", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{lv}', CAST({'NULL' if n is None else n} AS INTEGER), '{t}')" for i, lv, n, t in _SHIPPED) + ") AS t(id, level, amount, technique)")
-def rule_files(spark, sf_dir):
-    """Enabled rules with their threshold, sequence rules with their number of stages, and each one's first technique."""
-    rows = [(r.id, r.level, r.threshold.count if r.threshold else None, r.tags[0]) for r in rulebook.load_rules()]
-    rows += [(q.id, q.level, len(q.stages), q.tags[0]) for q in rulebook.load_sequences()]
-    return spark.createDataFrame(rows, "id string, level string, amount int, technique string")
-
-
-@register("rule_coverage", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST({n} AS BIGINT))" for t, n in (("T1190", 3), ("T1110.001", 2), ("T1595.003", 2))) + ") AS t(technique, rules)")
-def rule_coverage(spark, sf_dir):
-    found = rulebook.coverage(rulebook.load_rules())
-    return spark.createDataFrame([(t, len(found.get(t, []))) for t in ("T1190", "T1110.001", "T1595.003")], "technique string, rules long")
-
-
 # ---- stateful and chains
 
 _CHAIN = """, a AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, o, id) AS n FROM raw),
@@ -223,24 +200,16 @@ def chain_unordered(spark, sf_dir):
     return _plain(sequence.chains(a.withColumn("rule_id", when).filter("rule_id IS NOT NULL"), rule))
 
 
-@register("stateful_both", EV + "SELECT * FROM (SELECT count(DISTINCT ip) AS addresses, CAST(0 AS BIGINT) AS alerts FROM ev WHERE category = 'authentication')")
-def stateful_both(spark, sf_dir):
-    """Both detectors at their shipped limits find nothing in events as sparse as these."""
-    e = events(spark, sf_dir)
-    found = stateful.run(e).agg(F.count("*").alias("alerts"))
-    return e.filter("event.category = 'authentication'").agg(F.countDistinct("source.ip").alias("addresses")).join(F.broadcast(found))  # one row
-
-
 # ---- risk, cases, reports, sinks
 
 
-def raw(spark, sf_dir) -> DataFrame:
-    """The stateless alerts of two tagged rules."""
+def raw(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
+    """The stateless alerts of two tagged rules over the events, or over those given."""
     rules = [
         rulebook.rule({"id": "outside_failure", "title": "Outside failure", "level": "medium", "tags": ["attack.t1110"], "detection": {"selection": {"event.outcome": FAILURE, "source.internal": False}}}),
         rulebook.rule({"id": "large_view", "title": "Large view", "level": "high", "tags": ["attack.t1059", "attack.x"], "detection": {"selection": {"event.action": "view", "http.response.body.bytes|gt": 30}}}),
     ]
-    return detect.stateless(events(spark, sf_dir), rules)
+    return detect.stateless(events(spark, sf_dir) if of is None else of, rules)
 
 
 _SPAN = "(epoch_us(last) - epoch_us(first)) // 60000000"
@@ -269,28 +238,6 @@ def case_actions(spark, sf_dir):
     return risk.actions(risk.cases(_entities(spark, sf_dir)))
 
 
-@register("case_advice", """SELECT 'e' AS entity, 'Extract downloaded payload hashes and submit to threat intel|Record the command sequence as adversary tradecraft|Block the source permanently; honeypot contact is definitionally hostile|Confirm the probed files are not actually served|Rotate any secret that was exposed via a 200 response' AS actions, 'First' AS worst""")
-def case_advice(spark, sf_dir):
-    """Advice of the three riskiest alerts of one entity, of which one has none in the library."""
-    rows = [("honeypot_command", "First", 90, 1), ("web_sensitive_paths", "Second", 60, 2), ("unknown_rule", "Third", 60, 3), ("ssh_brute_force", "Fourth", 35, 4)]
-    a = spark.createDataFrame(rows, "rule_id string, rule_name string, base_score int, k int")
-    a = a.select(
-        "rule_id", "rule_name", F.lit("high").alias("severity"), F.timestamp_seconds(F.col("k") * 60 + 1704067200).alias("ts"), F.lit("e").alias("entity"), F.lit("ip").alias("entity_type"), F.lit("").alias("description"), F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("evidence"),
-        F.lit(1).cast("long").alias("event_count"), A.empty_context().alias("context"), F.lit(None).cast("boolean").alias("first_honeypot"), F.lit(None).cast("boolean").alias("first_business_hours"), "base_score", F.lit(0).alias("stage_ord"), F.lit(0).alias("rule_ord"), F.struct(F.col("k").alias("t"), F.col("k").alias("s")).alias("emit"),
-    )
-    return risk.entities(risk.scored(a)).select("entity", F.array_join("actions", "|").alias("actions"), "worst")
-
-
-@register("risk_rounding", """SELECT b AS base_score, CAST(round_even(b * (CASE WHEN p THEN 1.5 ELSE 1.0 END::DOUBLE * 1.2::DOUBLE * CASE WHEN l = 'low' THEN 0.7 WHEN l = 'high' THEN 1.5 ELSE 1.0 END::DOUBLE * CASE WHEN h THEN 2.0 ELSE 1.0 END::DOUBLE), 0) AS BIGINT) AS risk_score, p AS privileged, l AS level, h AS honeypot
- FROM (VALUES (5), (15), (35), (60), (90)) t(b), (VALUES (true), (false)) u(p), (VALUES ('low'), ('high'), ('other')) v(l), (VALUES (true), (false)) w(h)""")
-def risk_rounding(spark, sf_dir):
-    rows = [(b, p, level, h) for b in (5, 15, 35, 60, 90) for p in (True, False) for level in ("low", "high", "other") for h in (True, False)]
-    a = spark.createDataFrame(rows, "base_score int, p boolean, l string, h boolean")
-    a = a.withColumn("context", F.struct(*[(F.lit(False) if c == "source.internal" else F.col("p") if c == "user.privileged" else F.col("l") if c == "host.criticality" else F.lit(None).cast("string")).alias(c.replace(".", "_")) for c in CONTEXT]))
-    a = a.withColumns({"first_honeypot": F.col("h"), "first_business_hours": F.lit(True)})
-    return risk.scored(a).select("base_score", "risk_score", F.col("p").alias("privileged"), F.col("l").alias("level"), F.col("h").alias("honeypot"))
-
-
 @register("top_entities", EV + _RAW + """SELECT 'ip' AS entity_type, entity, round(score, 3) AS score, CASE WHEN score >= 180 THEN 'critical' WHEN score >= 100 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS band, alerts FROM scored ORDER BY scored.score DESC, entity LIMIT 10""")
 def top_entities(spark, sf_dir):
     return report.top_entities(_entities(spark, sf_dir)).select("entity_type", "entity", F.round("score", 3).alias("score"), "band", "alerts")
@@ -321,7 +268,7 @@ def alert_timeline(spark, sf_dir):
 @register("field_counts", EV + """SELECT path, n FROM (SELECT count(*) AS rows, count(usr) AS users, count(bytes) AS sized FROM ev), LATERAL (VALUES ('@timestamp', rows), ('event.action', rows), ('event.category', rows), ('event.outcome', rows), ('event.code', rows), ('host.name', rows),
  ('source.ip', rows), ('source.internal', rows), ('user.name', users), ('http.response.body.bytes', sized)) t(path, n)""")
 def field_counts(spark, sf_dir):
-    return report.field_counts(events(spark, sf_dir), 1 << 30)
+    return report.field_counts(events(spark, sf_dir), None)
 
 
 @register("scenario_recall", EV + _RAW + """, truth AS (SELECT '10.0.0.' || i AS entity, CASE WHEN i % 2 = 0 THEN 'outside_failure' ELSE 'never' END AS want, 's' || (i % 3) AS scenario FROM range(5, 25) t(i)),
@@ -354,12 +301,5 @@ def bulk_file(spark, sf_dir):
     return lines.select(target.alias("target")).filter("target IS NOT NULL").groupBy("target").agg(F.count("*").alias("actions"))
 
 
-@register("lookup_files", "SELECT 'networks' AS what, true AS some UNION ALL SELECT 'intel', true UNION ALL SELECT 'assets', true UNION ALL SELECT 'identities', true")
-def lookup_files(spark, sf_dir):
-    found = lookups.load(pipeline.CONFIG)
-    sizes = {"networks": lookups.networks(spark, found), "intel": lookups.intel(spark, found), "assets": lookups.assets(spark, found), "identities": lookups.identities(spark, found)}
-    return spark.createDataFrame([(k, v.limit(1).count() > 0) for k, v in sizes.items()], "what string, some boolean")
-
-
 
 SQL["sequence_chain"] = EV + _RAW + _CHAIN + f"SELECT 'fail_then_view' AS rule_id, entity, strftime(fired, '{SQL_STAMP}') AS ts, CAST(2 AS BIGINT) AS event_count FROM fold"

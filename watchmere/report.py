@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import alerts as A
+from .operators import risk
 from .plans.pipeline import Result, severities
 
 TOP_ALERTS, TOP_ENTITIES, TOP_RULES, TOP_TECHNIQUES = 25, 10, 8, 8
+TOP_CASES, TOP_ACTIONS, TIMELINE = 50, 200, 10
 COLOURS = {"critical": "\033[91m", "high": "\033[93m", "medium": "\033[94m", "low": "\033[90m"}
 HEX = {"critical": "#c0392b", "high": "#e67e22", "medium": "#2980b9", "low": "#7f8c8d", "informational": "#95a5a6"}
 
@@ -46,11 +48,11 @@ def timeline(alerts: DataFrame, n: int = 500) -> DataFrame:
     return alerts.join(F.broadcast(ends)).select("ts", "severity", "rule_name", "entity", at.alias("x")).orderBy("ts", "rule_name", "entity").limit(n)  # one row
 
 
-def field_counts(events: DataFrame, first: int = 2000) -> DataFrame:
-    """path, n: how many of the first events have each field; one aggregate."""
+def field_counts(events: DataFrame, first: int | None = 2000) -> DataFrame:
+    """path, n: how many of the first events have each field; one aggregate.  None: of all events."""
     from .functions.fields import LEAVES, find, resolve
 
-    df = events.limit(first)
+    df = events if first is None else events.limit(first)
     paths = [p for p in LEAVES if find(df.schema, p)]
     counted = df.agg(*[F.count(resolve(df, p)).alias(str(i)) for i, p in enumerate(paths)])
     cells = F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"`{i}`").alias("n")) for i, p in enumerate(paths)])
@@ -76,10 +78,15 @@ def gather(result: Result) -> Figures:
     take = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     return Figures(
         result.summary(), take(result.file_stats) if result.file_stats is not None else [], take(worst_alerts(result.alerts)), take(top_entities(result.entities)), take(top_rules(result.alerts)), take(techniques(result.alerts)),
-        take(shares(result.alerts)), take(timeline(result.alerts)), take(result.cases.orderBy(F.desc("score"), "case_id").limit(50)), take(result.actions.orderBy("case_id", "n").limit(200)),
+        take(shares(result.alerts)), take(timeline(result.alerts)), take(risk.with_timelines(result.cases.orderBy(F.desc("score"), "case_id").limit(TOP_CASES), result.alerts, TIMELINE).orderBy(F.desc("score"), "case_id")), take(result.actions.orderBy("case_id", "n").limit(TOP_ACTIONS)),
     )
 
 
+def _of(what: str, shown: int, all_: int) -> str:
+    """A heading that says so where not all are shown."""
+    return what if shown >= all_ else f"{what} (first {shown} of {all_})"
+
+
 def console(f: Figures, colour: bool = True) -> str:
     paint = lambda severity, text: f"{COLOURS.get(severity, '')}{text}\033[0m" if colour and severity in COLOURS else text
     s = f.summary
@@ -87,7 +94,7 @@ def console(f: Figures, colour: bool = True) -> str:
     out += ["Inputs"] + [f"  {x['file']}  {x['source']}  parsed {x['parsed']}  skipped {x['skipped']}" for x in f.stats] + [""]
     out += ["Riskiest entities"] + [paint(e["band"], f"  {e['score']:8.1f}  {e['entity_type']:<5} {e['entity']}  {e['alerts']} alerts") for e in f.entities] + [""]
     out += ["Alerts"] + [paint(a["severity"], f"  {a['ts']:%m-%d %H:%M:%S}  {a['severity']:<9} {a['entity']:<16} {a['rule_name']}") for a in f.alerts] + [""]
-    out += ["Cases"]
+    out += [_of("Cases", len(f.cases), s["cases_opened"])]
     for c in f.cases:
         out.append(paint(c["severity"], f"  {c['case_id']}  {c['title']}  SLA {c['sla_hours']}h"))
         out.append(f"    {c['summary']}")
@@ -131,6 +138,6 @@ def page(f: Figures, title: str = "Security report") -> str:
         f"<h2>Rules</h2>{_bars([(r['rule_name'], r['n']) for r in f.rules])}<h2>Techniques</h2>{_bars([(r['technique'], r['n']) for r in f.techniques])}"
         f"<h2>Entities</h2>{_table(['type', 'entity', 'score', 'alerts', 'first', 'last'], [[e['entity_type'], e['entity'], round(e['score'], 1), e['alerts'], e['first_seen'], e['last_seen']] for e in f.entities])}"
         f"<h2>Alerts</h2>{_table(['time', 'severity', 'entity', 'rule', 'description'], [[a['ts'], a['severity'], a['entity'], a['rule_name'], a['description']] for a in f.alerts])}"
-        f"<h2>Cases</h2>{cases}<h2>Actions</h2>{_table(['case', 'action', 'target', 'detail', 'mode'], [[a['case_id'], a['action'], a['target'], a['detail'], a['mode']] for a in f.actions])}"
+        f"<h2>{_of('Cases', len(f.cases), s['cases_opened'])}</h2>{cases}<h2>{_of('Actions', len(f.actions), s['actions_recorded'])}</h2>{_table(['case', 'action', 'target', 'detail', 'mode'], [[a['case_id'], a['action'], a['target'], a['detail'], a['mode']] for a in f.actions])}"
         f"<h2>Inputs</h2>{_table(['file', 'source', 'parsed', 'skipped'], [[x['file'], x['source'], x['parsed'], x['skipped']] for x in f.stats])}</body></html>"
     )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import alerts as A
+from .operators import risk
 from .plans.pipeline import Result
 
 SIGNALS, EVENTS = "signals", "events"
@@ -89,7 +90,7 @@ def export(result: Result, directory: str | Path) -> dict[str, str]:
     out.mkdir(parents=True, exist_ok=True)
     alerts_ndjson(result.alerts, str(out / "alerts.ndjson"))
     bulk(result.alerts, result.events, str(out / "opensearch_bulk.ndjson"))
-    documents = case_documents(result.cases)
+    documents = case_documents(risk.with_timelines(result.cases, result.alerts))
     case_files(documents, out / "cases")
     json_file(documents, out / "cases.json")
     stats = [r.asDict() for r in result.file_stats.collect()] if result.file_stats is not None else []

@@ -8,11 +8,13 @@ count that was checked when it was read.
 from __future__ import annotations
 
 import csv
+import io
 import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,22 +36,26 @@ class Lookups:
     intel: dict[str, dict] = field(default_factory=dict)
 
 
-def _yaml(path: Path) -> dict:
-    return (yaml.safe_load(path.read_text(encoding="utf-8")) or {}) if path.exists() else {}
+def read_networks(text: str) -> list[tuple[str, tuple]]:
+    return [(r["network"], (r.get("country"), r.get("country_code"), r.get("asn_org"))) for r in csv.DictReader(io.StringIO(text, newline="")) if r.get("network")]
 
 
-def read_networks(path: Path) -> list[tuple[str, tuple]]:
-    if not path.exists():
-        return []
-    with path.open(encoding="utf-8", newline="") as fh:
-        return [(r["network"], (r.get("country"), r.get("country_code"), r.get("asn_org"))) for r in csv.DictReader(fh) if r.get("network")]
+def load(directory: str | Path, spark: SparkSession | None = None) -> Lookups:
+    """assets.yml, identities.yml, geoip.csv and threat_intel.json of a directory: a local one, or one of any file system that Spark reads."""
 
+    def text(name: str) -> str:
+        if spark is None:
+            path = Path(directory) / name
+            return path.read_text(encoding="utf-8") if path.exists() else ""
+        try:
+            rows = spark.read.text(f"{directory}/{name}", wholetext=True).select("value", F.input_file_name().alias("path")).orderBy("path").collect()  # one row a file
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return ""
+            raise
+        return "".join(r["value"] for r in rows)
 
-def load(directory: str | Path) -> Lookups:
-    """assets.yml, identities.yml, geoip.csv and threat_intel.json of a directory."""
-    d = Path(directory)
-    intel = d / "threat_intel.json"
-    return Lookups(_yaml(d / "assets.yml"), _yaml(d / "identities.yml"), read_networks(d / "geoip.csv"), json.loads(intel.read_text(encoding="utf-8")) if intel.exists() else {})
+    return Lookups(yaml.safe_load(text("assets.yml")) or {}, yaml.safe_load(text("identities.yml")) or {}, read_networks(text("geoip.csv")), json.loads(text("threat_intel.json") or "{}"))
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -71,6 +77,6 @@ def intel(spark: SparkSession, found: Lookups) -> DataFrame:
 
 
 def networks(spark: SparkSession, found: Lookups) -> DataFrame:
-    """Disjoint intervals, one row for each /16 block they touch: the range join becomes an equi-join on the block."""
-    rows = [(block, lo, hi, *attributes) for lo, hi, attributes in disjoint(found.networks) for block in range(lo >> 16, (hi >> 16) + 1)]
-    return _frame(spark, rows, "g_block long, g_lo long, g_hi long, g_country string, g_code string, g_org string")
+    """Disjoint intervals of address keys, IPv4 and IPv6, a row each."""
+    rows = [(lo, hi, *attributes) for lo, hi, attributes in disjoint(found.networks)]
+    return spark.createDataFrame(rows, "g_lo string, g_hi string, g_country string, g_code string, g_org string")

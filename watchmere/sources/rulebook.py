@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import yaml
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import seconds
 
@@ -80,21 +82,27 @@ def sequence(data: dict) -> Sequence:
     )
 
 
-def _documents(directory: str | Path):
-    for path in sorted(Path(directory).rglob("*.yml")):
-        data = yaml.safe_load(path.read_text(encoding="utf-8"))
+def _documents(directory: str | Path, spark: SparkSession | None = None):
+    """The YAML documents of a directory in path order: of a local one, or of any file system that Spark reads."""
+    if spark is None:
+        texts = [path.read_text(encoding="utf-8") for path in sorted(Path(directory).rglob("*.yml"))]
+    else:
+        rows = spark.read.option("recursiveFileLookup", True).text(str(directory), wholetext=True).select("value", F.input_file_name().alias("path"))
+        texts = [r["value"] for r in rows.orderBy("path").collect()]  # one row a rule file
+    for text in texts:
+        data = yaml.safe_load(text)
         if isinstance(data, dict):
             yield data
 
 
-def load_rules(directory: str | Path = RULES, disabled: bool = False) -> list[Rule]:
+def load_rules(directory: str | Path = RULES, disabled: bool = False, spark: SparkSession | None = None) -> list[Rule]:
     """Detection rules of a directory in path order; only enabled ones unless asked."""
-    found = [rule(d) for d in _documents(directory) if "detection" in d]
+    found = [rule(d) for d in _documents(directory, spark) if "detection" in d]
     return [r for r in found if r.enabled or disabled]
 
 
-def load_sequences(directory: str | Path = RULES) -> list[Sequence]:
-    return [sequence(d) for d in _documents(directory) if "sequence" in d]
+def load_sequences(directory: str | Path = RULES, spark: SparkSession | None = None) -> list[Sequence]:
+    return [sequence(d) for d in _documents(directory, spark) if "sequence" in d]
 
 
 def coverage(rules: list[Rule]) -> dict[str, list[str]]:
