@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import ipaddress
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,34 +13,53 @@ from pyspark.sql import functions as F
 INTERNAL = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8")
 INTERNAL_V6 = ("::1",)
 
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
+_OCTET = "^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: the optimizer would write it out wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def ipv4(column: Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
-    octets = [F.regexp_extract(column, _IPV4, k + 1).cast("long") for k in range(4)]
-    return F.when(column.rlike(_IPV4), octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3])
+    octet = lambda p, k: p[k].cast("long") * (1 << 8 * (3 - k))
+    number = lambda p: F.when((F.size(p) == 4) & F.forall(p, lambda o: o.rlike(_OCTET)), octet(p, 0) + octet(p, 1) + octet(p, 2) + octet(p, 3))
+    return _let(F.split(column, r"\.", 5), number)
 
 
 def _hex4(n: Column) -> Column:
     return F.lpad(F.lower(F.hex(n)), 4, "0")
 
 
+def _ipv6(s: Column) -> Column:
+    """Hex digits of an IPv6 address in lower case, whose last groups aren't written as IPv4."""
+
+    def of(halves: Column) -> Column:
+        groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+        sides = F.struct(groups(halves[0]).alias("left"), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))).alias("right"), F.size(halves).alias("halves"))
+        return _let(sides, whole)
+
+    def whole(p: Column) -> Column:
+        left, right = p["left"], p["right"]
+        count = F.size(left) + F.size(right)
+        good = F.when(p["halves"] == 2, count <= 7).otherwise((p["halves"] == 1) & (count == 8))
+        every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - count, F.lit(0))), right)
+        return F.when(good & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return _let(F.split(s, "::"), of)
+
+
 def address_key(column: Column) -> Column:
     """An address as a text that sorts as its number: 4 and 8 hex digits, or 6 and 32; null for anything else."""
-    n = ipv4(column)
+
+    def spelled(p: Column) -> Column:
+        return F.when(p["tail"].isNull(), p["s"]).otherwise(F.concat(F.regexp_replace(p["s"], r"[0-9.]+$", ""), _hex4(F.floor(p["tail"] / 65536)), F.lit(":"), _hex4(p["tail"] % 65536)))
+
     s = F.lower(F.regexp_replace(column, "%.+$", ""))  # a zone says where, not which
-    tail = ipv4(F.regexp_extract(s, r":([0-9.]+)$", 1))
-    s = F.when(tail.isNull(), s).otherwise(F.concat(F.regexp_replace(s, r"[0-9.]+$", ""), _hex4(F.floor(tail / 65536)), F.lit(":"), _hex4(tail % 65536)))
-    halves = F.split(s, "::")
-    groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-    left, right = groups(halves[0]), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
-    count, short = F.size(left) + F.size(right), F.size(halves) == 2
-    good = F.when(short, count <= 7).otherwise((F.size(halves) == 1) & (count == 8)) & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - count, F.lit(0))), right)
-    v6 = F.when(good, F.concat(F.lit("6"), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
-    return F.when(n.isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0"))).when(F.contains(column, F.lit(":")), v6)
+    v6 = _let(F.struct(s.alias("s"), ipv4(F.regexp_extract(s, r":([0-9.]+)$", 1)).alias("tail")), lambda p: _let(spelled(p), _ipv6))
+    v4 = _let(ipv4(column), lambda n: F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0")))
+    return F.when(F.contains(column, F.lit(":")), F.concat(F.lit("6"), v6)).otherwise(v4)
 
 
 def key_of(version: int, number: int) -> str:
@@ -54,12 +74,9 @@ def _span(cidr: str) -> tuple[int, int]:
 
 def is_internal(column: Column) -> Column:
     """Whether an address is internal; false for nulls and for text that is no address."""
-    n = ipv4(column)
-    inside = column.isin(*INTERNAL_V6)
-    for cidr in INTERNAL:
-        lo, hi = _span(cidr)
-        inside = inside | n.between(lo, hi)
-    return F.coalesce(inside, F.lit(False))
+    spans = [_span(cidr) for cidr in INTERNAL]
+    inside = _let(ipv4(column), lambda n: reduce(lambda a, b: a | b, [n.between(lo, hi) for lo, hi in spans]))
+    return F.coalesce(column.isin(*INTERNAL_V6) | F.coalesce(inside, F.lit(False)), F.lit(False))
 
 
 def disjoint(networks: list[tuple[str, tuple]]) -> list[tuple[str, str, tuple]]:

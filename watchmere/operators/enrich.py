@@ -86,13 +86,15 @@ def enrich(events: DataFrame, found: L.Lookups, novelty: bool = True) -> DataFra
         "__user": F.when(resolve(events, "user.name") != "", resolve(events, "user.name")),
         "__host": F.when(resolve(events, "host.name") != "", resolve(events, "host.name")),
     })
-    df = df.withColumns({"__internal": F.when(F.col("__ip").isNotNull(), is_internal(F.col("__ip"))), "__key": address_key(F.col("__ip"))})
+    df = df.withColumns({"__internal": F.when(F.col("__ip").isNotNull(), is_internal(F.col("__ip")))})
     outside = F.coalesce(~F.col("__internal"), F.lit(False))
-    df = df.withColumn("__key", F.when(outside, F.col("__key")))
     if events.isStreaming:
-        df = df.withColumn("__place", _looked_up(found)(F.col("__key"))).select("*", "__place.*")
+        df = df.withColumn("__place", _looked_up(found)(F.when(outside, address_key(F.col("__ip"))))).select("*", "__place.*")
     elif found.networks:
-        df = df.join(located(df.select(F.col("__key").alias("key")), L.networks(spark, found)), F.col("__key") == F.col("key"), "left")
+        # each address is located once, however many events it has
+        each = df.filter(outside).select(F.col("__ip").alias("g_ip")).distinct().withColumn("key", address_key(F.col("g_ip")))
+        places = each.join(located(each, L.networks(spark, found)), "key").select("g_ip", "g_country", "g_code", "g_org")
+        df = df.join(places, F.col("__ip") == F.col("g_ip"), "left")
     else:
         df = df.withColumns({c: F.lit(None).cast("string") for c in ("g_country", "g_code", "g_org")})
     df = df.join(L.intel(spark, found), outside & (F.col("__ip") == F.col("t_ip")), "left")
