@@ -46,7 +46,7 @@ from .work import Work
 PASSAGE, STRIDE, MARGIN = 48, 16, 16
 #: Items of more words are compared with passages in segments, a new one every PASSAGE / 2 words.
 WHOLE = PASSAGE + MARGIN
-RANK, SAMPLE, COSINE = 128, 4096, 0.45
+RANK, COSINE = 128, 0.45
 #: Sums over all passages are of multiples of 1 / UNIT: exact, so their order doesn't matter.
 UNIT = 1 << 24
 #: Bytes of text that a pass takes at a time, and rows that a sum takes: few enough to stay in a processor's cache.
@@ -314,43 +314,6 @@ def _counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     return np.array([counts.get(i, 0) for i in range(size)], np.float64), int(counts.get(-1, 0))
 
 
-def _survey(docs: DataFrame, terms: Terms, work: Work) -> tuple[np.ndarray, int, DataFrame]:
-    """What _counts() gives, and a sample of SAMPLE distinct passages as term lists, for a look at a corpus: fit() doesn't use it."""
-    size = len(terms.hashes)
-
-    def run(batches):
-        import pyarrow as pa
-
-        df, total, kept = np.zeros(size, np.int64), 0, {}
-        for batch in batches:
-            for b in kernel.blocks(batch.column("text")):
-                words, h = _words(b.buf, b.offs)
-                at, term = terms.find(h)
-                doc = np.searchsorted(words.first, at, "right") - 1
-                df += np.bincount(np.unique(doc * size + term) % size, minlength=size)
-                total += b.hi - b.lo
-                starts, begin = _blocks_of(words)
-                ends = np.minimum(starts + PASSAGE, np.repeat(words.first[1:], np.diff(begin)))
-                order = kernel.Grams(h).between(starts, ends) >> np.uint64(1)
-                s, e = np.searchsorted(at, starts), np.searchsorted(at, ends)
-                some = np.flatnonzero((e - s >= 4) & (order <= np.uint64(max(kept) if len(kept) == SAMPLE else (1 << 63) - 1)))
-                for key, i in list(zip(*np.unique(order[some], return_index=True)))[:SAMPLE]:
-                    kept[int(key)] = term[s[some[i]] : e[some[i]]].tolist()
-                kept = dict(sorted(kept.items())[:SAMPLE])
-        k = np.flatnonzero(df)
-        n = len(k) + 1 + len(kept)
-        yield pa.RecordBatch.from_pydict({
-            "term": pa.array([*k.tolist(), -1, *[None] * len(kept)], pa.int64()), "n": pa.array([*df[k].tolist(), total, *kept], pa.int64()),
-            "passage": pa.array([None] * (n - len(kept)) + [*kept.values()], pa.list_(pa.int64())),
-        })
-
-    out = work.save(docs.select("text").mapInArrow(run, "term long, n long, passage array<long>"), "survey")
-    counts = {r["term"]: r["n"] for r in out.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a term
-    df = np.array([counts.get(i, 0) for i in range(size)], np.float64)
-    sample = out.filter("term IS NULL").select("n", "passage").distinct().orderBy("n", "passage").limit(SAMPLE).select("passage")
-    return df, int(counts.get(-1, 0)), sample
-
-
 def _add_rows(out: np.ndarray, group: np.ndarray, table: np.ndarray, row: np.ndarray, count: np.ndarray) -> None:
     """Add count * table[row] to out[group], where groups ascend."""
 

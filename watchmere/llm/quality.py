@@ -60,20 +60,38 @@ def _adam(net: Net, grads, state, rate: float) -> None:
         p -= rate * (m / (1 - 0.9 ** state["t"])) / (np.sqrt(v / (1 - 0.999 ** state["t"])) + 1e-7)
 
 
-def train(rows: list[tuple[bytes, int]], seed: int = 5) -> Net | None:
-    """A trained net, or None if the rows don't hold both classes."""
-    y = np.array([label for _, label in rows], np.float32)
-    if not len(y) or y.min() == y.max():
-        return None
+def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping chunks of texts (with the bytes that filters see beyond them), how many places of each are in its text, and its text's number."""
     size = 2 * HALF
-    chunks, owner = [], []
-    for i, (text, _) in enumerate(rows):
+    chunks, valid, owner = [], [], []
+    for i, text in enumerate(texts):
         n = max(1, -(-len(text) // HALF) - 1)
         padded = np.zeros(max((n + 1) * HALF, len(text)) + WIDTH - 1, np.uint8)
         padded[: len(text)] = np.frombuffer(text, np.uint8)
         chunks.append(np.lib.stride_tricks.sliding_window_view(padded, size + WIDTH - 1)[: n * HALF : HALF])
+        valid.append(np.clip(max(len(text), 1) - np.arange(n) * HALF, 1, size))
         owner += [i] * n
-    chunks, owner = np.concatenate(chunks), np.array(owner)
+    return np.concatenate(chunks), np.concatenate(valid), np.array(owner)
+
+
+def strongest(net: Net, chunks: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each filter is strongest in each chunk, and how strong; places beyond the text don't count."""
+    size = 2 * HALF
+    conv = net.tables[0][chunks[:, :size]]
+    for j in range(1, WIDTH):
+        conv += net.tables[j][chunks[:, j : j + size]]
+    short = np.flatnonzero(valid < size)
+    conv[short] = np.where(np.arange(size)[None, :, None] < valid[short, None, None], conv[short], -np.inf)
+    at = conv.argmax(axis=1)
+    return at, np.take_along_axis(conv, at[:, None, :], axis=1)[:, 0, :]
+
+
+def train(rows: list[tuple[bytes, int]], seed: int = 5) -> Net | None:
+    """A trained net, or None if the rows don't hold both classes."""
+    y = np.array([label for _, label in rows], np.float32)
+    if not len(y) or y.min() == y.max():
+        return None
+    chunks, valid, owner = chunked([text for text, _ in rows])
     first = np.searchsorted(owner, np.arange(len(rows) + 1))
     net, state, rng = fresh(seed), {"t": 0}, np.random.default_rng(seed)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
@@ -89,12 +107,8 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5) -> Net | None:
             x = chunks[take]
             at, raw = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
             for c in range(0, len(x), TRAIN_PIECE):
-                part = x[c : c + TRAIN_PIECE]
-                conv = net.tables[0][part[:, :size]]
-                for j in range(1, WIDTH):
-                    conv += net.tables[j][part[:, j : j + size]]
-                at[c : c + TRAIN_PIECE] = conv.argmax(axis=1)
-                raw[c : c + TRAIN_PIECE] = np.take_along_axis(conv, at[c : c + TRAIN_PIECE, None, :], axis=1)[:, 0, :]
+                piece = slice(c, c + TRAIN_PIECE)
+                at[piece], raw[piece] = strongest(net, x[piece], valid[take[piece]])
             act = np.maximum(raw, 0)
             counts = np.bincount(own, minlength=len(docs)).astype(np.float32)
             mean = np.add.reduceat(act, begin, axis=0) / counts[:, None]
