@@ -66,15 +66,13 @@ RESPONSES: dict[str, list[str]] = {
 }
 
 
-def multiplier() -> Column:
+def multiplier(chain: bool = False) -> Column:
     """Factor of an alert's score by its context and its first event; chains have no event of their own."""
     c = F.col("context")
     on = lambda test, factor: F.when(F.coalesce(test, F.lit(False)), F.lit(factor)).otherwise(1.0)
     levels = F.create_map(*[F.lit(x) for kv in CRITICALITY.items() for x in kv])
-    return (
-        on(c["threat_indicator_source"] != "", INTEL) * on(c["user_privileged"], PRIVILEGED) * on(~c["source_internal"], EXTERNAL) * F.coalesce(levels[c["host_criticality"]], F.lit(1.0))
-        * on(F.col("first_honeypot"), HONEYPOT) * on(~F.col("first_business_hours"), OFF_HOURS)
-    )
+    around = on(c["threat_indicator_source"] != "", INTEL) * on(c["user_privileged"], PRIVILEGED) * on(~c["source_internal"], EXTERNAL) * F.coalesce(levels[c["host_criticality"]], F.lit(1.0))
+    return around if chain else around * on(F.col("first_honeypot"), HONEYPOT) * on(~F.col("first_business_hours"), OFF_HOURS)
 
 
 def scored(alerts: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _key(rule: Sequence) -> str:
     return rule.group_by if rule.group_by in A.COLUMNS else "entity"
 
 
-class _Fold:
+class Fold:
     """One entity's segment of alerts in time order: when each was, and which stages it fits (bits).
 
     A state is the chain begun: (us, seg, place) of each alert taken.
@@ -96,12 +96,12 @@ def _folds(batches, stages: int, span: int):
     for batch in batches:
         for key, seg, place, us, fits, start in zip(*(batch[c] for c in ("k", "seg", "place", "us", "fits", "start"))):
             if at is not None and (key, seg) != at[:2]:
-                yield at[0], _Fold(at[1], *map(list, zip(*rows)), stages, span), at[2]
+                yield at[0], Fold(at[1], *map(list, zip(*rows)), stages, span), at[2]
                 rows = []
             at = (key, seg, start)
             rows.append((place, us, fits))
     if rows:
-        yield at[0], _Fold(at[1], *map(list, zip(*rows)), stages, span), at[2]
+        yield at[0], Fold(at[1], *map(list, zip(*rows)), stages, span), at[2]
 
 
 def _effects(stages: int, span: int):

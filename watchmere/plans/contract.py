@@ -262,13 +262,15 @@ def success_after_failures(spark, sf_dir):
     return _plain(stateful.success_after_failures(events(spark, sf_dir), threshold=4, minutes=24 * 60))
 
 
+_RAW_RULES = [
+    rulebook.rule({"id": "outside_failure", "title": "Outside failure", "level": "medium", "detection": {"selection": {"event.outcome": FAILURE, "source.internal": False}}}),
+    rulebook.rule({"id": "large_view", "title": "Large view", "level": "high", "detection": {"selection": {"event.action": "view", "http.response.body.bytes|gt": 30}}}),
+]
+
+
 def _raw(spark, sf_dir) -> DataFrame:
     """Stateless alerts: failures of outside addresses, and large web events."""
-    rules = [
-        rulebook.rule({"id": "outside_failure", "title": "Outside failure", "level": "medium", "detection": {"selection": {"event.outcome": FAILURE, "source.internal": False}}}),
-        rulebook.rule({"id": "large_view", "title": "Large view", "level": "high", "detection": {"selection": {"event.action": "view", "http.response.body.bytes|gt": 30}}}),
-    ]
-    return detect.stateless(events(spark, sf_dir), rules)
+    return detect.stateless(events(spark, sf_dir), _RAW_RULES)
 
 
 _RAW = """, raw AS (SELECT 'outside_failure' AS rule_id, 0 AS o, ip AS entity, ts, id, internal, 35 AS base FROM ev WHERE outcome = 'failure' AND NOT internal
@@ -302,10 +304,12 @@ def severity_summary(spark, sf_dir):
     return A.dedup(_raw(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
+_CHAIN = {"id": "fail_then_view", "title": "Failure, then large view", "sequence": {"ordered": True, "within": "1d", "stages": [{"name": "a", "rule_id": "outside_failure"}, {"name": "b", "rule_id": "large_view"}]}}
+
+
 @register("sequence_chain")
 def sequence_chain(spark, sf_dir):
-    rule = rulebook.sequence({"id": "fail_then_view", "title": "Failure, then large view", "sequence": {"ordered": True, "within": "1d", "stages": [{"name": "a", "rule_id": "outside_failure"}, {"name": "b", "rule_id": "large_view"}]}})
-    return _plain(sequence.chains(_raw(spark, sf_dir), rule))
+    return _plain(sequence.chains(_raw(spark, sf_dir), rulebook.sequence(_CHAIN)))
 
 
 _BASE = """, cut AS (SELECT *, row_number() OVER (ORDER BY ts, id) <= (SELECT count(*) // 2 FROM ev) AS train FROM ev),

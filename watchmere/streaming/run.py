@@ -70,6 +70,7 @@ def live(parts: dict[str, DataFrame], sink: Callable[[DataFrame, int], None], fo
         spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{folder}/detected/{name}")  # the folder may not be there yet
         part = spark.readStream.schema(df.schema).parquet(f"{folder}/detected/{name}")
         found = part if found is None else found.unionByName(part)
+    found = sink.follow(found) if hasattr(sink, "follow") else found
     trigger = {"processingTime": poll} if poll else {"availableNow": True}
     last = found.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint/alerts").outputMode("append").trigger(**trigger).start()
     if not poll:
