@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import pickle
 import random
 import re
@@ -186,6 +187,38 @@ def test_repeated_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in decontam.scan(docs, items).collect()) == sorted(["5", "7", "None"])
 
 
+COMMON = "/usr/share/common-licenses"
+NAMES = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause"}
+
+
+def _licenses(index, text):
+    raw = text.encode()
+    return license.find(index, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="this machine has no license texts")
+def test_license_texts_are_named_right():
+    """Whole texts come out under their own name and no other, by the short templates and by whole ones, cut off and edited as well."""
+    short, whole = license.build(), license.build(license.full_texts(COMMON, NAMES))
+    rng = random.Random(7)
+    for file, name in NAMES.items():
+        text = open(f"{COMMON}/{file}", encoding="utf-8", errors="replace").read()
+        assert {x[1] for x in _licenses(short, text)} == {name}, file
+        words = text.split(" ")
+        edited = " ".join("thing" if rng.random() < 0.03 and w.isalpha() else w for w in words)
+        for copy, least in ((text, 0.999), (" ".join(words[: int(0.85 * len(words))]), 0.75), (edited, 0.85)):
+            (found,) = _licenses(whole, copy)
+            assert found[1] == name and found[4] >= least and found[3] - found[2] > 0.7 * len(copy), file
+
+
+def test_license_versions_without_a_template_are_not_named():
+    """A number or a family word that differs is another license."""
+    index = license.build()
+    for text in ("This work is licensed under the GNU General Public License, version 4.", "This work is licensed under the GNU Affero General Public License, version 3.", "MOZILLA PUBLIC LICENSE Version 1.0", "Licensed under CC BY-ND 4.0.", "Licensed under the Apache License, Version 1.1."):
+        assert not _licenses(index, text), text
+    assert [x[1] for x in _licenses(index, "This work is licensed under the GNU General Public License, version 2. And more.")] == ["GPL-2.0"]
+
+
 def test_quality_trains_and_scores_alike():
     """The training pass and the scoring pass give a text the same probability, however short it is."""
     rng = np.random.default_rng(3)
@@ -447,7 +480,7 @@ def test_planted_licenses(spark):
     for name, texts in license.TEMPLATES.items():
         for template in texts:
             words = template.split()
-            edited = [("zz" if len(words) > 12 and k % 9 == 4 else w) for k, w in enumerate(words)]
+            edited = [("zz" if len(words) > 12 and k % 9 == 4 and w.lower() not in license.TELLING and not re.search("[0-9]", w) else w) for k, w in enumerate(words)]
             for kind, body in (("whole", template), ("edited", " ".join(edited)), ("half", " ".join(words[: len(words) // 2]) if len(words) > 30 else "")):
                 i, before = len(rows), filler(rng.randint(0, 40))
                 rows.append((i, f"{before} {body} {filler(10)}"))

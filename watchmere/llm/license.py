@@ -5,8 +5,10 @@ sequences, each window of ``WINDOW`` keeps its smallest.  Every sequence of a
 document is looked up in the inverted index (a bit table first, then a sorted
 array); hits of one template that lie near one diagonal form a candidate, and a
 banded edit alignment of the template with the words around the hits gives the
-matched share of the template and the matched span.  Words are runs of ASCII
-letters and digits and bytes beyond ASCII, ASCII letters lower-cased, so marks
+matched share of the template and the matched span.  Numbers and the words of
+``TELLING`` tell versions and kin apart: those in the span must be the template's, in
+order, so that no text is reported under another version's name.  Words are runs of
+ASCII letters and digits and bytes beyond ASCII, ASCII letters lower-cased, so marks
 between words don't matter.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +25,10 @@ from pyspark.sql import functions as F
 from . import kernel
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 12, 0.7
+#: A long template must have a fingerprint on the diagonal for every HITS_OF words.
+HITS_OF = 100
+#: From so many words on a template is long: a whole text, of which cut-off and edited copies lack some telling words.
+LONG = 200
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -30,8 +37,11 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     ],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "Artistic-1.0": ['The "Artistic License" Preamble The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package'],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Released under the BSD 3-Clause License.",
@@ -39,33 +49,75 @@ TEMPLATES = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "CC0-1.0": [
+        "Creative Commons Legal Code CC0 1.0 Universal",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ],
+    "GFDL-1.2": ["GNU Free Documentation License Version 1.2, November 2002"],
+    "GFDL-1.3": ["GNU Free Documentation License Version 1.3, 3 November 2008"],
+    "GPL-1.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.",
+    ],
+    "GPL-2.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-2.0": [
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This library is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": [
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "MPL-1.1": ["MOZILLA PUBLIC LICENSE Version 1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.'],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
 
+# Words, beside numbers, that tell licenses of one family apart.
+TELLING = ("affero", "documentation", "lesser", "nc", "nd", "noderivatives", "noncommercial", "sa", "sharealike")
+
+
+def full_texts(folder: str, names: dict[str, str]) -> dict[str, list[str]]:
+    """Whole license texts of a folder as templates: file name -> license name."""
+    return {name: [Path(folder, file).read_text(encoding="utf-8", errors="replace")] for file, name in names.items()}
+
+
+def _telling(low: np.ndarray, words: kernel.Words, hashes: np.ndarray) -> np.ndarray:
+    """Which words hold a digit or are in TELLING."""
+    digits = np.concatenate([[0], np.cumsum((low >= 48) & (low <= 57))])
+    return (digits[words.end] > digits[words.start]) | np.isin(hashes, _TOLD)
+
+
 def _words(text: bytes) -> tuple[np.ndarray, kernel.Words]:
     buf = kernel.lower_ascii(np.frombuffer(text, np.uint8))
     words = kernel.split_words(buf, np.array([0, len(buf)]), _WORD)
     return kernel.word_hashes(buf, words), words
 
 
+_TOLD = np.array([_words(w.encode())[0][0] for w in TELLING])
+
+
 @dataclass
 class Index:
     names: list[str]  # of each template
     words: list[np.ndarray]
+    told: list[np.ndarray]  # those that tell versions apart
     keys: np.ndarray  # sorted fingerprints, with where they stand
     template: np.ndarray
     place: np.ndarray
@@ -74,10 +126,11 @@ class Index:
 
 def build(templates: dict[str, list[str]] | None = None) -> Index:
     """Index of the templates; those of fewer than GRAM words are left out."""
-    names, words, found = [], [], []
+    names, words, told, found = [], [], [], []
     for name, texts in (TEMPLATES if templates is None else templates).items():
         for text in texts:
-            h, _ = _words(text.encode())
+            low = kernel.lower_ascii(np.frombuffer(text.encode(), np.uint8))
+            h, w = _words(text.encode())
             if len(h) < GRAM:
                 continue
             at = np.arange(len(h) - GRAM + 1)
@@ -87,11 +140,12 @@ def build(templates: dict[str, list[str]] | None = None) -> Index:
             found += [(g[i], len(names), i) for i in sorted(keep)]
             names.append(name)
             words.append(h)
+            told.append(h[_telling(low, w, h)])
     keys = np.array([k for k, _, _ in found], np.uint64)
     order = np.argsort(keys, kind="stable")
     bits = np.zeros(1 << 16, bool)
     bits[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-    return Index(names, words, keys[order], np.array([t for _, t, _ in found], np.int64)[order], np.array([p for _, _, p in found], np.int64)[order], bits)
+    return Index(names, words, told, keys[order], np.array([t for _, t, _ in found], np.int64)[order], np.array([p for _, _, p in found], np.int64)[order], bits)
 
 
 def align(template: np.ndarray, words: np.ndarray, lo: int, hi: int, shift: int) -> tuple[int, int]:
@@ -135,6 +189,14 @@ def coverage(template: np.ndarray, words: np.ndarray, first: int, end: int) -> f
     return (len(template) - v.bit_count()) / len(template)
 
 
+def _tells(mine: np.ndarray, told: np.ndarray, words: int) -> bool:
+    """Whether the telling words of a span are those of a template of so many words, in order and none beside; a long one may lack half."""
+    if len(mine) < (len(told) if words < LONG else len(told) / 2):
+        return False
+    rest = iter(told.tolist())
+    return all(w in rest for w in mine.tolist())
+
+
 def find(index: Index, buf: np.ndarray, offs: np.ndarray, least: float = COVERAGE) -> list[tuple[int, str, int, int, float]]:
     """(document, license, first character, end, coverage) of the matches in a block.
 
@@ -162,14 +224,20 @@ def find(index: Index, buf: np.ndarray, offs: np.ndarray, least: float = COVERAG
     for k in order:
         key = (int(doc[k]), int(index.template[e[k]]))
         if last and last[0] == key and shift[k] - last[1] <= BAND // 2:
+            candidates[-1][3] += 1
             continue
         last = (key, int(shift[k]))
-        candidates.append((*key, int(shift[k])))
+        candidates.append([*key, int(shift[k]), 1])
+    told = _telling(low, words, h)
     chars, found = kernel.char_offsets(buf), {}
-    for d, t, s in candidates:
+    for d, t, s, hits in candidates:
+        if hits < len(index.words[t]) // HITS_OF:
+            continue
         first, end = align(index.words[t], h, int(words.first[d]), int(words.first[d + 1]), s)
         if first < 0:
             continue
+        if not _tells(h[first:end][told[first:end]], index.told[t], len(index.words[t])):
+            continue
         c = coverage(index.words[t], h, first, end)
         if c >= least:
             found.setdefault(d, []).append((round(c * len(index.words[t])), c, first, end, index.names[t]))
@@ -192,7 +260,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     rows give repeated results, a null doc_id is passed through, other columns are
     ignored; no templates, no rows.
     """
-    index = build(templates)
+    index = build(templates)  # ties of matched words go to the greater coverage, then the earlier span, then by name; an empty table has no rows
 
     def run(batches):
         import pyarrow as pa
