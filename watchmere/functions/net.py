@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Private and loopback networks.
 INTERNAL = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8")
 INTERNAL_V6 = ("::1",)
@@ -16,16 +18,11 @@ INTERNAL_V6 = ("::1",)
 _OCTET = "^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value computed once: the optimizer would write it out wherever it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def ipv4(column: Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
     octet = lambda p, k: p[k].cast("long") * (1 << 8 * (3 - k))
     number = lambda p: F.when((F.size(p) == 4) & F.forall(p, lambda o: o.rlike(_OCTET)), octet(p, 0) + octet(p, 1) + octet(p, 2) + octet(p, 3))
-    return _let(F.split(column, r"\.", 5), number)
+    return let(F.split(column, r"\.", 5), number)
 
 
 def _hex4(n: Column) -> Column:
@@ -38,7 +35,7 @@ def _ipv6(s: Column) -> Column:
     def of(halves: Column) -> Column:
         groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
         sides = F.struct(groups(halves[0]).alias("left"), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))).alias("right"), F.size(halves).alias("halves"))
-        return _let(sides, whole)
+        return let(sides, whole)
 
     def whole(p: Column) -> Column:
         left, right = p["left"], p["right"]
@@ -47,7 +44,7 @@ def _ipv6(s: Column) -> Column:
         every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - count, F.lit(0))), right)
         return F.when(good & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
-    return _let(F.split(s, "::"), of)
+    return let(F.split(s, "::"), of)
 
 
 def address_key(column: Column) -> Column:
@@ -57,8 +54,8 @@ def address_key(column: Column) -> Column:
         return F.when(p["tail"].isNull(), p["s"]).otherwise(F.concat(F.regexp_replace(p["s"], r"[0-9.]+$", ""), _hex4(F.floor(p["tail"] / 65536)), F.lit(":"), _hex4(p["tail"] % 65536)))
 
     s = F.lower(F.regexp_replace(column, "%.+$", ""))  # a zone says where, not which
-    v6 = _let(F.struct(s.alias("s"), ipv4(F.regexp_extract(s, r":([0-9.]+)$", 1)).alias("tail")), lambda p: _let(spelled(p), _ipv6))
-    v4 = _let(ipv4(column), lambda n: F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0")))
+    v6 = let(F.struct(s.alias("s"), ipv4(F.regexp_extract(s, r":([0-9.]+)$", 1)).alias("tail")), lambda p: let(spelled(p), _ipv6))
+    v4 = let(ipv4(column), lambda n: F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0")))
     return F.when(F.contains(column, F.lit(":")), F.concat(F.lit("6"), v6)).otherwise(v4)
 
 
@@ -75,7 +72,7 @@ def _span(cidr: str) -> tuple[int, int]:
 def is_internal(column: Column) -> Column:
     """Whether an address is internal; false for nulls and for text that is no address."""
     spans = [_span(cidr) for cidr in INTERNAL]
-    inside = _let(ipv4(column), lambda n: reduce(lambda a, b: a | b, [n.between(lo, hi) for lo, hi in spans]))
+    inside = let(ipv4(column), lambda n: reduce(lambda a, b: a | b, [n.between(lo, hi) for lo, hi in spans]))
     return F.coalesce(column.isin(*INTERNAL_V6) | F.coalesce(inside, F.lit(False)), F.lit(False))
 
 

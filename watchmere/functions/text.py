@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: the optimizer would write it out wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def seconds(text: str | float) -> float:
     """Seconds of a duration such as 30s, 5m, 1h or 1d; a bare number is seconds."""
     m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([smhd]?)\s*", str(text))
