@@ -10,6 +10,7 @@ spread over as many tasks as it has stretches.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -22,9 +23,12 @@ from ..functions.predicates import rule_match
 from ..functions.text import show_duration
 from ..sources.rulebook import Rule
 from . import alerts as A
+from . import ruleindex
+from .ruleindex import MESSAGE, sort
 
 EVIDENCE = 5
-MESSAGE = 160
+#: More rules than this are rows that an index proposes, and no longer expressions of the plan.
+MANY = 100
 HIT = ("rule_ord", "entity", "entity_type", "evidence", "group", "value")
 
 
@@ -43,29 +47,37 @@ def block(df: DataFrame, fields: dict) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def condition(df: DataFrame, rule: Rule) -> Column:
-    """A rule's condition: terms joined by and / or from left to right, ``not``, ``all of p*``, ``1 of p*``."""
-    blocks = {name: block(df, fields) for name, fields in rule.blocks.items() if isinstance(fields, dict)}
+def terms(rule: Rule) -> list[tuple[bool, bool, bool, list[str]]]:
+    """A condition's terms: joined to those before by and (else or), negated, all of its blocks (else one), and the blocks' names."""
+    names = [name for name, fields in rule.blocks.items() if isinstance(fields, dict)]
     words = rule.condition.split()
-    result, op, negate, i = None, "and", False, 0
+    found, both, negate, i = [], True, False, 0
     while i < len(words):
         word = words[i].lower()
         if word in ("and", "or"):
-            op = word
+            both = word == "and"
         elif word == "not":
             negate = not negate
         else:
             if word in ("all", "1", "any") and i + 2 < len(words) and words[i + 1].lower() == "of":
                 prefix = words[i + 2].rstrip("*")
-                chosen = [b for name, b in blocks.items() if prefix == "them" or name.startswith(prefix)]
-                term = reduce((lambda a, b: a & b) if word == "all" else (lambda a, b: a | b), chosen, F.lit(word == "all"))
+                found.append((both, negate, word == "all", [n for n in names if prefix == "them" or n.startswith(prefix)]))
                 i += 2
             else:
-                term = blocks.get(words[i], F.lit(False))
-            term = ~term if negate else term
+                found.append((both, negate, False, [words[i]] if words[i] in names else []))
             negate = False
-            result = term if result is None else result & term if op == "and" else result | term
         i += 1
+    return found
+
+
+def condition(df: DataFrame, rule: Rule) -> Column:
+    """A rule's condition: terms joined by and / or from left to right, ``not``, ``all of p*``, ``1 of p*``."""
+    blocks = {name: block(df, fields) for name, fields in rule.blocks.items() if isinstance(fields, dict)}
+    result = None
+    for both, negate, every, names_ in terms(rule):
+        term = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [blocks[n] for n in names_], F.lit(every))
+        term = ~term if negate else term
+        result = term if result is None else result & term if both else result | term
     return F.lit(False) if result is None else result
 
 
@@ -73,7 +85,6 @@ def entity(df: DataFrame, field: str) -> tuple[Column, Column]:
     """Entity and its type: the rule's field, else host.name, else user.name, else unattributed."""
     own = F.nullif(F.nullif(resolve(df, field).cast("string"), F.lit("")), F.lit("-"))
     choices = [(own, field)] + [(F.nullif(resolve(df, f).cast("string"), F.lit("")), f) for f in ("host.name", "user.name")]
-    sort = lambda f: "ip" if "ip" in f else "user" if "user" in f else "host"
     kinds = [F.when(c.isNotNull(), F.lit(sort(f))) for c, f in choices]
     return F.coalesce(*[c for c, _ in choices], F.lit("unattributed")), F.coalesce(*kinds, F.lit(sort(field)))
 
@@ -92,11 +103,21 @@ def tagged(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def _meta(rules: list[tuple[int, Rule]], pick, type_: str) -> Column:
-    """A property of the row's rule, from a literal map by rule_ord."""
-    return F.create_map(*[x for i, r in rules for x in (F.lit(i), pick(r).cast(type_))])[F.col("rule_ord")]
+    """A property of the row's rule, from a literal by rule_ord; of many rules from one literal array."""
+    if len(rules) > MANY:
+        values = [None] * (1 + max(i for i, _ in rules))
+        for i, r in rules:
+            values[i] = pick(r)
+        return F.from_json(F.lit(json.dumps(values)), f"array<{type_}>")[F.col("rule_ord")]
+    literal = lambda v: F.array(*[F.lit(t) for t in v]) if isinstance(v, list) else F.lit(v)
+    return F.create_map(*[x for i, r in rules for x in (F.lit(i), literal(pick(r)).cast(type_))])[F.col("rule_ord")]
 
 
 def _hits(events: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """A row for each event and rule whose condition holds of it."""
+    if len(rules) > MANY:
+        return ruleindex.hits(events, rules, terms)
+
     def cell(i: int, r: Rule) -> Column:
         who, sort = entity(events, r.entity)
         t = r.threshold
@@ -114,12 +135,11 @@ def _hits(events: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
 
 
 def _alerts(df: DataFrame, rules: list[tuple[int, Rule]], description) -> DataFrame:
-    text = lambda f: (lambda r: F.lit(f(r)))
-    severity = _meta(rules, text(lambda r: r.level), "string")
+    severity = _meta(rules, lambda r: r.level, "string")
     return df.select(
-        _meta(rules, text(lambda r: r.id), "string").alias("rule_id"), _meta(rules, text(lambda r: r.title), "string").alias("rule_name"), severity.alias("severity"),
-        "ts", "entity", "entity_type", _meta(rules, text(description), "string").alias("description"),
-        _meta(rules, lambda r: F.array(*[F.lit(t) for t in r.tags]), "array<string>").alias("tags"),
+        _meta(rules, lambda r: r.id, "string").alias("rule_id"), _meta(rules, lambda r: r.title, "string").alias("rule_name"), severity.alias("severity"),
+        "ts", "entity", "entity_type", _meta(rules, description, "string").alias("description"),
+        _meta(rules, lambda r: r.tags, "array<string>").alias("tags"),
         "evidence", F.col("event_count").cast("long").alias("event_count"), F.col("first.context").alias("context"), F.col("first.first_honeypot").alias("first_honeypot"), F.col("first.first_business_hours").alias("first_business_hours"),
         A.score(severity).alias("base_score"), F.lit(A.ATOMIC).alias("stage_ord"), "rule_ord", F.struct(F.col("ts").alias("t"), F.col("seq").alias("s")).alias("emit"),
     )
@@ -136,7 +156,7 @@ def stateless(events: DataFrame, rules: list[Rule]) -> DataFrame | None:
 
 def _stretches(hits: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
     """hits in the stretches they stand in: us, w, b, and ``hit``, which only a hit's own row holds.  One shuffle."""
-    window = _meta(rules, lambda r: F.lit(round(r.threshold.window * 1_000_000)), "long")
+    window = _meta(rules, lambda r: round(r.threshold.window * 1_000_000), "long")
     whole = F.struct("ts", "seq", "entity", "entity_type", "evidence", "first")
     placed = hits.select("rule_ord", "group", "value", "seq", F.unix_micros("ts").alias("us"), F.greatest(window, F.lit(1)).alias("w"), whole.alias("hit"))
     placed = placed.withColumn("k", F.floor(F.col("us") / F.col("w"))).withColumn("b", F.explode(F.array("k", F.col("k") + 1)))

@@ -196,3 +196,33 @@ def risk_rounding(spark, sf_dir):
         "first_honeypot": n % 7 == 0, "first_business_hours": n % 3 != 0,
     })
     return risk.scored(a).select(n.alias("id"), "risk_score", F.round("contribution", 6).alias("contribution"))
+
+
+# ---- two thousand rules: more than an expression for each would bear
+
+_RULES, _PARTS = 2000, ("rro", "LIC", "urch", "iew", "ign")
+
+
+def _generated(k: int) -> dict:
+    """A rule of one of four kinds: equal user and amount, end of address and part of action, pattern and exception, threshold."""
+    m, made = k // 4, {"id": f"r{k}", "level": "high" if k % 3 else "low"}
+    kinds = (
+        {"selection": {"user.name": f"U{m}", "http.response.body.bytes|gte": k % 20}},
+        {"selection": {"source.ip|endswith": f".{m % 50}", "event.action|contains": _PARTS[m % 5]}, "nameless": {"user.name": None}, "condition": "selection and not nameless"},
+        {"selection": {"user.name|re": f"^u{m}[0-9]?$"}, "quiet": {"host.name": f"h{k % 5}"}, "condition": "selection and not quiet"},
+        {"selection": {"user.name": f"u{m}", "event.outcome": "FAILURE"}, "threshold": {"group_by": ["source.ip"], "count": 3, "window": "1d"}},
+    )
+    return made | {"detection": kinds[k % 4]}
+
+
+@register("rules_many", EV + f""", k AS (SELECT range AS k, range // 4 AS m FROM range({_RULES})), e AS (SELECT *, CAST(substr(usr, 2) AS BIGINT) AS u FROM ev), hits AS (
+ SELECT k, 1 AS alerts, 1 AS n FROM k JOIN e ON u = m AND bytes >= k % 20 WHERE k % 4 = 0
+ UNION ALL SELECT k, 1, 1 FROM k JOIN e ON ip = '10.0.0.' || (m % 50) AND contains(action, (['rro', 'lic', 'urch', 'iew', 'ign'])[m % 5 + 1]) WHERE k % 4 = 1 AND usr IS NOT NULL
+ UNION ALL SELECT k, 1, 1 FROM k JOIN e ON u = m WHERE k % 4 = 2 AND coalesce(host <> 'h' || (k % 5), true)
+ UNION ALL SELECT k, 1, 1 FROM k JOIN e ON u // 10 = m AND u >= 10 WHERE k % 4 = 2 AND coalesce(host <> 'h' || (k % 5), true)
+ UNION ALL SELECT k, 1, count(*) FROM (SELECT k, ip, epoch_us(ts) - epoch_us(lag(ts, 2) OVER (PARTITION BY k, ip ORDER BY ts, id)) <= 86400000000 AS hit FROM k JOIN e ON u = m AND outcome = 'failure' WHERE k % 4 = 3) GROUP BY k, ip HAVING bool_or(hit))
+SELECT 'r' || k AS rule_id, CASE WHEN k % 3 > 0 THEN 'high' ELSE 'low' END AS severity, CAST(sum(alerts) AS BIGINT) AS alerts, CAST(sum(n) AS BIGINT) AS event_count FROM hits GROUP BY k""")
+def rules_many(spark, sf_dir):
+    """Two thousand rules, which an index proposes for each event: alerts and events by rule."""
+    alerts = detect.run(events(spark, sf_dir), [rulebook.rule(_generated(k)) for k in range(_RULES)])
+    return alerts.groupBy("rule_id", "severity").agg(F.count("*").alias("alerts"), F.sum("event_count").alias("event_count"))
