@@ -90,7 +90,7 @@ def test_few_rules_are_proposed(events):
 
 
 def test_texts_of_patterns():
-    assert ruleindex.texts("sel(ect|ion) +from") == [["sel"], ["ect", "ion"], ["from"]]
+    assert ruleindex.texts("sel(ect|ion) +from") == [["sel"], ["ect", "ion"], [" "], ["from"]]
     assert ruleindex.texts("cat|dog") == [["cat", "dog"]]
     assert ruleindex.texts("(abc)?x*") == [] and ruleindex.texts("cat|.*") == [] and ruleindex.texts("(") == []
     for pattern, text in (("ab+c(?=d)", "ABBCD"), ("(foo|ba[rz])-\\d", "x BAZ-1"), ("^a.c$", "abc")):

@@ -151,7 +151,7 @@ def stream(spark: SparkSession, args) -> int:
         spark.dataSource.register(Tail)
         sources = _inputs(args)
         start = "earliest" if args.from_start else "latest"
-        lines = spark.readStream.format("tail").option("path", ",".join(sources)).option("startingOffset", start).load()
+        lines = spark.readStream.format("tail").option("path", ",".join(sources)).option("startingOffset", start).option("shared", str(args.shared).lower()).load()
         events = run.events_of(lines, sources, args.year)
 
     def show(alerts: DataFrame) -> None:
@@ -205,6 +205,7 @@ def parser() -> argparse.ArgumentParser:
     c = add("stream")
     c.add_argument("--threshold", type=float, default=100)
     c.add_argument("--from-start", action="store_true")
+    c.add_argument("--shared", action="store_true", help="the logs lie where every executor sees them, and executors read them")
     c.add_argument("--replay", action="store_true")
     c.add_argument("--speed", type=float, default=0.0, help="seconds of log time a second; 0: as fast as it goes")
     c.add_argument("--limit", type=int, default=0, help="replay so many events only; 0: all")

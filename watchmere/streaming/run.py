@@ -44,7 +44,10 @@ def replay(stream: DataFrame) -> DataFrame:
 
 
 def events_of(lines: DataFrame, sources: dict[str, str], year: int = 2026) -> DataFrame:
-    """Events of a stream of lines (value, file) by each file's source; what can't be parsed is left out."""
+    """Events of a stream of lines (value, file) by each file's source; what can't be parsed is left out.
+
+    Lines that bring their byte (at) keep their order in the file where times are equal.
+    """
     from pyspark.sql import functions as F
 
     from ..sources import files, parsers
@@ -52,7 +55,8 @@ def events_of(lines: DataFrame, sources: dict[str, str], year: int = 2026) -> Da
     parsed = F.lit(None)
     for path, source in sources.items():
         parsed = F.when(F.col("file") == path, parsers.parse(F.col("value"), source, year)).otherwise(parsed)
-    return files.to_events(lines.select("value", "file", parsed.alias("parsed"), F.xxhash64("file", "value").alias("_seq")))
+    seq = F.shiftleft("at", 12) + F.pmod(F.xxhash64("file"), F.lit(4096)) if "at" in lines.columns else F.xxhash64("file", "value")
+    return files.to_events(lines.select("value", "file", parsed.alias("parsed"), seq.alias("_seq")))
 
 
 def live(parts: dict[str, DataFrame], sink: Callable[[DataFrame, int], None], folder: str, poll: str | None = "1 second") -> list[StreamingQuery]:
