@@ -111,28 +111,34 @@ def status(query: StreamingQuery) -> dict:
     return {"active": query.isActive, "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "state_rows": sum(s.numRowsTotal for s in p.stateOperators)}
 
 
+#: Events of one batch of a replay, about.
+BATCH_ROWS = 1_000_000
+
+
 def paced(events: DataFrame, folder: str, files: int = 16, speed: float = 0.0, limit: int | None = None) -> DataFrame:
-    """A stream that replays a table of events in time order: as many files, one a batch.
+    """A stream that replays a table of events in time order: as many files as asked, more if one held over BATCH_ROWS; one a batch.
 
+    The table is cut by ranges of time of about as many events each in one job; equal
+    times stay together.  Each range is then copied by itself to where the stream looks.
     speed: events' seconds per second of the wall clock (0: as fast as it goes); the
-    files are then written one after the other at that pace by a thread of the driver.
+    ranges are then copied one after the other at that pace by a thread of the driver.
     """
     import threading
 
     from pyspark.sql import functions as F
 
     spark, ordered = events.sparkSession, events if limit is None else events.orderBy("@timestamp", "_seq").limit(limit)
-    lo, hi = ordered.agg(F.min("@timestamp"), F.max("@timestamp")).first()
+    n = max(files, -(-ordered.count() // BATCH_ROWS))
+    ordered.repartitionByRange(n, "@timestamp").write.mode("overwrite").parquet(f"{folder}/ranges")
     spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(f"{folder}/in")
-    if lo is not None:
-        width = max((hi - lo).total_seconds(), 1e-6) / files
-        part = F.least(F.lit(files - 1), F.floor((F.unix_micros("@timestamp") - F.lit(int(lo.timestamp() * 1e6))) / F.lit(width * 1e6)))
+    ranges = spark.read.schema(events.schema).parquet(f"{folder}/ranges").groupBy(F.col("_metadata.file_path").alias("file"))
+    cut = ranges.agg(F.min("@timestamp").alias("lo"), F.max("@timestamp").alias("hi")).orderBy("lo").collect()  # one row a batch
 
-        def put() -> None:
-            for k in range(files):
-                ordered.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-                if speed:
-                    time.sleep(width / speed)
+    def put() -> None:
+        for i, r in enumerate(cut):
+            spark.read.schema(events.schema).parquet(r["file"]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            if speed and i + 1 < len(cut) and r["lo"] is not None:
+                time.sleep((cut[i + 1]["lo"] - r["lo"]).total_seconds() / speed)
 
-        threading.Thread(target=put, daemon=True).start() if speed else put()
+    threading.Thread(target=put, daemon=True).start() if speed else put()
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
