@@ -139,3 +139,25 @@ def test_hot_keys_are_cut(spark):
     rows = cut.filter("key = 'hot'").join(segments.carried(parts, "key", {"before": F.sum("n")}), ["key", "seg"]).select((total + F.coalesce("before", F.lit(0))).alias("a"), whole.alias("b"))
     assert rows.filter("a <> b").count() == 0
     assert segments.hot(df, "key", rows=10_000) is None
+
+
+def test_segments_are_found_by_bits(spark):
+    """Segments follow each other in time and hold what they should, with thousands of cuts, crowded minutes, gaps and times before 1970; no row goes through a list of cuts."""
+    rng, minute, rows = random.Random(3), -70_000, []
+    for _ in range(3000):
+        minute += rng.choice([1, 1, 1, 2, 63, 64, 65, 1000])
+        rows += [("hot", minute * segments.MINUTE + rng.randrange(segments.MINUTE), minute)] * rng.choice([1, 2, 5, 40])
+    rows += [("cold", m, 0) for m in range(10)] + [(None, 5, 0)] * 30 + [("odd", None, 0)]
+    df = spark.createDataFrame(rows, "key string, us long, minute int").repartition(4)
+    cut = segments.segmented(df, "key", segments.hot(df, "key", rows=10))
+    assert "lambda" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in cut.select("key", "us", "minute", "seg").collect()]
+    assert sorted(map(str, (r[:3] for r in got))) == sorted(map(str, rows))
+    assert {seg for key, _, _, seg in got if key != "hot"} == {0}
+    sizes, seg_of = {}, {}
+    for key, _, at, seg in got:
+        if key == "hot":
+            sizes[seg] = sizes.get(seg, 0) + 1
+            assert seg_of.setdefault(at, seg) == seg
+    order = [seg_of[m] for m in sorted(seg_of)]
+    assert order == sorted(order) and len(sizes) > 1000 and max(sizes.values()) <= 10 + 40
