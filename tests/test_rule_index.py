@@ -101,3 +101,15 @@ def test_lookalikes_are_all():
     """The letters beyond ASCII that fold to a single ASCII letter are those that are stated."""
     alone = {c for c in map(chr, range(128, 0x110000)) if (c.upper().lower() if len(c.upper()) == 1 else "").isascii() and len(c.upper()) == 1 and len(c.upper().lower()) == 1}
     assert alone | {"İ"} == set(ruleindex.LOOKALIKES)
+
+
+def test_equal_conditions_are_evaluated_once(events):
+    """Rules of equal conditions share one, each with its own entity and level; an event's keys are made once."""
+    rules = [(i, rulebook.rule({"id": f"r{i}", "entity": ["user.name", "host.name"][i % 2], "detection": {"selection": {"user.name|contains": ["alpha", "e"][i // 2 % 2], "event.action": "index"}, "other": {"message|re": "k.lvin"}, "condition": "selection or other"}})) for i in range(120)]
+    fields = ruleindex._Fields()
+    specs = [ruleindex._spec(events, fields, i, r, detect.terms(r)) for i, r in rules]
+    assert len(ruleindex._conditions(specs)) == 2 and [s["cond"] for s in specs] == [i // 2 % 2 for i in range(120)]
+    got = ruleindex.hits(events, rules, detect.terms)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+    expected = rows(detect._hits(events, rules[:4]).drop("rule_ord"))
+    assert expected and rows(got.drop("rule_ord").select(detect._hits(events, rules[:4]).drop("rule_ord").columns)) == sorted(expected * 30)

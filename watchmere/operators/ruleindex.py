@@ -1,12 +1,12 @@
 """Many rules as data: an index over the texts that a rule cannot do without proposes rules, and only those are evaluated.
 
 A rule becomes a row: its condition as nested arrays of tests, which one expression
-interprets, so the plan does not grow with the rules.  From the condition follow keys
-of which every event that the rule matches has one: an equal value, or a piece of
-three characters of a text that must occur (of a regular expression, too).  Keys of
-events meet keys of rules in a hash join; each proposed rule is then evaluated in
-full, so keys decide only what is evaluated.  A rule without keys (a negation or a
-comparison alone) is proposed for every event.
+interprets, so the plan does not grow with the rules.  Rules of equal conditions share
+one.  From the condition follow keys of which every event that it matches has one: an
+equal value, or a piece of three characters of a text that must occur (of a regular
+expression, too).  Keys of events meet keys of conditions in a hash join; each proposed
+condition is then evaluated in full, so keys decide only what is evaluated.  A condition
+without keys (a negation or a comparison alone) is proposed for every event.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ MESSAGE = 160
 LOOKALIKES, LETTERS = "İıſK", "iisk"
 
 _ATOM = "struct<f:int,op:string,lit:string,num:string>"
-_SPEC = f"rule_ord:int,terms:array<struct<both:boolean,negate:boolean,every:boolean,blocks:array<array<struct<every:boolean,atoms:array<{_ATOM}>>>>>>,entity:int,sort:string,evidence:array<struct<f:int,name:string>>,grouped:boolean,group:array<int>,value:int"
-_KEY = "rule_ord:int,keys:array<struct<f:int,kind:string,lit:string,num:string>>"
+_CONDITION = f"cond:int,terms:array<struct<both:boolean,negate:boolean,every:boolean,blocks:array<array<struct<every:boolean,atoms:array<{_ATOM}>>>>>>"
+_SPEC = "cond:int,rule_ord:int,entity:int,sort:string,evidence:array<struct<f:int,name:string>>,grouped:boolean,group:array<int>,value:int"
+_KEY = "cond:int,keys:array<struct<f:int,kind:string,lit:string,num:string>>"
 
 # ---- what a condition cannot do without: a list of alternatives, or None where there is nothing; the empty list is never met
 
@@ -190,6 +191,18 @@ def _spec(df: DataFrame, fields: _Fields, i: int, r: Rule, terms: list) -> dict:
     }
 
 
+def _conditions(specs: list[dict]) -> list[list]:
+    """The different conditions; specs get the place of theirs as cond, and lose the terms."""
+    places: dict[str, int] = {}
+    found = []
+    for s in specs:
+        terms = s.pop("terms")
+        s["cond"] = places.setdefault(json.dumps(terms), len(places))
+        if s["cond"] == len(found):
+            found.append(terms)
+    return found
+
+
 def sort(field: str) -> str:
     """What an entity of this field is."""
     return "ip" if "ip" in field else "user" if "user" in field else "host"
@@ -236,8 +249,9 @@ def _event_keys(df: DataFrame, name: str, f: int, kinds: dict[str, set]) -> list
     found = [c for kind_, c in own.items() if kind_ in kinds]
     folded = F.lower(F.translate(as_text(column, type_), LOOKALIKES, LETTERS))
     for size in sorted({len(p) for p in kinds.get("piece", ())}):
-        held = _held(folded, size, sorted(p for p in kinds["piece"] if len(p) == size))
-        found.append(F.when(F.length(folded) >= size, F.transform(held, lambda p: at("piece", p))))
+        wanted = sorted(p for p in kinds["piece"] if len(p) == size)
+        held = lambda text: F.when(F.length(text) >= size, F.transform(_held(text, size, wanted), lambda p: at("piece", p)))  # noqa: E731, B023
+        found.append(F.transform(F.array(folded), held)[0])  # bound, else the field's expression is evaluated for each piece
     return found
 
 
@@ -277,22 +291,23 @@ def _known(column: Column) -> Column:
 def hits(events: DataFrame, rules: list[tuple[int, Rule]], terms) -> DataFrame:
     """Rows of the rules that match an event, as detect has them; ``terms`` gives a rule's condition as terms.
 
-    One pass over the events, two hash joins with tables made of the rules, no
+    One pass over the events, three hash joins with tables made of the rules, no
     shuffle while these are small enough to be broadcast.
     """
     fields = _Fields()
     host, user, _ = fields["host.name"], fields["user.name"], fields["message"]
     specs = [_spec(events, fields, i, r, terms(r)) for i, r in rules]
-    chosen = _Keys([s["terms"] for s in specs])
-    keys = [chosen.of(s["terms"]) for s in specs]
-    rows = [{"rule_ord": s["rule_ord"], "keys": [{"f": -1, "kind": "any", "lit": None, "num": None}] if k is None else k} for s, k in zip(specs, keys)]
+    conditions = _conditions(specs)
+    chosen = _Keys(conditions)
+    keys = [chosen.of(terms) for terms in conditions]
+    rows = [{"cond": i, "keys": [{"f": -1, "kind": "any", "lit": None, "num": None}] if k is None else k} for i, k in enumerate(keys)]
     kinds: dict[int, dict[str, set]] = {}
     for k in (k for row in rows for k in row["keys"]):
         kinds.setdefault(k["f"], {}).setdefault(k["kind"], set()).add(k["lit"])
 
     rest = lambda k: F.coalesce(_figure(k["num"].cast("double")), k["lit"], F.lit(""))
-    index = _table(events, rows, _KEY).select("rule_ord", F.transform("keys", lambda k: F.concat_ws(":", k["f"].cast("string"), k["kind"], rest(k))).alias("keys"))
-    index = index.select("rule_ord", F.array_distinct("keys").alias("keys")).select("rule_ord", "keys", F.explode("keys").alias("key"))
+    index = _table(events, rows, _KEY).select("cond", F.transform("keys", lambda k: F.concat_ws(":", k["f"].cast("string"), k["kind"], rest(k))).alias("keys"))
+    index = index.select("cond", F.array_distinct("keys").alias("keys")).select("cond", "keys", F.explode("keys").alias("key"))
     index = F.broadcast(index) if len(json.dumps(rows)) <= BROADCAST else index
 
     own = [c for name, f in fields.items() if f in kinds for c in _event_keys(events, name, f, kinds[f])]
@@ -300,10 +315,12 @@ def hits(events: DataFrame, rules: list[tuple[int, Rule]], terms) -> DataFrame:
     own_keys = F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in own])) if own else F.array().cast("array<string>")
     first = F.struct(context(events).alias("context"), resolve(events, "honeypot").cast("boolean").alias("first_honeypot"), resolve(events, "event.business_hours").cast("boolean").alias("first_business_hours"))
     carried = events.select(F.col("`@timestamp`").alias("ts"), F.col("_seq").alias("seq"), first.alias("first"), F.array(*[_forms(events, name) for name in fields]).alias("vals"), own_keys.alias("own"))
-    met = carried.select("*", F.explode("own").alias("key")).join(index, "key")
-    # an event that has several keys of a rule is evaluated at the least of them only
-    met = met.filter(F.col("key") == F.array_min(F.array_intersect("own", "keys"))).drop("own", "keys", "key")
-    found = met.join(_table(events, specs, _SPEC), "rule_ord").filter(_fires(F.col("vals"), F.col("terms")))
+    # what is exploded is no bare column: of one Spark infers filters, and evaluates all keys once more for each
+    met = carried.select("*", F.explode(F.array_distinct("own")).alias("key")).join(index, "key")
+    # an event that has several keys of a condition is evaluated at the least of them only
+    met = met.filter((F.size("keys") == 1) | (F.col("key") == F.array_min(F.array_intersect("own", "keys")))).drop("own", "keys", "key")
+    tests = _table(events, [{"cond": i, "terms": terms} for i, terms in enumerate(conditions)], _CONDITION)
+    found = met.join(tests, "cond").filter(_fires(F.col("vals"), F.col("terms"))).drop("terms").join(_table(events, specs, _SPEC), "cond")
 
     at = lambda f: F.col("vals")[f]
     who = F.nullif(_known(at(F.col("entity"))["plain"]), F.lit("-"))
